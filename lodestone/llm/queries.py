@@ -21,8 +21,20 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op9_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.audio import audio_digest
+
+    return audio_digest(table(spark, sf_dir, "documents"))
+
+
+def op10_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.language_crf import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_counts": op1_token_counts}
+    return {f.__name__: f for f in (op1_token_counts, op9_telephony_audio, op10_language_crf)}
 
 
 def oracle_sql() -> dict[str, str]:
