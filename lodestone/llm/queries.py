@@ -21,6 +21,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op3_simhash_gph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), size=3, tau=2)
+
+
 def op6_fm_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.fm_decontaminate import contamination
 
@@ -40,7 +46,7 @@ def op10_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op6_fm_decontaminate, op9_telephony_audio, op10_language_crf)}
+    return {f.__name__: f for f in (op1_token_counts, op3_simhash_gph, op6_fm_decontaminate, op9_telephony_audio, op10_language_crf)}
 
 
 def oracle_sql() -> dict[str, str]:
