@@ -21,6 +21,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.suffix_dedup import suffix_dedup
+
+    return suffix_dedup(table(spark, sf_dir, "documents"), width=200)
+
+
 def op3_simhash_gph(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.simhash import near_duplicates
 
@@ -46,7 +52,7 @@ def op10_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_simhash_gph, op6_fm_decontaminate, op9_telephony_audio, op10_language_crf)}
+    return {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_simhash_gph, op6_fm_decontaminate, op9_telephony_audio, op10_language_crf)}
 
 
 def oracle_sql() -> dict[str, str]:
