@@ -33,6 +33,12 @@ def op3_simhash_gph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=3, tau=2)
 
 
+def op4_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.recompression import recompression_dedup
+
+    return recompression_dedup(table(spark, sf_dir, "documents"), width=35)
+
+
 def op6_fm_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.fm_decontaminate import contamination
 
@@ -52,7 +58,7 @@ def op10_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_simhash_gph, op6_fm_decontaminate, op9_telephony_audio, op10_language_crf)}
+    return {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_simhash_gph, op4_recompression_dedup, op6_fm_decontaminate, op9_telephony_audio, op10_language_crf)}
 
 
 def oracle_sql() -> dict[str, str]:

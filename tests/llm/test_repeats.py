@@ -71,3 +71,52 @@ def test_suffix_dedup_matches_brute_force(spark, monkeypatch, dense):
     want = sorted(((i, *x) for i, x in zip(ids, brute_bytes([t.encode() for t in every], 200))), key=str)
     assert got == want
     assert suffix_dedup(docs.limit(0)).count() == 0
+
+
+def brute_words(texts, width):
+    import re
+
+    every = [re.findall(r"[^\x20\x09-\x0D]+", t) for t in texts]
+    seen = {}
+    for w in every:
+        for i in range(len(w) - width + 1):
+            seen[tuple(w[i : i + width])] = seen.get(tuple(w[i : i + width]), 0) + 1
+    out = []
+    for w in every:
+        gone = set()
+        for i in range(len(w) - width + 1):
+            if seen[tuple(w[i : i + width])] > 1:
+                gone |= {*range(i, i + width)}
+        kept = " ".join(x for i, x in enumerate(w) if i not in gone)
+        out.append((len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return out
+
+
+def test_symbols_in_reach_recur_in_equal_windows():
+    from lodestone.llm.recompression import anchors, levels
+
+    rng = np.random.default_rng(10)
+    core = rng.integers(1, 4, 200).astype(np.uint64)
+    core[50:90] = 2
+    make = lambda n: rng.integers(1, 4, n).astype(np.uint64)
+    a, b = np.concatenate([make(17), core, make(30)]), np.concatenate([make(44), core, make(9)])
+    for level in [*levels(a, np.array([0, len(a)])), *levels(b, np.array([0, len(b)]))]:
+        assert (np.diff(level.left) >= 0).all() and (np.diff(level.right) >= 0).all()
+    both = levels(np.concatenate([a, b]), np.array([0, len(a), len(a), len(a) + len(b)]))
+    assert all((np.diff(x.left) >= 0).all() and (np.diff(x.right) >= 0).all() for x in both)
+    for width in (5, 12, 35):
+        (at1, name1), (at2, name2) = anchors(a, np.array([0, len(a)]), width), anchors(b, np.array([0, len(b)]), width)
+        k = len(core) - width + 1
+        assert (at1[17 : 17 + k] - 17 == at2[44 : 44 + k] - 44).all() and (name1[17 : 17 + k] == name2[44 : 44 + k]).all()
+
+
+def test_recompression_matches_brute_force(spark):
+    from lodestone.llm.recompression import recompression_dedup
+
+    texts = [*sample_texts(11, [*WORDS, *(f"w{i}" for i in range(40))]), "na " * 90, "na " * 50 + "batman", "a b " * 60, "a b " * 60 + "c"]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(None, None, "y"), (5, texts[5], "z")], "doc_id long, text string, n string")
+    got = sorted((tuple(r) for r in recompression_dedup(docs, 35).collect()), key=str)
+    ids = [*range(len(texts)), None, 5]
+    want = sorted(((i, *x) for i, x in zip(ids, brute_words([*texts, "", texts[5]], 35))), key=str)
+    assert got == want
+    assert recompression_dedup(docs.limit(0)).count() == 0
