@@ -45,6 +45,12 @@ def op6_fm_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_pii_tagger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.pii_tagger import find_personal
+
+    return find_personal(table(spark, sf_dir, "documents"))
+
+
 def op9_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.audio import audio_digest
 
@@ -58,7 +64,7 @@ def op10_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_simhash_gph, op4_recompression_dedup, op6_fm_decontaminate, op9_telephony_audio, op10_language_crf)}
+    return {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_simhash_gph, op4_recompression_dedup, op6_fm_decontaminate, op7_pii_tagger, op9_telephony_audio, op10_language_crf)}
 
 
 def oracle_sql() -> dict[str, str]:
