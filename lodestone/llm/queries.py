@@ -39,6 +39,12 @@ def op4_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompression_dedup(table(spark, sf_dir, "documents"), width=35)
 
 
+def op5_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.piece_lattice import segmentations
+
+    return segmentations(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), best=4)
+
+
 def op6_fm_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.fm_decontaminate import contamination
 
@@ -64,7 +70,7 @@ def op10_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_simhash_gph, op4_recompression_dedup, op6_fm_decontaminate, op7_pii_tagger, op9_telephony_audio, op10_language_crf)}
+    return {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_simhash_gph, op4_recompression_dedup, op5_piece_lattice, op6_fm_decontaminate, op7_pii_tagger, op9_telephony_audio, op10_language_crf)}
 
 
 def oracle_sql() -> dict[str, str]:
