@@ -57,6 +57,12 @@ def op7_pii_tagger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal(table(spark, sf_dir, "documents"))
 
 
+def op8_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.shards import sharded
+
+    return sharded(table(spark, sf_dir, "documents"), target_bytes=32 << 20, shard_rows=2000)
+
+
 def op9_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.audio import audio_digest
 
@@ -70,8 +76,15 @@ def op10_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_simhash_gph, op4_recompression_dedup, op5_piece_lattice, op6_fm_decontaminate, op7_pii_tagger, op9_telephony_audio, op10_language_crf)}
+    return {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_simhash_gph, op4_recompression_dedup, op5_piece_lattice, op6_fm_decontaminate, op7_pii_tagger, op8_tiered_shards, op9_telephony_audio, op10_language_crf)}
+
+
+#: Reading the compacted shards back through the manifest gives every document whole.
+OP8_SQL = """
+SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n_bytes, sha256(text) AS text_sha256, TRUE AS listed
+FROM documents
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_tiered_shards": OP8_SQL}
