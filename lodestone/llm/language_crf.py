@@ -228,3 +228,16 @@ def identify(docs: DataFrame, per_language: int = 250) -> DataFrame:
 
     out = known.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
     return out.select("doc_id", F.coalesce(remainder() == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def accepted(docs: DataFrame, least: float = 0.35, per_language: int = 250) -> DataFrame:
+    """The rows of docs whose language is known with at least that share: und and texts of evenly mixed labels go."""
+    model = docs.sparkSession.sparkContext.broadcast(learn(docs, per_language))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in arrow_blocks(batches):
+            labels, shares = predict(model.value, [t or "" for t in batch.column(at).to_pylist()])
+            yield batch.filter(pa.array([label != UND and share >= least for label, share in zip(labels, shares, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
