@@ -75,8 +75,14 @@ def op10_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_simhash_gph, op4_recompression_dedup, op5_piece_lattice, op6_fm_decontaminate, op7_pii_tagger, op8_tiered_shards, op9_telephony_audio, op10_language_crf)}
+    return {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_simhash_gph, op4_recompression_dedup, op5_piece_lattice, op6_fm_decontaminate, op7_pii_tagger, op8_tiered_shards, op9_telephony_audio, op10_language_crf, pipeline)}
 
 
 #: Reading the compacted shards back through the manifest gives every document whole.
