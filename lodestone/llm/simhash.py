@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import arrow_blocks, stored, text_column
+from lodestone.llm.common import arrow_blocks, row_blocks, stored, text_column
 from lodestone.llm.components import components
 from lodestone.llm.rolling import mix
 
@@ -47,9 +47,12 @@ def shingle_hashes(text: str, size: int, seed: int = 42) -> list[int]:
 
 def fingerprints_of(texts: list[str], size: int = 3) -> np.ndarray:
     """One unsigned 64-bit fingerprint a text; a bit is set if over half of the shingles' hashes have it."""
-    hashes = [shingle_hashes(t, size) for t in texts]
+    return fingerprint_hashes([shingle_hashes(t, size) for t in texts])
+
+
+def fingerprint_hashes(hashes: list[list[int]]) -> np.ndarray:
     counts = np.array([len(h) for h in hashes], np.int64)
-    out = np.zeros(len(texts), np.uint64)
+    out = np.zeros(len(hashes), np.uint64)
     some = np.flatnonzero(counts)
     if len(some):
         flat = np.array([x for h in hashes for x in h], np.uint64)
@@ -268,8 +271,10 @@ def near_duplicates(docs: DataFrame, size: int = 3, tau: int = 2) -> DataFrame:
 
 # Documents of a given similarity
 
-#: A block ends after a shingle whose hash has these bits clear: sixteen shingles on average.
-CUT = 15
+#: Blocks end after shingles whose hash is 0 modulo the first number, in texts of more than the second and at most the
+#: third number of shingles. Texts that are 0.8 similar differ by a quarter in length at most, so they share a level,
+#: and by one edited word in 45 at most, so some of their blocks are whole.
+LEVELS = ((1, 0, 40), (4, 30, 160), (8, 100, 500), (16, 400, 1 << 62))
 #: Texts that share a block and are all paired; beyond it, each is paired with the group's first and last text.
 PAIRED = 16
 #: Whole-text fingerprints of texts that are 0.8 similar differ by 10 bits at the median and 18 at most (50,000 texts measured).
@@ -281,11 +286,14 @@ def blocks_of(hashes: list[int]) -> list[int]:
     flat = np.array(hashes, np.uint64)
     if not len(flat):
         return [0]
-    low = np.flatnonzero(np.concatenate([[True], (flat[:-1] & np.uint64(CUT)) == 0]))
-    size = np.diff(np.append(low, len(flat)))
-    sums = np.add.reduceat(bit_table(flat), low, axis=0, dtype=np.int32)
-    bits = np.packbits(2 * sums > size[:, None], axis=1, bitorder="little").view(np.int64)[:, 0]
-    return np.unique(bits).tolist()
+    bits, out = bit_table(flat), []
+    for every, above, most in LEVELS:
+        if above < len(flat) <= most:
+            low = np.flatnonzero(np.concatenate([[True], (flat[:-1] & np.uint64(every - 1)) == 0]))
+            size = np.diff(np.append(low, len(flat)))
+            sums = np.add.reduceat(bits, low, axis=0, dtype=np.int32)
+            out.append(np.packbits(2 * sums > size[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0] + np.uint64(every))
+    return np.unique(np.concatenate(out).view(np.int64)).tolist()
 
 
 def similarity(a: str, b: str, size: int) -> float:
@@ -301,18 +309,17 @@ def similar_groups(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFr
     chosen by content and its blocks are fingerprinted: similar texts have blocks in common. Texts that share a
     block's fingerprint are candidates, are filtered by their whole fingerprints, and verified on all shingles.
     """
-    from lodestone.llm.repeats import KEY, distinct_texts
-
-    texts = distinct_texts(docs)
+    from lodestone.llm.repeats import KEY, distinct_texts, with_key
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow_blocks(batches):
-            found = text_column(batch).to_pylist()
-            fp = fingerprints_of(found, size).view(np.int64)
-            blocks = [blocks_of(shingle_hashes(t, size)) for t in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp), pa.array(blocks, pa.list_(pa.int64()))], [*KEY, "fp", "blocks"])
+            hashes = [shingle_hashes(t, size) for t in text_column(batch).to_pylist()]
+            fp = fingerprint_hashes(hashes).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(fp), pa.array([blocks_of(h) for h in hashes], pa.list_(pa.int64()))], [*KEY, "fp", "blocks"])
 
-    prints = stored(texts.mapInArrow(run, "t1 long, t2 long, fp long, blocks array<long>"), "blocks")
+    # fingerprints are shuffled, not texts
+    prints = with_key(docs.select("text")).select("text", *KEY).mapInArrow(run, "t1 long, t2 long, fp long, blocks array<long>")
+    prints = stored(prints.groupBy(*KEY).agg(F.first("fp").alias("fp"), F.first("blocks").alias("blocks")), "blocks")
     rows = prints.select("t1", F.explode("blocks").alias("block"))
     crowd = rows.groupBy("block").agg(F.count("*").alias("n"), F.min("t1").alias("first"), F.max("t1").alias("last")).where("n > 1")
     shared = rows.join(crowd, "block")
@@ -320,18 +327,20 @@ def similar_groups(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFr
     pairs = few.withColumnRenamed("t1", "u").join(few.withColumnRenamed("t1", "v"), "block").where("u < v").select("u", "v")
     hubs = shared.where(F.col("n") > PAIRED).select(F.explode(F.array("first", "last")).alias("u"), F.col("t1").alias("v")).where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     pairs = pairs.unionByName(hubs).distinct()
-    fps = prints.select("t1", "fp")
-    near_pairs = pairs.join(fps.toDF("u", "a"), "u").join(fps.toDF("v", "b"), "v").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= FAR).select("u", "v")
-    near_pairs = stored(near_pairs, "pairs")
+    fps = prints.select("t1", "t2", "fp")
+    near_pairs = pairs.join(fps.toDF("u", "u2", "a"), "u").join(fps.toDF("v", "v2", "b"), "v").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= FAR)
+    near_pairs = stored(near_pairs.select("u", "u2", "v", "v2"), "pairs")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [similarity(a, b, size) >= least for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    whole = texts.select("t1", "text")
-    links_ = near_pairs.join(whole.toDF("u", "text_u"), "u").join(whole.toDF("v", "text_v"), "v").select("u", "v", "text_u", "text_v").mapInArrow(verify, "u long, v long")
-    rooted = components(links_)
+            for low, high in row_blocks(batch.column(2)):
+                part = batch.slice(low, high - low)
+                keep = [similarity(a, b, size) >= least for a, b in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
+                yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    whole = distinct_texts(docs).select(*KEY, "text")
+    linked = near_pairs.join(whole.toDF("u", "u2", "text_u"), ["u", "u2"]).join(whole.toDF("v", "v2", "text_v"), ["v", "v2"]).select("u", "v", "text_u", "text_v").mapInArrow(verify, "u long, v long")
+    rooted = components(linked)
     return prints.select(*KEY).join(rooted, prints["t1"] == rooted["node"], "left").select(*KEY, F.coalesce("root", "t1").alias("root"))
 
 
@@ -339,10 +348,18 @@ def one_of_each(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame
     """One row of each group of similar texts: the one with the smallest doc_id, nulls last; of equal rows one."""
     from lodestone.llm.repeats import KEY, with_key
 
-    keyed_docs = with_key(docs.withColumn("_text", F.col("text")))
-    groups = similar_groups(docs, size, least)
-    first = keyed_docs.groupBy(*KEY).agg(F.min("doc_id").alias("first"))
-    best = groups.join(first, KEY).groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("missing"), "first", *KEY)).alias("best"))
-    keepers = best.select("best.first", *(f"best.{k}" for k in KEY))
-    kept = keyed_docs.join(keepers, KEY, "inner").where(F.col("doc_id").eqNullSafe(F.col("first"))).dropDuplicates([*KEY, "doc_id"])
-    return kept.withColumn("text", F.col("_text")).select(*(F.col(f"`{c}`") for c in docs.columns))
+    row = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
+    own = with_key(docs.select("doc_id", "text", row.alias("row"))).select("doc_id", *KEY, "row")
+    # the least row of each text, then of each group; n: equal rows
+    rows = own.groupBy("doc_id", *KEY, "row").agg(F.count("*").alias("n"))
+    order = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", *KEY, "row", "n")
+    first = rows.groupBy(*KEY).agg(F.min(order).alias("first"))
+    best = similar_groups(docs, size, least).join(first, KEY).groupBy("root").agg(F.min("first").alias("best"))
+    keepers = best.select(F.col("best.t1").alias("k1"), F.col("best.t2").alias("k2"), F.col("best.row").alias("row"), F.col("best.n").alias("n"))
+    # keyed under names that documents don't have
+    names = {c: f"_{i}" for i, c in enumerate(docs.columns)}
+    text = F.coalesce(F.col("text"), F.lit(""))
+    every = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("second"), text).alias("k2"), row.alias("row"))
+    kept = every.join(keepers, ["k1", "k2", "row"])
+    alone, equal = kept.where("n = 1"), kept.where("n > 1").dropDuplicates(["k1", "k2", "row"])
+    return alone.unionByName(equal).select(*(F.col(n).alias(c) for c, n in names.items()))
