@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm.common import table
+from lodestone.llm.oracles import OP2_SQL, OP4_SQL, OP6_SQL, OP8_SQL
 
 
 def tokenizer(name: str) -> str:
@@ -85,12 +86,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_simhash_gph, op4_recompression_dedup, op5_piece_lattice, op6_fm_decontaminate, op7_pii_tagger, op8_tiered_shards, op9_telephony_audio, op10_language_crf, pipeline)}
 
 
-#: Reading the compacted shards back through the manifest gives every document whole.
-OP8_SQL = """
-SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n_bytes, sha256(text) AS text_sha256, TRUE AS listed
-FROM documents
-"""
-
-
 def oracle_sql() -> dict[str, str]:
-    return {"op8_tiered_shards": OP8_SQL}
+    return {"op2_suffix_dedup": OP2_SQL, "op4_recompression_dedup": OP4_SQL, "op6_fm_decontaminate": OP6_SQL, "op8_tiered_shards": OP8_SQL}
