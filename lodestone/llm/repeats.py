@@ -30,6 +30,8 @@ from lodestone.llm.rolling import mix, prefix_sums, slice_hash
 #: Distinct records of one anchor beyond which their windows are counted by name in the cluster, not in one task.
 DENSE = 4096
 KEY = ["t1", "t2"]
+#: Bytes of text scanned at once: their 64-bit arrays stay in a core's cache.
+SCANNED = 1 << 18
 
 
 @dataclass
@@ -46,24 +48,33 @@ class Anchored:
     sums: np.ndarray
 
 
-def anchored(values: np.ndarray, offsets: np.ndarray, width: int, at: np.ndarray, name: np.ndarray) -> Anchored:
-    """Groups the windows (one for each start up to len(values) - width) with anchor places and names into records."""
-    starts = np.arange(len(at))
-    row = np.searchsorted(offsets, starts, side="right") - 1
-    inside = starts + width <= offsets[np.minimum(row + 1, len(offsets) - 1)]
-    starts, row, at, name = starts[inside], row[inside], at[inside], name[inside]
+def anchored(values: np.ndarray, offsets: np.ndarray, width: int, anchor: np.ndarray, look: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> Anchored:
+    """Groups windows into records. anchor numbers each window's anchor, one window for each start up to len(values) - width;
+    look gives places and names of anchors by number."""
     sums = prefix_sums(values)
-    if not len(starts):
-        none = np.zeros(0, np.int64)
-        return Anchored(none, none.astype(np.uint64), none.astype(np.uint64), none, none, none, offsets, sums)
-    edge = np.flatnonzero(np.concatenate([[True], (starts[1:] != starts[:-1] + 1) | (at[1:] != at[:-1]) | (name[1:] != name[:-1]) | (row[1:] != row[:-1])]))
-    low, high = starts[edge], starts[np.append(edge[1:], len(starts)) - 1] + 1
-    at, name, row = at[edge], name[edge], row[edge]
+    # windows within one text, the texts' stretches of starts one after the other
+    count = np.maximum(np.diff(offsets) - width + 1, 0)
+    some = np.flatnonzero(count)
+    begin, count = offsets[some], count[some]
+    change = np.zeros(len(anchor) + 1, bool)
+    change[1:-1] = anchor[1:] != anchor[:-1]
+    change[begin] = True
+    keep = np.zeros(len(anchor) + 1, np.int8)
+    np.add.at(keep, begin, 1)
+    np.add.at(keep, begin + count, -1)
+    change[begin + count] = True  # a stretch's end, or the next one's start
+    low = np.flatnonzero(change)
+    inside = np.cumsum(keep, dtype=np.int8)[low] > 0
+    high = np.append(low[1:], len(anchor))[inside]
+    low = low[inside]
+    row = some[np.searchsorted(begin, low, side="right") - 1] if len(some) else low
+    at, name = look(anchor[low]) if len(low) else (low, np.zeros(0, np.uint64))
     g = mix(slice_hash(sums, low, high - 1 + width) + (at - low).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
     return Anchored(row, name, g, at, low, high, offsets, sums)
 
 
-Scan = Callable[[pa.Array], tuple[Anchored, np.ndarray]]
+#: Gives the records of a column, and the bytes that stand for the record from low to high (exclusive, of starts).
+Scan = Callable[[pa.Array], tuple[Anchored, Callable[[int, int], bytes]]]
 
 
 def longs(x: np.ndarray) -> pa.Array:
@@ -84,21 +95,22 @@ def taken(batch: pa.RecordBatch, rows: np.ndarray) -> list[pa.Array]:
     return [batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows))]
 
 
-def repeated(docs: DataFrame, scan: Scan, width: int, resolve: Callable[[DataFrame], DataFrame] | None, finish: Callable[[list[bytes], list[np.ndarray]], list[tuple]], schema: str) -> DataFrame:
+def repeated(docs: DataFrame, scan: Scan, width: int, resolve: Callable[[DataFrame], DataFrame], finish: Callable[[list[bytes], list[np.ndarray]], list[tuple]], schema: str, settled: bool) -> DataFrame:
     """For each row of docs (doc_id, text), what finish makes of its text and the starts [from, to), flat, of its repeated windows.
 
-    resolve: takes (h, g, n, off, data) records, data being bytes, and gives (h, g, starts); without it, records
-    that have a rival of another content are resolved by their windows' names.
+    resolve: takes (h, g, n, off, data) records, data being the scan's bytes, and gives (h, g, starts). settled: it
+    gets only what is open: records of which there is one, and their rivals at the anchor; a record that occurs
+    twice is repeated throughout. Anchors with over DENSE different records are resolved by their windows' names.
     """
     texts = distinct_texts(docs)
 
     def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in arrow_blocks(batches):
+        for batch in arrow_blocks(batches, "text", SCANNED):
             found = scan(text_column(batch))[0]
             yield pa.RecordBatch.from_arrays([longs(found.h), batch.column(3).take(pa.array(found.row))], ["h", "n"])
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in arrow_blocks(batches):
+        for batch in arrow_blocks(batches, "text", SCANNED):
             found = scan(text_column(batch))[0]
             yield pa.RecordBatch.from_arrays([longs(found.h), *taken(batch, found.row)], ["h", *KEY])
 
@@ -109,16 +121,17 @@ def repeated(docs: DataFrame, scan: Scan, width: int, resolve: Callable[[DataFra
         return np.flatnonzero(np.isin(field.view(np.int64), mine))
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in arrow_blocks(batches):
+        for batch in arrow_blocks(batches, "text", SCANNED):
             found = scan(text_column(batch))[0]
             keep = marked(batch, 4, found, found.h)
             row = found.row[keep]
-            at = found.at[keep] - found.offsets[row]
-            yield pa.RecordBatch.from_arrays([longs(found.h[keep]), longs(found.g[keep]), *taken(batch, row), batch.column(3).take(pa.array(row)), longs(at)], ["h", "g", *KEY, "n", "at"])
+            base = found.offsets[row]
+            places = (pa.array((x[keep] - base).astype(np.int32)) for x in (found.at, found.low, found.high))
+            yield pa.RecordBatch.from_arrays([longs(found.h[keep]), longs(found.g[keep]), *taken(batch, row), batch.column(3).take(pa.array(row)), *places], ["h", "g", *KEY, "n", "at", "low", "high"])
 
-    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Anchored, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Anchored, Callable[[int, int], bytes], np.ndarray, np.ndarray, np.ndarray]]:
         """The records that stand for their (h, g), with their counts."""
-        for batch in arrow_blocks(batches):
+        for batch in arrow_blocks(batches, "text", SCANNED):
             lists = batch.column(4).to_pylist()
             column = text_column(batch)
             found, data = scan(column)
@@ -129,16 +142,16 @@ def repeated(docs: DataFrame, scan: Scan, width: int, resolve: Callable[[DataFra
                     keep.append(j)
                     n.append(got[0])
                     dense.append(got[1])
-            yield batch, found, data, np.array(keep, np.int64), np.array(n, np.int64), np.array(dense, bool)
+            yield found, data, np.array(keep, np.int64), np.array(n, np.int64), np.array(dense, bool)
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, found, data, keep, n, dense in chosen(batches):
+        for found, data, keep, n, dense in chosen(batches):
             keep, n = keep[~dense], n[~dense]
-            cut = [data[a : b - 1 + width].tobytes() for a, b in zip(found.low[keep].tolist(), found.high[keep].tolist(), strict=True)]
+            cut = [data(a, b) for a, b in zip(found.low[keep].tolist(), found.high[keep].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([longs(found.h[keep]), longs(found.g[keep]), longs(n), longs(found.at[keep] - found.low[keep]), pa.array(cut, pa.binary())], ["h", "g", "n", "off", "data"])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, found, _, keep, n, dense in chosen(batches):
+        for found, _, keep, n, dense in chosen(batches):
             keep, n = keep[dense], n[dense]
             size = found.high[keep] - found.low[keep]
             record = np.repeat(np.arange(len(keep)), size)
@@ -148,44 +161,28 @@ def repeated(docs: DataFrame, scan: Scan, width: int, resolve: Callable[[DataFra
 
     several = texts.mapInArrow(names, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
     marks = texts.mapInArrow(places, "h long, t1 long, t2 long").join(several, "h", "left_semi").groupBy(*KEY).agg(F.collect_list("h").alias("marks"))
-    every = texts.join(marks, KEY).select(*KEY, "text", "copies", "marks").mapInArrow(records, "h long, g long, t1 long, t2 long, n long, at long")
+    every = texts.join(marks, KEY).select(*KEY, "text", "copies", "marks").mapInArrow(records, "h long, g long, t1 long, t2 long, n long, at int, low int, high int")
     kinds = every.groupBy("h", "g").agg(F.sum("n").alias("n"), F.first("t1").alias("t1"), F.first("t2").alias("t2"))
-    rivals = kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.max(F.col("n") == 1).alias("single"))
-    kinds = kinds.join(rivals, "h").where("kinds > 1 or n > 1")
-    plain = None
-    if resolve is None:
-        # a record that occurs twice is repeated throughout; where no other record is single, nothing is left to find
-        plain = kinds.where("n > 1").select("h", "g", F.lit(None).cast("array<int>").alias("starts"))
-        kinds = kinds.where("kinds > 1 and single").withColumn("dense", F.lit(True))
-    else:
-        kinds = kinds.withColumn("dense", F.col("kinds") > DENSE)
-    asked = texts.join(kinds.groupBy(*KEY).agg(F.collect_list(F.struct("g", "n", "dense")).alias("own")), KEY).select(*KEY, "text", "copies", "own")
+    # (t1 and t2 are named here only so that both readers of kinds need the same exchange, which is then made once)
+    rivals = kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.max(F.col("n") == 1).alias("single"), F.max("t1").alias("_1"), F.max("t2").alias("_2"))
+    kinds = kinds.join(rivals, "h").where("kinds > 1 or n > 1").withColumn("dense", F.col("kinds") > DENSE)
+    open_ = kinds.where("kinds > 1 and single") if settled else kinds
+    asked = texts.join(open_.groupBy(*KEY).agg(F.collect_list(F.struct("g", "n", "dense")).alias("own")), KEY).select(*KEY, "text", "copies", "own")
     by_name = asked.mapInArrow(windows, "h long, g long, c long, w long, n long")
     twice = by_name.groupBy("h", "c", "w").agg(F.sum("n").alias("n")).where("n > 1").select("h", "c", "w")
-    single = by_name.where("n = 1") if resolve is None else by_name
-    answers = single.join(twice, ["h", "c", "w"], "left_semi").groupBy("h", "g").agg(F.flatten(F.sort_array(F.collect_list(F.array(F.col("c").cast("int"), (F.col("c") + 1).cast("int"))))).alias("starts"))
-    answers = answers.unionByName(plain if resolve is None else resolve(asked.mapInArrow(segments, "h long, g long, n long, off long, data binary")))
-    told = every.select("h", "g", *KEY, "at").join(answers, ["h", "g"]).groupBy(*KEY).agg(F.collect_list(F.struct("h", "g", "at", "starts")).alias("found"))
+    dense = by_name.join(twice, ["h", "c", "w"], "left_semi").groupBy("h", "g").agg(F.flatten(F.sort_array(F.collect_list(F.array(F.col("c").cast("int"), (F.col("c") + 1).cast("int"))))).alias("starts"))
+    answers = dense.unionByName(resolve(asked.mapInArrow(segments, "h long, g long, n long, off long, data binary")))
+    if settled:
+        answers = answers.unionByName(kinds.where("n > 1").select("h", "g", F.lit(None).cast("array<int>").alias("starts")))
+    # a record repeated throughout has no list of starts, but its own bounds; its windows may be answered, too
+    told = every.join(answers, ["h", "g"]).select(*KEY, F.coalesce(F.transform("starts", lambda s: s + F.col("at")), F.array("low", "high")).alias("starts"))
+    told = told.groupBy(*KEY).agg(F.flatten(F.collect_list("starts")).alias("found"))
 
     def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in schema.split(", ")]
-        for batch in arrow_blocks(batches):
-            column = text_column(batch)
-            starts = [np.zeros(0, np.int64)] * len(column)
-            found = batch.column(4)
-            some = [i for i in range(len(column)) if found[i].is_valid]
-            if some:
-                # a record repeated throughout has no list: its own bounds are taken from the text
-                every, _ = scan(column)
-                bounds = {}
-                for r, h, g, at, low, high in zip(every.row.tolist(), every.h.view(np.int64).tolist(), every.g.view(np.int64).tolist(), every.at.tolist(), every.low.tolist(), every.high.tolist(), strict=True):
-                    base = int(every.offsets[r])
-                    bounds[r, h, g, at - base] = (low - base, high - base)
-                for i in some:
-                    own: list[int] = []
-                    for x in found[i].as_py():
-                        own += bounds[i, x["h"], x["g"], x["at"]] if x["starts"] is None else [s + x["at"] for s in x["starts"]]
-                    starts[i] = np.array(own, np.int64)
+        for batch in arrow_blocks(batches, "text", SCANNED):
+            column, found = text_column(batch), batch.column(4)
+            starts = [np.asarray(x.values).astype(np.int64) if x.is_valid else np.zeros(0, np.int64) for x in found]
             rows = finish([x.encode() for x in column.to_pylist()], starts)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[k] for r in rows], type=pa_type(schema, k)) for k in range(len(names)))], [*KEY, *names])
 
@@ -193,6 +190,38 @@ def repeated(docs: DataFrame, scan: Scan, width: int, resolve: Callable[[DataFra
     return with_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("doc_id", *KEY).join(made, KEY).drop(*KEY)
 
 
+def anchor_chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
+    """A partition's records, sorted by h, in tables of about size bytes that end between anchors."""
+    held: list[pa.RecordBatch] = []
+    total = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held and total > size and held[-1].column(0)[-1].as_py() != batch.column(0)[0].as_py():
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, total = [], 0
+        h = batch.column(0).to_numpy()
+        cut = int(np.searchsorted(h, h[-1])) if total + batch.nbytes > size else 0
+        if cut:
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks()
+            held, total, batch = [], 0, batch.slice(cut)
+        held.append(batch)
+        total += batch.nbytes
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def by_anchor(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[DataFrame], DataFrame]:
+    """A resolver that gets each anchor's records in one task; anchors have at most DENSE of them."""
+    return lambda records: records.repartition("h").sortWithinPartitions("h").mapInArrow(run, "h long, g long, starts array<int>")
+
+
+def answered(whole: pa.Table, starts: list[np.ndarray]) -> pa.RecordBatch:
+    some = np.array([i for i, x in enumerate(starts) if len(x)], np.int64)
+    h, g = whole.column("h").to_numpy()[some], whole.column("g").to_numpy()[some]
+    return pa.RecordBatch.from_arrays([longs(h), longs(g), pa.array([starts[i].astype(np.int32) for i in some.tolist()], pa.list_(pa.int32()))], ["h", "g", "starts"])
+
+
 def pa_type(schema: str, k: int) -> pa.DataType:
     return {"long": pa.int64(), "string": pa.string()}[schema.split(", ")[k].split()[1]]
 

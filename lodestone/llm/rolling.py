@@ -25,7 +25,8 @@ def mix(h: np.ndarray) -> np.ndarray:
     h *= np.uint64(0xFF51AFD7ED558CCD)
     h ^= h >> np.uint64(33)
     h *= np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(33))
+    h ^= h >> np.uint64(33)
+    return h
 
 
 def prefix_sums(values: np.ndarray) -> np.ndarray:
@@ -42,6 +43,15 @@ def slice_hash(sums: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarra
     return mix((sums[high] - sums[low]) * inverse[low] + (high - low).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def gram_hashes(sums: np.ndarray, size: int) -> np.ndarray:
+    """slice_hash of every slice of that size."""
+    n = max(len(sums) - size, 0)
+    h = sums[size:] - sums[:n]
+    h *= _power(len(sums), pow(_BASE, -1, 1 << 64), "down")[:n]
+    h += np.uint64(size * 0xD6E8FEB86659FD93 & (1 << 64) - 1)
+    return mix(h)
+
+
 def first_minimum(values: np.ndarray, width: int) -> np.ndarray:
     """For each full window of width values, the place of its minimum by the upper 36 bits, the first of equals."""
     n = len(values) - width + 1

@@ -18,28 +18,26 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lodestone.llm.common import byte_view
-from lodestone.llm.repeats import Anchored, anchored, covered, longs, repeated
-from lodestone.llm.rolling import BYTE_VALUES, first_minimum, mix, prefix_sums, slice_hash
+from lodestone.llm.repeats import Anchored, anchor_chunks, anchored, answered, by_anchor, covered, repeated
+from lodestone.llm.rolling import BYTE_VALUES, first_minimum, gram_hashes, prefix_sums
 
 GRAM = 32
 CHUNK_BYTES = 4 << 20
 
 
-def scan(column: pa.Array, width: int) -> tuple[Anchored, np.ndarray]:
+def scan(column: pa.Array, width: int) -> tuple[Anchored, Callable[[int, int], bytes]]:
     data, offsets = byte_view(column)
     values = BYTE_VALUES[data]
-    n, gram = len(data), min(GRAM, width)
-    starts = np.arange(max(n - gram + 1, 0))
-    names = slice_hash(prefix_sums(values), starts, starts + gram)
-    at = first_minimum(mix(names), width - gram + 1)
-    return anchored(values, offsets, width, at, names[at] if len(at) else names[:0]), data
+    gram = min(GRAM, width)
+    names = gram_hashes(prefix_sums(values), gram)
+    return anchored(values, offsets, width, first_minimum(names, width - gram + 1), lambda at: (at, names[at])), lambda a, b: data[a : b - 1 + width].tobytes()
 
 
 def columns_file(data: np.ndarray, offsets: np.ndarray, shift: np.ndarray, width: int):
@@ -94,40 +92,12 @@ def repeated_starts(data: np.ndarray, offsets: np.ndarray, off: np.ndarray, n: n
 
 
 def resolver(width: int):
-    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-        """The partition's records, sorted by h, in tables that end between anchors."""
-        held, size = [], 0
-        for batch in batches:
-            held.append(batch)
-            size += batch.nbytes
-            if size > CHUNK_BYTES:
-                whole = pa.Table.from_batches(held).combine_chunks()
-                h = whole.column("h").to_numpy()
-                cut = int(np.searchsorted(h, h[-1]))
-                if cut:
-                    yield whole.slice(0, cut)
-                held = whole.slice(cut).to_batches()
-                size = sum(x.nbytes * x.num_rows // max(whole.num_rows, 1) for x in held)
-        if held:
-            yield pa.Table.from_batches(held)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in chunks(batches):
-            if not whole.num_rows:
-                continue
-            h = whole.column("h").to_numpy()
-            cuts = [0]
-            while cuts[-1] < len(h):  # whole anchors of about 8,192 documents at a time
-                far = min(cuts[-1] + 8192, len(h) - 1)
-                cuts.append(len(h) if far == len(h) - 1 else max(int(np.searchsorted(h, h[far])), cuts[-1]) if np.searchsorted(h, h[far]) > cuts[-1] else int(np.searchsorted(h, h[far], side="right")))
-            for low, high in zip(cuts, cuts[1:], strict=False):
-                part = whole.slice(low, high - low)
-                data, offsets = byte_view(part.column("data").combine_chunks() if part.column("data").num_chunks != 1 else part.column("data").chunk(0))
-                got = repeated_starts(data, offsets, part.column("off").to_numpy(), part.column("n").to_numpy(), width)
-                some = np.array([i for i, x in enumerate(got) if len(x)], np.int64)
-                yield pa.RecordBatch.from_arrays([longs(part.column("h").to_numpy()[some]), longs(part.column("g").to_numpy()[some]), pa.array([got[i].astype(np.int32) for i in some.tolist()], pa.list_(pa.int32()))], ["h", "g", "starts"])
-
-    return lambda records: records.repartition("h").sortWithinPartitions("h").mapInArrow(run, "h long, g long, starts array<int>")
+        for whole in anchor_chunks(batches, CHUNK_BYTES):
+            data, offsets = byte_view(whole.column("data").combine_chunks())
+            yield answered(whole, repeated_starts(data, offsets, whole.column("off").to_numpy(), whole.column("n").to_numpy(), width))
+
+    return by_anchor(run)
 
 
 def kept_bytes(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -149,4 +119,4 @@ def suffix_dedup(docs: DataFrame, width: int = 200) -> DataFrame:
             out.append((len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()))
         return out
 
-    return repeated(docs, lambda column: scan(column, width), width, resolver(width), finish, "n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return repeated(docs, lambda column: scan(column, width), width, resolver(width), finish, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", settled=False)

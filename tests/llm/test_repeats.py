@@ -105,14 +105,18 @@ def test_symbols_in_reach_recur_in_equal_windows():
     both = levels(np.concatenate([a, b]), np.array([0, len(a), len(a), len(a) + len(b)]))
     assert all((np.diff(x.left) >= 0).all() and (np.diff(x.right) >= 0).all() for x in both)
     for width in (5, 12, 35):
-        (at1, name1), (at2, name2) = anchors(a, np.array([0, len(a)]), width), anchors(b, np.array([0, len(b)]), width)
+        (at1, name1), (at2, name2) = (look(number) for number, look in (anchors(x, np.array([0, len(x)]), width) for x in (a, b)))
         k = len(core) - width + 1
         assert (at1[17 : 17 + k] - 17 == at2[44 : 44 + k] - 44).all() and (name1[17 : 17 + k] == name2[44 : 44 + k]).all()
 
 
-def test_recompression_matches_brute_force(spark):
+@pytest.mark.parametrize("dense", [4096, 1])
+def test_recompression_matches_brute_force(spark, monkeypatch, dense):
+    import lodestone.llm.repeats as repeats
     from lodestone.llm.recompression import recompression_dedup
 
+    monkeypatch.setattr(repeats, "DENSE", dense)
+
     texts = [*sample_texts(11, [*WORDS, *(f"w{i}" for i in range(40))]), "na " * 90, "na " * 50 + "batman", "a b " * 60, "a b " * 60 + "c"]
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(None, None, "y"), (5, texts[5], "z")], "doc_id long, text string, n string")
     got = sorted((tuple(r) for r in recompression_dedup(docs, 35).collect()), key=str)
