@@ -6,6 +6,10 @@ In each segment a forward Viterbi pass gives every position its best score; thos
 an A-star search backward from the end, which yields segmentations in the order of their scores. The texts' N best
 are put together from the segments' own: a k-th best changes only the segments with the k - 1 least losses.
 
+The forward pass runs over all new segments of a block at once, position by position. A backward pass then gives
+each the loss of its second-best segmentation, so the search itself runs only in the segments of a text that can
+take part in its N best; in all others the best path, which the search would pop first, is read off.
+
 A character that no piece holds costs ten below the lowest score and is written as byte pieces. Scores are the
 model's own. Null or empty text: no pieces, one segmentation of score 0. Repeated rows are encoded each. Texts that
 hold U+2581 decode with spaces in its place, as the library does; all others decode to themselves. Other columns
@@ -22,26 +26,26 @@ from collections.abc import Iterator
 from itertools import product
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import arrow_blocks, text_column
+from lodestone.llm.rolling import mix, prefix_sums, slice_hash
 
 BLANK = "▁"
 SEGMENT = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
-CACHED, CACHED_LENGTH = 200_000, 40
+CACHED, LONGEST = 300_000, 40
 _loaded: dict[tuple[str, int], "Pieces"] = {}
 
 
 class Entry(NamedTuple):
-    """A segment's best ids as bytes, what they decode to, their score, and the losses and ids of the next best ones."""
+    """A segment's best ids as bytes, their score, and what the next best segmentation loses."""
 
     ids: bytes
-    decoded: bytes
     score: float
-    losses: tuple[float, ...]
-    others: tuple[bytes, ...]
+    loss: float
 
 
 class Pieces:
@@ -60,7 +64,95 @@ class Pieces:
         self.unknown, self.unknown_score = model.unk_id(), min((s for s, _ in self.score.values()), default=0.0) - 10
         spelled = {i: self.name[i].replace(BLANK, " ").encode() for i in plain} | {i: bytes([b]) for b, i in self.byte.items()}
         self.raw = [spelled.get(i, b"") for i in size]
-        self.best, self.cache = best, {}
+        self.best, self.cache, self.ranked = best, {}, {}
+        # pieces by the hash of their characters, a table that rules most others out, and scores by id, the last for none
+        named = sorted(self.score)
+        flat, ends = self._characters(named)
+        keys = slice_hash(prefix_sums(flat), ends[:-1], ends[1:])
+        order = np.argsort(keys)
+        self.keys, self.ids_by_key = keys[order], np.array([self.score[n][1] for n in named], np.int32)[order]
+        self.maybe = np.zeros(1 << 18, bool)
+        self.maybe[self.keys >> np.uint64(46)] = True
+        self.scores = np.full(len(self.name) + 1, -np.inf)
+        for score, i in self.score.values():
+            self.scores[i] = score
+        # an unknown ASCII character is its one byte piece
+        self.ascii = np.array([self.byte.get(c, -1) if chr(c) not in self.score else -1 for c in range(128)], np.int32)
+        self.scores[self.ascii[self.ascii >= 0]] = self.unknown_score
+
+    @staticmethod
+    def _characters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Hash values of the texts' characters, and the texts' ends in them."""
+        codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        return mix(codes.astype(np.uint64) + np.uint64(0x9E3779B9)), np.cumsum([0, *map(len, texts)])
+
+    def _piece(self, keys: np.ndarray) -> np.ndarray:
+        """The ids of pieces with these keys, -1 for none."""
+        out = np.full(len(keys), -1, np.int32)
+        near = np.flatnonzero(self.maybe[keys >> np.uint64(46)])
+        at = np.minimum(np.searchsorted(self.keys, keys[near]), len(self.keys) - 1)
+        hit = self.keys[at] == keys[near]
+        out[near[hit]] = self.ids_by_key[at[hit]]
+        return out
+
+    def solve(self, segments: list[str]) -> None:
+        """Entries of segments of at most LONGEST characters, all at once; those with unknown characters one by one."""
+        segments = sorted(segments, key=len, reverse=True)
+        flat, ends = self._characters(segments)
+        sums, start, size = prefix_sums(flat), ends[:-1], np.diff(ends)
+        place = np.arange(len(flat)) - np.repeat(start, size)
+        room = np.repeat(size, size) - place
+        n, top = len(segments), int(size[0])
+        wide = min(self.longest, top)
+        piece = np.full((wide + 1, len(flat) + 1), -1, np.int32)  # by length and first character
+        for k in range(1, wide + 1):
+            at = np.flatnonzero(room >= k)
+            piece[k, at] = self._piece(slice_hash(sums, at, at + k))
+        codes = np.frombuffer("".join(segments).encode("utf-32-le"), np.uint32)
+        alone = np.flatnonzero((piece[1, :-1] < 0) & (codes < 128))
+        piece[1, alone] = self.ascii[codes[alone]]
+        strange = np.unique(np.repeat(np.arange(n), size)[piece[1, :-1] < 0])
+        active = np.searchsorted(-size, -np.arange(top + 1), side="right")  # segments of at least so many characters
+        ahead = np.full((top + 1, n), -np.inf)
+        ahead[0] = 0
+        chosen = np.zeros((top + 1, n), np.int8)
+        for p in range(1, top + 1):
+            m = active[p]
+            for k in range(1, min(p, wide) + 1):
+                score = ahead[p - k, :m] + self.scores[piece[k, start[:m] + p - k]]
+                better = score >= ahead[p, :m]
+                better &= score > -np.inf
+                ahead[p, :m][better] = score[better]
+                chosen[p, :m][better] = k
+        best = ahead[size, np.arange(n)]
+        path = np.zeros((top + 1, n), np.int8)
+        left, rows = size.copy(), np.setdiff1d(np.arange(n), strange)
+        while len(rows):
+            k = chosen[left[rows], rows]
+            left[rows] -= k
+            path[left[rows], rows] = k
+            rows = rows[left[rows] > 0]
+        behind = np.full((top + wide + 1, n), -np.inf)
+        behind[size, np.arange(n)] = 0
+        second = np.full(n, -np.inf)
+        for p in range(top - 1, -1, -1):
+            m = active[p + 1]
+            for k in range(1, min(wide, top - p) + 1):
+                score = self.scores[piece[k, start[:m] + p]] + behind[p + k, :m]
+                np.maximum(behind[p, :m], score, out=behind[p, :m])
+                score += ahead[p, :m]
+                score[path[p, :m] == k] = -np.inf
+                np.maximum(second[:m], score, out=second[:m])
+        row, first = np.nonzero(path.T)
+        ids = piece[path[first, row], start[row] + first]
+        held = ids.tobytes()
+        cuts = (4 * np.searchsorted(row, np.arange(n + 1))).tolist()
+        with np.errstate(invalid="ignore"):
+            loss = (best - second).tolist()  # of strange segments nothing yet
+        for i, (segment, score, loss) in enumerate(zip(segments, best.tolist(), loss, strict=True)):
+            self.cache[segment] = Entry(held[cuts[i] : cuts[i + 1]], score, loss)
+        for i in strange.tolist():
+            self.cache[segments[i]] = self.searched(segments[i])
 
     def lattice(self, segment: str) -> tuple[list[list[tuple[int, float, int]]], list[float]]:
         """For each position the pieces that end there as (start, score, id, or below 0 for an unknown character), and its best score."""
@@ -108,27 +200,45 @@ class Pieces:
                 out.append(self.unknown)
         return out
 
-    def entry(self, segment: str) -> Entry:
-        got = self.cache.get(segment)
+    def searched(self, segment: str) -> Entry:
+        found = self.search(segment, 2)
+        return Entry(array("i", self.ids(segment, found[0][1])).tobytes(), found[0][0], found[0][0] - found[1][0] if len(found) > 1 else float("inf"))
+
+    def entries(self, texts: list[str]) -> list[tuple[list[str], list[Entry]]]:
+        """Each text's segments and their entries."""
+        cut = [SEGMENT.findall(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
+        if len(self.cache) > CACHED:
+            self.cache.clear()
+        fresh = {s for own in cut for s in own}.difference(self.cache)
+        short = [s for s in fresh if len(s) <= LONGEST]
+        if short:
+            self.solve(short)
+        out = []
+        for own in cut:
+            found = [self.cache.get(s) or self.searched(s) for s in own]
+            out.append((own, found))
+        return out
+
+    def ranking(self, segment: str) -> list[tuple[float, bytes]]:
+        """The segment's best segmentations as (loss, ids)."""
+        got = self.ranked.get(segment)
         if got is None:
             found = self.search(segment, self.best)
-            ids = [self.ids(segment, path) for _, path in found]
-            top = found[0][0]
-            got = Entry(array("i", ids[0]).tobytes(), b"".join([self.raw[i] for i in ids[0]]), top, tuple(top - s for s, _ in found[1:]), tuple(array("i", x).tobytes() for x in ids[1:]))
-            if len(segment) <= CACHED_LENGTH:
-                if len(self.cache) >= CACHED:
-                    self.cache.clear()
-                self.cache[segment] = got
+            got = [(found[0][0] - s, array("i", self.ids(segment, path)).tobytes()) for s, path in found]
+            if len(self.ranked) >= CACHED // 10:
+                self.ranked.clear()
+            if len(segment) <= LONGEST:
+                self.ranked[segment] = got
         return got
 
-    def entries(self, text: str) -> list[Entry]:
-        held, entry = self.cache, self.entry
-        return [held.get(s) or entry(s) for s in SEGMENT.findall(BLANK + text.replace(" ", BLANK))] if text else []
-
-    def losses(self, entries: list[Entry]) -> list[tuple[float, tuple[tuple[int, int], ...]]]:
-        """The text's best segmentations as (loss, ((segment, its other), ...)), the best first."""
-        near = heapq.nsmallest(self.best - 1, [(e.losses[0], i) for i, e in enumerate(entries) if e.losses])
-        ways = [[(0.0, ())] + [(loss, ((i, k),)) for k, loss in enumerate(entries[i].losses)] for _, i in near]
+    def losses(self, segments: list[str], entries: list[Entry]) -> list[tuple[float, tuple[tuple[int, int], ...]]]:
+        """The text's best segmentations as (loss, ((segment, its rank), ...)), the best first."""
+        loss = np.array([e.loss for e in entries])
+        near = np.arange(len(loss))
+        if len(loss) >= self.best:
+            near = np.flatnonzero(loss <= np.partition(loss, self.best - 2)[self.best - 2])
+        near = near[np.argsort(loss[near], kind="stable")][: self.best - 1]
+        ways = [[(loss, ((i, k),) if k else ()) for k, (loss, _) in enumerate(self.ranking(segments[i]))] for i in near.tolist()]
         every = [(sum(w[0] for w in way), tuple(x for w in way for x in w[1])) for way in product(*ways)]
         return heapq.nsmallest(self.best, every)
 
@@ -151,13 +261,14 @@ def segmentations(docs: DataFrame, model_path: str, best: int = 4) -> DataFrame:
         model = pieces(model_path, best)
         for batch in arrow_blocks(batches):
             rows = []
-            for text in text_column(batch).to_pylist():
-                entries = model.entries(text)
+            texts = text_column(batch).to_pylist()
+            for text, (segments, entries) in zip(texts, model.entries(texts), strict=True):
                 ids = b"".join([e.ids for e in entries])
                 score = sum([e.score for e in entries])
-                lost = model.losses(entries)
-                same = b"".join([e.decoded for e in entries])[1:] == text.encode()
-                rows.append((len(ids) // 4, float(score), hashlib.sha256(ids).hexdigest(), len(lost), ",".join(f"{score - x:.6g}" if abs(score) < 1e6 else repr(score - x) for x, _ in lost[1:]), same))
+                lost = model.losses(segments, entries)
+                own = array("i")
+                own.frombytes(ids)
+                rows.append((len(own), float(score), hashlib.sha256(ids).hexdigest(), len(lost), ",".join(f"{score - x:.0f}" for x, _ in lost[1:]), model.decode(own) == text))
             kinds = [pa.int64(), pa.float64(), pa.string(), pa.int64(), pa.string(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], ["doc_id", "n_pieces", "score", "ids_sha256", "n_best", "next_scores", "decoded_same"])
 
@@ -174,9 +285,9 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
         model = pieces(model_path, 1)
         for batch in arrow_blocks(batches):
             columns, ids = list(batch.columns), []
-            for text in text_column(batch).to_pylist():
+            for _, entries in model.entries(text_column(batch).to_pylist()):
                 own = array("i")
-                own.frombytes(b"".join([e.ids for e in model.entries(text)]))
+                own.frombytes(b"".join([e.ids for e in entries]))
                 ids.append(own)
             columns[at] = pa.array(ids, pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays(columns, names)

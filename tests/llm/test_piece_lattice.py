@@ -35,11 +35,19 @@ def test_search_is_exact():
             assert b"".join(model.raw[i] for i in model.ids(word, path)).decode() == word.replace(BLANK, " ")
 
 
+def test_solved_entries_match_search():
+    model = Pieces(PATH, 4)
+    words = [BLANK + w for w in "the thonreinsh erthly Éau schön a hello tokenization ééê x1y2 🙂 日本 und".split()] + ["abc", "a\nb", BLANK * 5 + "q", BLANK]
+    model.solve(words)
+    for w in words:
+        assert model.cache[w] == model.searched(w), w
+
+
 def test_whole_text_losses():
     model = Pieces(PATH, 5)
-    entries = model.entries("the cat sat on")
-    every = sorted(sum(x) for x in product(*([0.0, *e.losses] for e in entries)))[:5]
-    assert [x for x, _ in model.losses(entries)] == pytest.approx(every)
+    ((segments, entries),) = model.entries(["the cat sat on"])
+    every = sorted(sum(x) for x in product(*([loss for loss, _ in model.ranking(s)] for s in segments)))[:5]
+    assert [x for x, _ in model.losses(segments, entries)] == pytest.approx(every)
 
 
 def test_round_trip(spark):
