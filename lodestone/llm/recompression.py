@@ -16,16 +16,18 @@ Null or empty text: no words. Equal texts and rows repeat each other. Other colu
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lodestone.llm.common import byte_view
-from lodestone.llm.repeats import Anchored, anchored, covered, repeated
-from lodestone.llm.rolling import BYTE_VALUES, mix, prefix_sums, slice_hash
+from lodestone.llm.repeats import Anchored, anchor_chunks, anchored, answered, by_anchor, covered, repeated
+from lodestone.llm.rolling import BYTE_VALUES, gram_hashes, mix, prefix_sums, slice_hash
 
 ROUNDS = 3
+CHUNK_BYTES = 8 << 20
 _BYTES = np.arange(256)
 IS_BLANK = (_BYTES == 0x20) | (_BYTES >= 0x09) & (_BYTES <= 0x0D)
 _RUN, _PAIR, _SIDE = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -39,8 +41,9 @@ def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     move = np.diff(inside)
     cut = offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < len(data))]
     cut = np.unique(cut[(inside[cut] == 1) & (inside[cut + 1] == 1)])  # words that touch across texts
-    low = np.sort(np.concatenate([np.flatnonzero(move == 1), cut]))
-    high = np.sort(np.concatenate([np.flatnonzero(move == -1), cut]))
+    low, high = np.flatnonzero(move == 1), np.flatnonzero(move == -1)
+    if len(cut):
+        low, high = np.sort(np.concatenate([low, cut])), np.sort(np.concatenate([high, cut]))
     before = np.searchsorted(low, offsets)
     return slice_hash(prefix_sums(BYTE_VALUES[data]), low, high) if len(low) else np.zeros(0, np.uint64), before
 
@@ -118,28 +121,47 @@ def _least(key: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return out
 
 
-def anchors(names: np.ndarray, before: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each window start, its anchor's first word and name."""
+def anchors(names: np.ndarray, before: np.ndarray, width: int) -> tuple[np.ndarray, Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]]:
+    """For each window start the number of its anchor, and what gives anchors' first words and names by number."""
     n = max(len(names) - width + 1, 0)
-    at, name, open_ = np.zeros(n, np.int64), np.zeros(n, np.uint64), np.ones(n, bool)
-    for number, level in reversed(list(enumerate(levels(names, before)))):
-        start = np.flatnonzero(open_)
-        if not len(start):
+    out, left = np.zeros(n, np.int64), np.arange(n)
+    every = levels(names, before)
+    bounds = np.cumsum([0, *(len(x.name) for x in every)])
+    keys = [mix(x.name + np.uint64(k)) for k, x in enumerate(every)]
+    for k in range(len(every) - 1, -1, -1):
+        if not len(left):
             break
-        low = np.searchsorted(level.left, start)
-        high = np.searchsorted(level.right, start + width, side="right")
+        low = np.searchsorted(every[k].left, left)
+        high = np.searchsorted(every[k].right, left + width, side="right")
         some = high > low
-        start, low, high = start[some], low[some], high[some]
-        if len(start):
-            best = _least(mix(level.name), low, high)
-            at[start], name[start] = level.at[best], mix(level.name[best] + np.uint64(number))
-            open_[start] = False
-    return at, name
+        if some.any():
+            out[left[some]] = bounds[k] + _least(keys[k], low[some], high[some])
+        left = left[~some]
+    at, name = np.concatenate([x.at for x in every]), np.concatenate(keys)
+    return out, lambda number: (at[number], name[number])
 
 
-def scan(column: pa.Array, width: int) -> tuple[Anchored, np.ndarray]:
+def scan(column: pa.Array, width: int) -> tuple[Anchored, Callable[[int, int], bytes]]:
     names, before = words(column)
-    return anchored(names, before, width, *anchors(names, before, width)), names
+    found = anchored(names, before, width, *anchors(names, before, width))
+    windows = gram_hashes(found.sums, width)
+    return found, lambda a, b: windows[a:b].tobytes()
+
+
+def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Which windows of an anchor's records have the name of another's at the same place."""
+    for whole in anchor_chunks(batches, CHUNK_BYTES):
+        data, offsets = byte_view(whole.column("data").combine_chunks())
+        name, size = np.ascontiguousarray(data).view(np.uint64), np.diff(offsets) // 8
+        record = np.repeat(np.arange(whole.num_rows), size)
+        place = np.arange(len(name)) - np.repeat(np.cumsum(size) - size + whole.column("off").to_numpy(), size)
+        key = mix(mix(name + place.astype(np.uint64)) ^ whole.column("h").to_numpy().view(np.uint64)[record])
+        order = np.argsort(key)
+        same = key[order][1:] == key[order][:-1]
+        again = np.zeros(len(key), bool)
+        again[order[1:][same]] = again[order[:-1][same]] = True
+        own, at = record[again], place[again]
+        yield answered(whole, np.split(np.stack([at, at + 1], axis=1).ravel(), 2 * np.searchsorted(own, np.arange(1, whole.num_rows))))
 
 
 def recompression_dedup(docs: DataFrame, width: int = 35) -> DataFrame:
@@ -157,4 +179,4 @@ def recompression_dedup(docs: DataFrame, width: int = 35) -> DataFrame:
             out.append((len(parts), len(parts) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
         return out
 
-    return repeated(docs, lambda column: scan(column, width), width, None, finish, "n_words long, n_removed long, kept_sha256 string")
+    return repeated(docs, lambda column: scan(column, width), width, by_anchor(verify), finish, "n_words long, n_removed long, kept_sha256 string", settled=True)
