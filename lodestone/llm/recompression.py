@@ -137,8 +137,15 @@ def anchors(names: np.ndarray, before: np.ndarray, width: int) -> tuple[np.ndarr
         if some.any():
             out[left[some]] = bounds[k] + _least(keys[k], low[some], high[some])
         left = left[~some]
-    at, name = np.concatenate([x.at for x in every]), np.concatenate(keys)
-    return out, lambda number: (at[number], name[number])
+    at, left, right = (np.concatenate([getattr(x, f) for x in every]) for f in ("at", "left", "right"))
+    sums = prefix_sums(names)
+
+    def look(number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """An anchor's name stands for all words of its reach, which lie in the window, too: short symbols recur by chance."""
+        level = np.searchsorted(bounds, number, side="right").astype(np.uint64)
+        return at[number], mix(slice_hash(sums, left[number], right[number]) + level + (at[number] - left[number]).astype(np.uint64) * _PAIR)
+
+    return out, look
 
 
 def scan(column: pa.Array, width: int) -> tuple[Anchored, Callable[[int, int], bytes]]:
