@@ -33,7 +33,7 @@ _BYTES = np.arange(256)
 IS_WORD = (_BYTES >= 0x80) | (_BYTES >= 0x30) & (_BYTES <= 0x39) | (_BYTES >= 0x61) & (_BYTES <= 0x7A) | (_BYTES >= 0x41) & (_BYTES <= 0x5A)
 LOWER = np.where((_BYTES >= 0x41) & (_BYTES <= 0x5A), _BYTES + 32, _BYTES)
 _UPPER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 
 
 def lower_ascii(text: str) -> str:

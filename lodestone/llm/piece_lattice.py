@@ -132,6 +132,22 @@ class Pieces:
             left[rows] -= k
             path[left[rows], rows] = k
             rows = rows[left[rows] > 0]
+        second = self._second(piece, start, size, active, ahead, path) if self.best > 1 else np.full(n, -np.inf)
+        row, first = np.nonzero(path.T)
+        ids = piece[path[first, row], start[row] + first]
+        held = ids.tobytes()
+        cuts = (4 * np.searchsorted(row, np.arange(n + 1))).tolist()
+        with np.errstate(invalid="ignore"):
+            loss = (best - second).tolist()  # of strange segments nothing yet
+        for i, (segment, score, loss) in enumerate(zip(segments, best.tolist(), loss, strict=True)):
+            self.cache[segment] = Entry(held[cuts[i] : cuts[i + 1]], score, loss)
+        for i in strange.tolist():
+            self.cache[segments[i]] = self.searched(segments[i])
+
+    def _second(self, piece, start, size, active, ahead, path) -> np.ndarray:
+        """The scores of the second-best segmentations: the best over a piece that is not on the best path."""
+        top, n = len(ahead) - 1, len(size)
+        wide = len(piece) - 1
         behind = np.full((top + wide + 1, n), -np.inf)
         behind[size, np.arange(n)] = 0
         second = np.full(n, -np.inf)
@@ -143,16 +159,7 @@ class Pieces:
                 score += ahead[p, :m]
                 score[path[p, :m] == k] = -np.inf
                 np.maximum(second[:m], score, out=second[:m])
-        row, first = np.nonzero(path.T)
-        ids = piece[path[first, row], start[row] + first]
-        held = ids.tobytes()
-        cuts = (4 * np.searchsorted(row, np.arange(n + 1))).tolist()
-        with np.errstate(invalid="ignore"):
-            loss = (best - second).tolist()  # of strange segments nothing yet
-        for i, (segment, score, loss) in enumerate(zip(segments, best.tolist(), loss, strict=True)):
-            self.cache[segment] = Entry(held[cuts[i] : cuts[i + 1]], score, loss)
-        for i in strange.tolist():
-            self.cache[segments[i]] = self.searched(segments[i])
+        return second
 
     def lattice(self, segment: str) -> tuple[list[list[tuple[int, float, int]]], list[float]]:
         """For each position the pieces that end there as (start, score, id, or below 0 for an unknown character), and its best score."""
@@ -283,7 +290,7 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(model_path, 1)
-        for batch in arrow_blocks(batches):
+        for batch in arrow_blocks(batches, "text", 1 << 19):
             columns, ids = list(batch.columns), []
             for _, entries in model.entries(text_column(batch).to_pylist()):
                 own = array("i")
