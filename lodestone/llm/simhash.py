@@ -271,29 +271,29 @@ def near_duplicates(docs: DataFrame, size: int = 3, tau: int = 2) -> DataFrame:
 
 # Documents of a given similarity
 
-#: Blocks end after shingles whose hash is 0 modulo the first number, in texts of more than the second and at most the
-#: third number of shingles. Texts that are 0.8 similar differ by a quarter in length at most, so they share a level,
-#: and by one edited word in 45 at most, so some of their blocks are whole.
-LEVELS = ((1, 0, 40), (4, 30, 160), (8, 100, 500), (16, 400, 1 << 62))
-#: Texts that share a block and are all paired; beyond it, each is paired with the group's first and last text.
+#: A shingle that more texts share is crowded: its texts are first linked through a few of them, then paired in squares.
 PAIRED = 16
-#: Whole-text fingerprints of texts that are 0.8 similar differ by 10 bits at the median and 18 at most (50,000 texts measured).
-FAR = 20
+#: Texts of a crowded shingle on each side of a square.
+SIDE = 256
+#: Shingles of the most sampled texts come last in the order of shingles: at most so many, each in so many sampled texts.
+COMMON, OFTEN = 1 << 16, 8
 
 
-def blocks_of(hashes: list[int]) -> list[int]:
-    """SimHash fingerprints of the runs of shingles between content-defined cuts."""
-    flat = np.array(hashes, np.uint64)
-    if not len(flat):
-        return [0]
-    bits, out = bit_table(flat), []
-    for every, above, most in LEVELS:
-        if above < len(flat) <= most:
-            low = np.flatnonzero(np.concatenate([[True], (flat[:-1] & np.uint64(every - 1)) == 0]))
-            size = np.diff(np.append(low, len(flat)))
-            sums = np.add.reduceat(bits, low, axis=0, dtype=np.int32)
-            out.append(np.packbits(2 * sums > size[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0] + np.uint64(every))
-    return np.unique(np.concatenate(out).view(np.int64)).tolist()
+def prefix_of(hashes: np.ndarray, common: np.ndarray, least: float) -> np.ndarray:
+    """The first of a set's shingles in an order that holds for all texts: common ones last, else by hash.
+
+    A set at least that similar shares ceil(least n) of the n shingles, so it has one of the first n - ceil(least n) + 1.
+    """
+    if not len(hashes):
+        return np.zeros(1, np.int64)  # texts without words
+    if len(common):
+        last = common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] == hashes
+        hashes = np.concatenate([hashes[~last], hashes[last]])
+    return hashes[: len(hashes) - int(np.ceil(least * len(hashes) - 1e-6)) + 1].view(np.int64)
+
+
+def shingle_set(text: str, size: int) -> np.ndarray:
+    return np.unique(np.array(shingle_hashes(text, size), np.uint64))
 
 
 def similarity(a: str, b: str, size: int) -> float:
@@ -302,34 +302,38 @@ def similarity(a: str, b: str, size: int) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
+def common_shingles(keyed_docs: DataFrame, size: int) -> np.ndarray:
+    """Sorted hashes of the most frequent shingles of one text in eight: a table of bounded size. It orders, and drops nothing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in arrow_blocks(batches):
+            own = [shingle_set(t, size) for t in text_column(batch).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *own]).view(np.int64))], ["token"])
+
+    counts = keyed_docs.where("pmod(t1, 8) = 0").select("text").mapInArrow(run, "token long").groupBy("token").count()
+    rows = counts.where(F.col("count") > OFTEN).orderBy(F.desc("count"), "token").limit(COMMON).select("token").collect()
+    return np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
+
+
 def similar_groups(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:
     """(t1, t2, root) of each distinct text: texts linked by chains of at least that similarity share root.
 
-    At a similarity of 0.8 whole-text fingerprints are too far apart for probing, so each text is cut at shingles
-    chosen by content and its blocks are fingerprinted: similar texts have blocks in common. Texts that share a
-    block's fingerprint are candidates, are filtered by their whole fingerprints, and verified on all shingles.
+    Two such texts share a shingle of their prefixes (prefix_of), at places and with sizes that leave room for the
+    overlap. All pairs that share one are verified on all shingles, but for those of crowded shingles that are in one
+    group already: texts of a crowded shingle are first linked through the two whose prefixes are most shared (an
+    original has no edits of its own), and then only pairs across groups are open, made in squares of SIDE texts.
     """
     from lodestone.llm.repeats import KEY, distinct_texts, with_key
 
+    spark = docs.sparkSession
+    texts = with_key(docs.select("text"))
+    common = spark.sparkContext.broadcast(common_shingles(texts, size))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow_blocks(batches):
-            hashes = [shingle_hashes(t, size) for t in text_column(batch).to_pylist()]
-            fp = fingerprint_hashes(hashes).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(fp), pa.array([blocks_of(h) for h in hashes], pa.list_(pa.int64()))], [*KEY, "fp", "blocks"])
-
-    # fingerprints are shuffled, not texts
-    prints = with_key(docs.select("text")).select("text", *KEY).mapInArrow(run, "t1 long, t2 long, fp long, blocks array<long>")
-    prints = stored(prints.groupBy(*KEY).agg(F.first("fp").alias("fp"), F.first("blocks").alias("blocks")), "blocks")
-    rows = prints.select("t1", F.explode("blocks").alias("block"))
-    crowd = rows.groupBy("block").agg(F.count("*").alias("n"), F.min("t1").alias("first"), F.max("t1").alias("last")).where("n > 1")
-    shared = rows.join(crowd, "block")
-    few = shared.where(F.col("n") <= PAIRED).select("block", "t1")
-    pairs = few.withColumnRenamed("t1", "u").join(few.withColumnRenamed("t1", "v"), "block").where("u < v").select("u", "v")
-    hubs = shared.where(F.col("n") > PAIRED).select(F.explode(F.array("first", "last")).alias("u"), F.col("t1").alias("v")).where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    pairs = pairs.unionByName(hubs).distinct()
-    fps = prints.select("t1", "t2", "fp")
-    near_pairs = pairs.join(fps.toDF("u", "u2", "a"), "u").join(fps.toDF("v", "v2", "b"), "v").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= FAR)
-    near_pairs = stored(near_pairs.select("u", "u2", "v", "v2"), "pairs")
+            sets = [shingle_set(t, size) for t in text_column(batch).to_pylist()]
+            n = pa.array([len(x) for x in sets], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), n, pa.array([prefix_of(x, common.value, least) for x in sets], pa.list_(pa.int64()))], [*KEY, "n", "tokens"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -339,8 +343,48 @@ def similar_groups(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFr
                 yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     whole = distinct_texts(docs).select(*KEY, "text")
-    linked = near_pairs.join(whole.toDF("u", "u2", "text_u"), ["u", "u2"]).join(whole.toDF("v", "v2", "text_v"), ["v", "v2"]).select("u", "v", "text_u", "text_v").mapInArrow(verify, "u long, v long")
-    rooted = components(linked)
+
+    def paired(left: DataFrame, right: DataFrame, on: list[str], also=None) -> DataFrame:
+        """Pairs (u, v) of rows with one token whose sizes and places leave room for the overlap."""
+        fields = ["t1", "n", "pos", "root"]
+        a = left.select(*on, *(F.col(c).alias(f"{c}_u") for c in fields if c in left.columns))
+        b = right.select(*on, *(F.col(c).alias(f"{c}_v") for c in fields if c in right.columns))
+        need = F.ceil(F.lit(least / (1 + least)) * (F.col("n_u") + F.col("n_v")) - 1e-6)
+        room = F.least(F.col("n_u") - F.col("pos_u"), F.col("n_v") - F.col("pos_v"))
+        fits = (F.least("n_u", "n_v") >= F.lit(least) * F.greatest("n_u", "n_v") - 1e-6) & (room >= need)
+        made = a.join(b, on).where(fits & (F.col("t1_u") != F.col("t1_v")))
+        made = made if also is None else made.where(also)
+        return made.select(F.least("t1_u", "t1_v").alias("u"), F.greatest("t1_u", "t1_v").alias("v"))
+
+    def verified(pairs: DataFrame, label: str) -> DataFrame:
+        ids = prints.select("t1", "t2")
+        named = stored(pairs.distinct().join(ids.toDF("u", "u2"), "u").join(ids.toDF("v", "v2"), "v").select("u", "u2", "v", "v2"), "pairs")
+        both = named.join(whole.toDF("u", "u2", "text_u"), ["u", "u2"]).join(whole.toDF("v", "v2", "text_v"), ["v", "v2"])
+        return stored(both.select("u", "v", "text_u", "text_v").mapInArrow(verify, "u long, v long"), label)
+
+    # prefixes are shuffled, not texts
+    prints = texts.select("text", *KEY).mapInArrow(run, "t1 long, t2 long, n int, tokens array<long>")
+    prints = stored(prints.groupBy(*KEY).agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")), "prefixes")
+    rows = prints.select("t1", "n", F.size("tokens").alias("size"), F.posexplode("tokens").alias("pos", "token"))
+    counts = rows.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
+    shared = stored(rows.join(counts, "token"), "shared")
+    few, crowd = shared.where(F.col("m") <= PAIRED), shared.where(F.col("m") > PAIRED)
+    pairs = paired(few, few, ["token"], F.col("t1_u") < F.col("t1_v"))
+    if crowd.isEmpty():
+        rooted = components(verified(pairs, "links"))
+    else:
+        own = shared.groupBy("t1").agg((F.first("size") - F.count("*")).alias("alone"))
+        ranked = crowd.join(own, "t1")
+        best = [F.min(F.struct("alone", F.xxhash64(F.lit(k), "t1", "token").alias("tie"), "t1", "n", "pos")).alias(f"hub{k}") for k in range(2)]
+        hubs = ranked.groupBy("token").agg(*best).select("token", F.explode(F.array("hub0", "hub1")).alias("hub")).select("token", "hub.t1", "hub.n", "hub.pos").distinct()
+        near = stored(components(verified(pairs.unionByName(paired(crowd, hubs, ["token"])), "links")), "near")
+        named = crowd.join(near, crowd["t1"] == near["node"], "left").select("token", "t1", "n", "pos", "m", F.coalesce("root", "t1").alias("root"))
+        split = named.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
+        open_ = named.join(split, "token").withColumn("g", F.ceil(F.col("m") / SIDE).cast("int")).withColumn("mine", F.expr("cast(pmod(xxhash64(t1), g) as int)"))
+        open_ = stored(open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1))), "open")
+        left, right = (open_.withColumnsRenamed({"mine": x, "other": y}) for x, y in (("a", "b"), ("b", "a")))
+        rest = paired(left, right, ["token", "a", "b"], (F.col("t1_u") < F.col("t1_v")) & (F.col("root_u") != F.col("root_v")))
+        rooted = components(near.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(verified(rest, "rest")))
     return prints.select(*KEY).join(rooted, prints["t1"] == rooted["node"], "left").select(*KEY, F.coalesce("root", "t1").alias("root"))
 
 

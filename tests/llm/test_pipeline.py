@@ -3,7 +3,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from lodestone.llm.simhash import one_of_each, shingle_hashes
+from lodestone.llm.simhash import one_of_each, shingle_hashes, similar_groups
 
 
 def similar(a, b):
@@ -50,6 +50,64 @@ def test_one_of_each_matches_brute_force(spark):
     assert got == sorted(want.values())
 
 
+def groups(texts):
+    """Brute force: the sets of numbers of texts that chains of similar pairs link."""
+    sets = [set(shingle_hashes(t, 5)) for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, x in enumerate(sets):
+        for b, y in enumerate(sets[:a]):
+            if find(a) != find(b) and (len(x & y) / len(x | y) if x or y else 1.0) >= 0.8:
+                parent[find(a)] = find(b)
+    out = {}
+    for i in range(len(texts)):
+        out.setdefault(find(i), set()).add(i)
+    return sorted(map(sorted, out.values()))
+
+
+def found_groups(spark, texts):
+    from lodestone.llm.repeats import KEY, with_key
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {}
+    for r in with_key(docs).join(similar_groups(docs), KEY).select("doc_id", "root").collect():
+        out.setdefault(r["root"], set()).add(r["doc_id"])
+    return sorted(map(sorted, out.values()))
+
+
+def edited(words, rng, edits):
+    out = list(words)
+    for i in rng.sample(range(len(out)), edits):
+        out[i] = f"zz{rng.random()}"
+    return out
+
+
+def test_large_families_match_brute_force(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    texts, line = [], " ".join(word() for _ in range(12))
+    for size, edits, copies in ((60, 1, 300), (200, 4, 200)):
+        original = [word() for _ in range(size)]
+        texts += [" ".join(original), *(" ".join(edited(original, rng, edits)) for _ in range(copies))]
+    chain = [word() for _ in range(80)]
+    for i in range(60):  # each similar to its neighbours only
+        chain[i] = word()
+        texts.append(" ".join(chain))
+    # copies of copies that lack their original, and a line that unlike texts have in common
+    lost = [word() for _ in range(60)]
+    texts += [" ".join(edited(lost, rng, 1)) for _ in range(60)]
+    texts += [f"{line} " + " ".join(word() for _ in range(rng.randrange(1, 30))) for _ in range(200)]
+    want = groups(texts)
+    assert len(want[0]) == 301 and len(want[1]) == 201 and len(want) > 100
+    assert found_groups(spark, texts) == want
+
+
 @pytest.fixture
 def tables(spark, tmp_path):
     rng = random.Random(4)
