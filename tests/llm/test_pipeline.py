@@ -108,6 +108,18 @@ def test_large_families_match_brute_force(spark):
     assert found_groups(spark, texts) == want
 
 
+def test_repeats_do_not_part_similar_texts(spark):
+    rng = random.Random(9)
+    texts = []
+    for _ in range(30):
+        words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(141)]
+        passage, line, other = words[:100], words[100:112], words[112:121]
+        texts += [" ".join(passage + line), " ".join(passage + line * 10)]
+        texts += [" ".join(other[:8]), " ".join(other)]
+        texts += [" ".join(words[20:140]), " ".join(words[20:140] * 8)]
+    assert found_groups(spark, texts) == groups(texts) == [[i, i + 1] for i in range(0, 180, 2)]
+
+
 @pytest.fixture
 def tables(spark, tmp_path):
     rng = random.Random(4)
