@@ -116,18 +116,22 @@ def inverted_stars(valid: DataFrame) -> DataFrame:
     return _paths(pairs, "inverted_star_shaped", [F.col("hop_a"), F.col("hop_b")]).dropDuplicates(["graph_id", "path_sha1"])
 
 
-def cycles(valid: DataFrame, longest: int = 6) -> DataFrame:
-    """Simple cycles of 3 to longest hops, each from its least node."""
+def cycles(valid: DataFrame, longest: int | None = None) -> DataFrame:
+    """Simple cycles of 3 hops or more, each from its least node: until no walk is left, or up to longest hops."""
+    valid = valid.persist()  # every round reads it
     step = valid.select("graph_id", F.col("u").alias("at"), F.col("v").alias("next"), F.col("hop").alias("more"))
     now = valid.where("v > u").select("graph_id", F.col("u").alias("start"), F.array("u", "v").alias("seen"), F.array("hop").alias("hops"), F.col("v").alias("end"))
-    out = None
-    for n in range(2, longest + 1):
+    out, n = None, 1
+    while longest is None or n < longest:
+        n += 1
         grown = now.withColumnRenamed("graph_id", "g").join(step, (F.col("g") == F.col("graph_id")) & (F.col("end") == F.col("at"))).where("next >= start")
         grown = grown.select("graph_id", "start", "seen", F.concat("hops", F.array("more")).alias("hops"), F.col("next").alias("end"))
         if n > 2:
             found = _paths(grown.where("end = start"), "cycle_path", [F.col("hops")[i] for i in range(n)])
             out = found if out is None else out.unionByName(found)
-        now = grown.where("end <> start and not array_contains(seen, end)").withColumn("seen", F.concat("seen", F.array("end")))
+        now = grown.where("end <> start and not array_contains(seen, end)").withColumn("seen", F.concat("seen", F.array("end"))).persist()
+        if n > 2 and now.isEmpty():
+            break
     return out
 
 

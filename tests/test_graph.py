@@ -57,6 +57,12 @@ def test_inverted_star_sizes(spark):
         assert g.inverted_stars(valid).count() == want
 
 
+def test_cycles_of_any_length(spark):
+    valid, _ = mined(spark, [*((f"n{i}", "r", f"n{(i + 1) % 8}") for i in range(8)), ("n3", "r", "n0"), ("n7", "r", "leaf")])
+    assert ids(g.cycles(valid)) == ["t0,t1,t2,t3,t4,t5,t6,t7", "t0,t1,t2,t8"]
+    assert ids(g.cycles(valid, 6)) == ["t0,t1,t2,t8"]
+
+
 def test_cycles_once_each(spark):
     valid, _ = mined(spark, [("a", "r", "b"), ("b", "r", "c"), ("c", "r", "a"), ("b", "r", "a"), ("a", "r", "a")])
     assert ids(g.cycles(valid)) == ["t0,t1,t2"]
