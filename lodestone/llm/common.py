@@ -48,6 +48,14 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """name, with underscores until no column has it; Spark's names don't tell cases apart."""
+    held = {c.lower() for c in taken}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
 def text_column(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
     """The column with nulls as empty strings."""
     return pc.fill_null(batch.column(batch.schema.get_field_index(name)), "")
