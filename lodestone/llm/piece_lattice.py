@@ -43,7 +43,7 @@ BOUNDARY = re.compile(f"[^{BLANK}]{BLANK}")
 #: Bytes of text handled at once, characters of a stretch, of a segment solved in numpy, and segments solved at once.
 BLOCK, STRETCH, LONGEST, SOLVED = 1 << 20, 1 << 20, 40, 8192
 #: Bytes of solved segments kept by a Python worker, and searched segments.
-KEPT_BYTES, SEARCHED = 24 << 20, 20_000
+KEPT_BYTES, SEARCHED = 12 << 20, 20_000
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _loaded: dict[tuple[str, int], "Pieces"] = {}
 
@@ -81,6 +81,9 @@ class Ragged:
         low = np.where(rows > 0, self.ends[rows - 1], 0)
         return low, high - low
 
+    def used(self) -> int:
+        return int(self.ends[self.rows - 1]) * self.flat.itemsize if self.rows else 0
+
     def row(self, i: int) -> np.ndarray:
         return self.flat[self.ends[i - 1] if i else 0 : self.ends[i]]
 
@@ -111,8 +114,12 @@ class Pieces:
         keys = np.array([self._key(n) for n in named], np.uint64)
         order = np.argsort(keys)
         self.piece_keys, self.ids_by_key = keys[order], np.array([self.score[n][1] for n in named], np.int32)[order]
+        cell = self.piece_keys >> np.uint64(46)
         self.maybe = np.zeros(1 << 18, bool)
-        self.maybe[self.piece_keys >> np.uint64(46)] = True
+        self.maybe[cell] = True
+        # the first piece of each cell, and how many a cell has at most
+        self.first_in = np.searchsorted(cell, np.arange(1 << 18, dtype=np.uint64)).astype(np.int32)
+        self.crowd = int(np.unique(cell, return_counts=True)[1].max()) if len(cell) else 0
         # by id, the last for none: the rank by which pairs merge, and the price of an edge
         self.rank, self.price = np.full(len(self.name) + 1, np.inf), np.full(len(self.name) + 1, np.inf)
         self.scores = np.zeros(len(self.name) + 1)
@@ -140,10 +147,15 @@ class Pieces:
     def _piece(self, keys: np.ndarray) -> np.ndarray:
         """The ids of pieces with these keys, -1 for none."""
         out = np.full(len(keys), -1, np.int32)
-        near = np.flatnonzero(self.maybe[keys >> np.uint64(46)])
-        at = np.minimum(np.searchsorted(self.piece_keys, keys[near]), len(self.piece_keys) - 1)
-        hit = self.piece_keys[at] == keys[near]
-        out[near[hit]] = self.ids_by_key[at[hit]]
+        cell = (keys >> np.uint64(46)).astype(np.int32)
+        near = np.flatnonzero(self.maybe[cell])
+        keys, at = keys[near], self.first_in[cell[near]]
+        for _ in range(self.crowd):
+            found = self.piece_keys[at]
+            hit = found == keys
+            out[near[hit]] = self.ids_by_key[at[hit]]
+            left = np.flatnonzero(found < keys)
+            near, keys, at = near[left], keys[left], np.minimum(at[left] + 1, len(self.piece_keys) - 1)
         return out
 
     def solve(self, codes: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -422,7 +434,7 @@ class Pieces:
 
         The slots hold until the next call.
         """
-        if self.codes.rows and self.codes.flat.nbytes + self.ids.flat.nbytes + 40 * self.codes.rows > KEPT_BYTES:
+        if self.codes.rows and self.codes.used() + self.ids.used() + 40 * self.codes.rows > KEPT_BYTES:
             self.forget()
         count, parts, ids, slots = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
         for held, owner in self.stretches(texts):
@@ -479,10 +491,9 @@ def segmentations(docs: DataFrame, model_path: str, best: int = 4) -> DataFrame:
     """The best segmentation of each text and the next ones.
 
     doc_id, n_pieces, score (the sum of the model's scores), ids_sha256 (of little-endian 32-bit ids), n_best, and of
-    the others next_costs and next_sha256 (comma-joined); decoded_same: the ids spell the text; as_library: the
-    library gives the same ids.
+    the others next_costs and next_sha256 (comma-joined); decoded_same: the ids spell the text.
     """
-    kinds = {"n_pieces": pa.int64(), "score": pa.float64(), "ids_sha256": pa.string(), "n_best": pa.int64(), "next_costs": pa.string(), "next_sha256": pa.string(), "decoded_same": pa.bool_(), "as_library": pa.bool_()}
+    kinds = {"n_pieces": pa.int64(), "score": pa.float64(), "ids_sha256": pa.string(), "n_best": pa.int64(), "next_costs": pa.string(), "next_sha256": pa.string(), "decoded_same": pa.bool_()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(model_path, best)
@@ -495,12 +506,11 @@ def segmentations(docs: DataFrame, model_path: str, best: int = 4) -> DataFrame:
                 found = model.nearest(places)
                 others = [hashlib.sha256(model.replaced(own, places, changed)).hexdigest() for _, changed in found[1:]]
                 same = model.spelled_bytes(own)[1:] == text.encode()
-                library = np.array_equal(own, np.array(model.model.encode(text), np.int32))
-                rows.append((n, float(model.total.flat[places].sum()), hashlib.sha256(own).hexdigest(), len(found), ",".join(f"{x:.0f}" for x, _ in found[1:]), ",".join(others), same, library))
+                rows.append((n, float(model.total.flat[places].sum()), hashlib.sha256(own).hexdigest(), len(found), ",".join(f"{x:.0f}" for x, _ in found[1:]), ",".join(others), same))
             columns = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True))], ["doc_id", *kinds])
 
-    schema = "doc_id long, n_pieces long, score double, ids_sha256 string, n_best long, next_costs string, next_sha256 string, decoded_same boolean, as_library boolean"
+    schema = "doc_id long, n_pieces long, score double, ids_sha256 string, n_best long, next_costs string, next_sha256 string, decoded_same boolean"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
