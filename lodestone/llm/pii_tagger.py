@@ -1,12 +1,14 @@
 """Personal data: base patterns, and a character-level bidirectional LSTM with CRF transitions trained in numpy.
 
 Base spans are the leftmost non-overlapping matches of each kind's pattern that pass its check; they always stay.
-The tagger is trained on the base spans of a bounded sample (``per_kind`` texts with each kind, and as many
-without, the lowest by a hash), with forms that the patterns can't see written in: spelled-out "at" and "dot" in
-addresses, numbers without a plus sign or with other separators. So it adds spans of such forms.
-
-A text is searched where it has a digit, an @ or a spelled-out "at": windows of ``WINDOW`` characters that overlap
-by half cover the stretches around them. Each window is decoded by Viterbi over tags; a character takes the tag of
+The tagger is trained on the labelled spans of a bounded sample (of about ``candidates`` distinct texts by hash,
+``per_kind`` with each kind, and as many without, the lowest by hash). Labels are the base spans, and as a fifth kind
+secrets: long values given to a name such as token or password. Forms that the patterns can't see are written in:
+spelled-out "at" and "dot" in addresses, numbers without a plus sign or with other separators, other alphabets of
+secrets. So it adds spans of such forms.
+
+A text is searched where it has a digit, an @, a bracketed "at", or an "at" with a "dot" within 60 characters: windows
+of ``WINDOW`` characters that overlap by half cover the stretches around them. Each window is decoded by Viterbi over tags; a character takes the tag of
 the window in whose middle it lies, so overlapping decodings are reconciled over the whole text. A span is added
 if its characters' mean probability is at least ``SURE``, it fits its kind's shape, and it touches no base span.
 
@@ -23,14 +25,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import arrow_blocks, text_column
+from lodestone.llm.common import arrow_blocks, map_arrow, text_column
 
 KINDS = ("email", "ip", "card", "phone")
+TAGGED = (*KINDS, "secret")
 WINDOW, AROUND, SURE = 64, 40, 0.9
-TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
+TAGS = 1 + 2 * len(TAGGED)  # outside, then begin and inside of each kind
 
 # The base patterns. A digit run is never entered in its middle, so a lookbehind saves rescans.
 IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -40,6 +43,9 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _LOCAL_SET = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 HINT = re.compile(r"[0-9@]|[\[({]\s*at\s*[\])}]", re.IGNORECASE)
+BARE = re.compile(r"\bat\b.{1,60}?\bdot\b", re.IGNORECASE | re.DOTALL)
+#: What labels a secret in the sample: its value is group 2.
+SECRET = re.compile(r"\b(token|secret|passw(?:or)?d|api[_-]?key|auth)\b\s{0,3}(?:=|:|=>)\s{0,3}[\"']?([A-Za-z0-9/+_.-]{16,200})", re.IGNORECASE)
 
 
 def luhn(digits: str) -> bool:
@@ -82,8 +88,12 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def secrets(text: str) -> list[tuple[str, int, int]]:
+    return [("secret", *m.span(2)) for m in SECRET.finditer(text)]
+
+
 def joined(spans: list[tuple[str, int, int]]) -> str:
-    return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1:])))
+    return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (TAGGED.index(s[0]), s[1:])))
 
 
 # The tagger
@@ -192,7 +202,7 @@ def viterbi(emit: np.ndarray, moves: np.ndarray) -> np.ndarray:
 def legal_moves() -> np.ndarray:
     """0 where a tag may follow another, else a score that never wins: inside needs begin or inside of its kind."""
     out = np.zeros((TAGS, TAGS), np.float32)
-    for k in range(len(KINDS)):
+    for k in range(len(TAGGED)):
         out[:, 2 + 2 * k] = -30
         out[1 + 2 * k, 2 + 2 * k] = out[2 + 2 * k, 2 + 2 * k] = 0
     return out
@@ -234,13 +244,21 @@ def train(windows: np.ndarray, tags: np.ndarray, hidden: int = 20, size: int = 1
     return tagger
 
 
+def hints(text: str) -> list[tuple[int, int]]:
+    """Where something may be personal, in order."""
+    out = [m.span() for m in HINT.finditer(text)]
+    if "dot" in text.lower():
+        out = sorted([*out, *(m.span() for m in BARE.finditer(text))])
+    return out
+
+
 def stretches(text: str) -> list[tuple[int, int]]:
     """Where windows lie: around hints, merged."""
     out: list[list[int]] = []
-    for m in HINT.finditer(text):
-        a, b = max(0, m.start() - AROUND), min(len(text), m.end() + AROUND)
+    for start, end in hints(text):
+        a, b = max(0, start - AROUND), min(len(text), end + AROUND)
         if out and a <= out[-1][1]:
-            out[-1][1] = b
+            out[-1][1] = max(b, out[-1][1])
         else:
             out.append([a, b])
     return [(a, b) for a, b in out]
@@ -259,6 +277,8 @@ def shape_holds(kind: str, span: str) -> bool:
         return 16 <= len(digits) <= 19 and luhn(digits)
     if kind == "phone":
         return 8 <= len(digits) <= 15 and not re.search("[A-Za-z]", span)
+    if kind == "secret":
+        return len(span) >= 16 and bool(digits) and not re.search(r"\s", span) and bool(re.search("[A-Za-z]", span))
     parts = re.findall("[0-9]+", span)
     return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
 
@@ -270,7 +290,7 @@ def added_spans(tagger: Tagger | None, texts: list[str], base: list[list[tuple[s
         return out
     jobs = []
     for i, text in enumerate(texts):
-        for low, high in stretches(text) if HINT.search(text) else ():
+        for low, high in stretches(text):
             jobs.append((i, low, high, classes(text[low:high])))
     rows = [(j, s - low) for j, (_, low, high, _) in enumerate(jobs) for s in window_starts(low, high)]
     tags = [np.zeros(high - low, np.int64) for _, low, high, _ in jobs]
@@ -299,17 +319,21 @@ def added_spans(tagger: Tagger | None, texts: list[str], base: list[list[tuple[s
             start, end = low + a, low + b
             clear = all(end <= x or start >= y for _, x, y in base[i])
             whole = not (start and texts[i][start - 1].isalnum()) and not (end < len(texts[i]) and texts[i][end].isalnum())
-            if clear and whole and p[a:b].mean() >= SURE and shape_holds(KINDS[kind], texts[i][start:end]):
-                out[i].append((KINDS[kind], start, end))
+            if clear and whole and p[a:b].mean() >= SURE and shape_holds(TAGGED[kind], texts[i][start:end]):
+                out[i].append((TAGGED[kind], start, end))
     return out
 
 
 def disguise(kind: str, span: str, rng: np.random.Generator) -> str:
     """Another way to write a span, one that the base pattern of its kind doesn't see."""
     if kind == "email":
-        at, dot = [(" [at] ", " [dot] "), (" (at) ", " (dot) "), ("[at]", "[dot]"), (" (at) ", ".")][rng.integers(4)]
-        local, _, domain = span.partition("@")
+        at, dot = [(" [at] ", " [dot] "), (" (at) ", " (dot) "), ("[at]", "[dot]"), (" (at) ", "."), (" at ", " dot ")][rng.integers(5)]
+        local, _, domain = (re.sub("[0-9]", "", span) if rng.integers(2) else span).partition("@")
+        local = local.strip(".") or "me"
         return local + at + domain.replace(".", dot)
+    if kind == "secret":
+        letters = ["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFabcdefghijkQRSTUVWXYZuvwxyz0123456789/+_-"][rng.integers(3)]
+        return "".join(letters[i] for i in rng.integers(0, len(letters), rng.integers(20, 49)))
     digits = _digits(span)
     if kind == "phone":
         return [f"({digits[-10:-7]}) {digits[-7:-4]}-{digits[-4:]}", f"{digits[-10:-7]}-{digits[-7:-4]}-{digits[-4:]}", f"00{digits[:-10]} {digits[-10:-7]} {digits[-7:-4]} {digits[-4:]}"][rng.integers(3)]
@@ -326,7 +350,7 @@ def examples(texts: list[str], seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
     def take(text: str, spans: list[tuple[str, int, int]]) -> None:
         tags = np.zeros(len(text), np.int64)
         for kind, a, b in spans:
-            tags[a], tags[a + 1 : b] = 1 + 2 * KINDS.index(kind), 2 + 2 * KINDS.index(kind)
+            tags[a], tags[a + 1 : b] = 1 + 2 * TAGGED.index(kind), 2 + 2 * TAGGED.index(kind)
         symbols = classes(text)
         for low, high in stretches(text):
             for s in window_starts(low, high):
@@ -338,7 +362,7 @@ def examples(texts: list[str], seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
 
     for text in texts:
         flat: list[tuple[str, int, int]] = []
-        for s in sorted(base_spans(text), key=lambda s: (s[1], -s[2])):
+        for s in sorted(base_spans(text) + secrets(text), key=lambda s: (s[1], -s[2])):
             if not flat or s[1] >= flat[-1][2]:
                 flat.append(s)
         take(text, flat)
@@ -354,21 +378,19 @@ def examples(texts: list[str], seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
     return (np.array(xs), np.array(ys)) if xs else (np.zeros((0, WINDOW), np.int64), np.zeros((0, WINDOW), np.int64))
 
 
-def learn(docs: DataFrame, per_kind: int = 80, longest: int = 20_000) -> Tagger | None:
+def learn(docs: DataFrame, per_kind: int = 80, longest: int = 20_000, candidates: int = 100_000) -> Tagger | None:
     """The tagger trained on at most per_kind texts (of at most longest characters) that look like each kind, and of others with hints."""
-    text = F.col("text")
+    text, key = F.col("text"), F.xxhash64("text")
     looks = (F.when(text.rlike(r"[A-Za-z0-9._%+-]@[A-Za-z0-9-]+\."), 0).when(text.rlike(r"\+[0-9][ ().0-9-]+[0-9]"), 1)
-             .when(text.rlike(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]"), 2).when(text.rlike(r"[0-9]{12}"), 3).when(text.rlike(r"[0-9@]"), 4))
-    near = docs.where(text.isNotNull() & (F.length(text) <= longest)).select("text", looks.alias("looks"), F.xxhash64("text").alias("h")).where("looks is not null")
-    counts = {r["looks"]: r["count"] for r in near.groupBy("looks").count().collect()}
-    if not counts:
-        return None
-    share = F.create_map(*(x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(min(1.0, 1.3 * per_kind / n)))))
-    few = near.where(F.pmod("h", F.lit(1 << 30)) < share[F.col("looks")] * (1 << 30)).limit(3 * per_kind * len(counts))
-    texts: dict[int, list[str]] = {}
-    for k, _, t in sorted({(r["looks"], r["h"], r["text"]) for r in few.collect()}):
-        texts.setdefault(k, []).append(t)
-    x, y = examples([t for own in texts.values() for t in own[:per_kind]])
+             .when(text.rlike(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]"), 2).when(text.rlike(r"(?i)\b(token|secret|passw|api.?key|auth)"), 3)
+             .when(text.rlike(r"[0-9]{12}"), 4).when(text.rlike(r"[0-9@]"), 5))
+    share = min(1.0, candidates / max(docs.count(), 1))
+    some = docs.select("text", key.alias("h")).where(text.isNotNull() & (F.length(text) <= longest) & (F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30))))
+    # a text once, however often it is copied
+    near = some.groupBy("h").agg(F.first("text").alias("text")).withColumn("looks", looks).where("looks is not null")
+    few = near.withColumn("nth", F.row_number().over(Window.partitionBy("looks").orderBy("h"))).where(F.col("nth") <= per_kind)
+    texts = [r["text"] for r in few.orderBy("looks", "h").select("text").collect()]
+    x, y = examples(texts)
     return train(x, y) if y.any() else None
 
 
@@ -379,7 +401,7 @@ def spans_of(tagger: Tagger | None, texts: list[str]) -> tuple[list[list[tuple[s
 
 
 def find_personal(docs: DataFrame, per_kind: int = 80) -> DataFrame:
-    """doc_id, counts of base spans, base_sha256 and spans of each row of docs (doc_id, text)."""
+    """doc_id, counts of base spans, base_sha256, spans, and the numbers of all and of added ones of each row of docs (doc_id, text)."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     tagger = docs.sparkSession.sparkContext.broadcast(learn(own, per_kind))  # of a fixed size
 
@@ -389,9 +411,10 @@ def find_personal(docs: DataFrame, per_kind: int = 80) -> DataFrame:
             counts = [pa.array([sum(s[0] == k for s in b) for b in base], pa.int64()) for k in KINDS]
             digest = pa.array([hashlib.sha256(joined(b).encode()).hexdigest() for b in base], pa.string())
             spans = pa.array([joined(b + m) for b, m in zip(base, more, strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, digest, spans], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+            total, added = pa.array([len(b) + len(m) for b, m in zip(base, more, strict=True)], pa.int64()), pa.array([len(m) for m in more], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, digest, spans, total, added], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_spans", "n_added"])
 
-    return own.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return own.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long, n_added long")
 
 
 def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -417,4 +440,4 @@ def redact(docs: DataFrame, per_kind: int = 80) -> DataFrame:
             columns[at] = pa.array([t if t is None else redacted(t, b + m) for t, b, m in zip(texts, base, more, strict=True)], columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)

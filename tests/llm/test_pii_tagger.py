@@ -2,7 +2,7 @@ import re
 
 import numpy as np
 
-from lodestone.llm.pii_tagger import HINT, KINDS, TAGS, added_spans, base_spans, examples, find_personal, luhn, marginals, redacted, train, viterbi
+from lodestone.llm.pii_tagger import HINT, KINDS, TAGS, added_spans, base_spans, examples, find_personal, luhn, marginals, redact, redacted, train, viterbi
 
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -61,6 +61,34 @@ def test_tagger_learns_and_adds_only_new_forms(spark):
     assert find_personal(docs.limit(0)).count() == 0
 
 
+def test_secrets_and_bare_forms():
+    rng = np.random.default_rng(15)
+    texts = sample()
+    for i in range(60):
+        texts.append(f"thing of erst token = \"{''.join('0123456789abcdef'[j] for j in rng.integers(0, 16, 40))}\" ther and")
+    tagger = train(*examples(texts), epochs=25)
+    held = ['and ther token = "9a0b1c6d43eb78aa99cbd7049c572391524f37a8" of thing', "version of abcde at mail dot example dot com erst and of", "nothing at all here, and the dot is on the wall", "version 2.0 of id 12345"]
+    base = [base_spans(t) for t in held]
+    got = added_spans(tagger, held, base)
+    assert [(k, held[0][a:b]) for k, a, b in got[0]] == [("secret", "9a0b1c6d43eb78aa99cbd7049c572391524f37a8")]
+    assert [(k, held[1][a:b]) for k, a, b in got[1]] == [("email", "abcde at mail dot example dot com")]
+    assert got[2:] == [[], []]
+
+
+def test_learn_takes_a_copied_text_once_and_redact_keeps_rows(spark):
+    texts = sample()
+    rows = [(i, t, None, "x") for i, t in enumerate(texts)] + [(1000 + i, texts[0], None, "y") for i in range(500)] + [(None, None, "s", None), (7, "", "s", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans string, `a.h` string")
+    out = redact(docs)
+    assert out.columns == docs.columns
+    got = out.collect()
+    assert len(got) == len(rows) and sum(r["text"] is None for r in got) == 1
+    assert sum("[EMAIL]" in (r["text"] or "") for r in got) >= 540
+    assert redact(docs.limit(0)).count() == 0
+    found = find_personal(docs).where("doc_id < 160").collect()
+    assert all(r["n_spans"] == r["n_email"] + r["n_ip"] + r["n_card"] + r["n_phone"] + r["n_added"] for r in found)
+
+
 def test_crf_against_enumeration():
     from itertools import product
 
