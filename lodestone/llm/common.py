@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that the numpy operators hold at once, besides a single longer text.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
+#: glibc's call that gives freed memory back to the system, where there is one: idle Python workers then hold little.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +59,12 @@ def free_name(name: str, taken: list[str]) -> str:
     return name
 
 
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow for any column names: run sees those that aren't plain words by their number."""
+    names = [c if c.isidentifier() else free_name(f"_{i}", df.columns) for i, c in enumerate(df.columns)]
+    return df.toDF(*names).mapInArrow(run, schema)
+
+
 def text_column(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
     """The column with nulls as empty strings."""
     return pc.fill_null(batch.column(batch.schema.get_field_index(name)), "")
@@ -87,7 +96,9 @@ def row_blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int
 
 
 def arrow_blocks(batches: Iterator[pa.RecordBatch], name: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches cut anew by bytes of text."""
+    """The batches cut anew by bytes of text; at the end freed memory goes back to the system."""
     for batch in batches:
         for low, high in row_blocks(batch.column(batch.schema.get_field_index(name)), limit):
             yield batch.slice(low, high - low)
+    if _TRIM:
+        _TRIM(0)

@@ -6,26 +6,28 @@ sorted, the Burrows-Wheeler transform is kept as a wavelet matrix of packed bits
 backward by its ranks all at once, and occurrences are located by steps to sampled suffix positions. The words
 of all occurrences merge into removal spans.
 
-The benchmark is a stated query set: it is taken in blocks of at most ``block_bytes`` of text, and each block's
-phrases, of that bounded size, are broadcast for one pass over the shards.
+The benchmark is a stated query set: long items are cut into parts that overlap by a window, and the parts are taken
+in blocks of about ``block_bytes`` of text. One block's phrases, of that bounded size, are broadcast for one pass over
+the shards; before the next block the hits so far are written to the shared folder and the broadcast is destroyed.
 
 Null text or item: no words. An item of fewer words than ``width`` is one window; one of none has no window.
 Repeated items each count by their id; a null item_id is not an item. Repeated documents are searched each.
-Other columns are not read, or, by ``decontaminate``, pass through.
+Other columns are not read, or, by ``decontaminate``, pass through, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from lodestone.llm.common import arrow_blocks, byte_view, text_column
+from lodestone.llm.common import arrow_blocks, byte_view, free_name, map_arrow, stored, text_column
 from lodestone.llm.rolling import BYTE_VALUES, prefix_sums, slice_hash
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -33,7 +35,7 @@ _BYTES = np.arange(256)
 IS_WORD = (_BYTES >= 0x80) | (_BYTES >= 0x30) & (_BYTES <= 0x39) | (_BYTES >= 0x61) & (_BYTES <= 0x7A) | (_BYTES >= 0x41) & (_BYTES <= 0x5A)
 LOWER = np.where((_BYTES >= 0x41) & (_BYTES <= 0x5A), _BYTES + 32, _BYTES)
 _UPPER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 
 
 def lower_ascii(text: str) -> str:
@@ -252,50 +254,70 @@ def merge(flat: list[int]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def item_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
-    """The benchmark's items in blocks of at most about block_bytes of text."""
+def item_parts(benchmark: DataFrame, width: int, part_words: int = 50_000) -> DataFrame:
+    """(item, text): the words of each item, long items in parts that overlap so that each window lies in one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in arrow_blocks(batches):
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = WORD.findall(lower_ascii(text))
+                parts = [" ".join(words[i : i + part_words + width - 1]) for i in range(0, max(1, len(words) - width + 1), part_words)] if words else []
+                yield pa.RecordBatch.from_arrays([pa.array([item] * len(parts), pa.string()), pa.array(parts, pa.string())], ["item", "text"])
+
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where("item is not null and text is not null")
-    total = items.agg(F.sum(F.octet_length("text") + 64).alias("n")).first()["n"] or 0
-    blocks = -(-total // block_bytes)
-    part = F.pmod(F.xxhash64("item", "text"), F.lit(max(blocks, 1)))
-    for k in range(blocks):
-        yield [(r["item"], r["text"]) for r in items.where(part == k).collect()]
+    return items.mapInArrow(run, "item string, text string")
 
 
-def search(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = 8 << 20) -> DataFrame:
-    """docs with the columns _words, _hits (word spans, flat) and _items."""
-    spark = docs.sparkSession
-    out = docs.withColumns({"_words": F.lit(0).cast("long"), "_hits": F.array().cast("array<long>"), "_items": F.array().cast("array<string>")})
-    for items in list(item_blocks(benchmark, block_bytes)) or [[]]:
-        phrases = spark.sparkContext.broadcast(Phrases(items, width))
+#: Makes a pass's output columns of the batch's own columns, the words of each row, its hits (word spans, flat) and its items.
+Finish = Callable[[list[pa.Array], np.ndarray, list[list[int]], list[list[str]]], list[pa.Array]]
 
-        def run(batches: Iterator[pa.RecordBatch], phrases=phrases) -> Iterator[pa.RecordBatch]:
-            for batch in arrow_blocks(batches, "text", SHARD_BYTES):
-                counts, spans, items = find(phrases.value, text_column(batch))
-                n = len(batch.schema) - 3
-                hits = [(old or []) + spans.get(i, []) for i, old in enumerate(batch.column(n + 1).to_pylist())]
-                got = [sorted({*(old or []), *items.get(i, ())}) for i, old in enumerate(batch.column(n + 2).to_pylist())]
-                own = [pa.array(counts, pa.int64()), pa.array(hits, pa.list_(pa.int64())), pa.array(got, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:n], *own], batch.schema.names)
 
-        out = out.mapInArrow(run, out.schema)
-    return out
+def searched(docs: DataFrame, benchmark: DataFrame, width: int, block_bytes: int, schema: StructType, finish: Finish) -> DataFrame:
+    """docs (with a column text) against all windows of the benchmark, one block of it after the other.
 
+    The driver holds one block, and the cluster one broadcast: between two blocks the hits so far are written down.
+    """
+    spark, columns = docs.sparkSession, docs.columns
+    parts = item_parts(benchmark, width)
+    total = parts.agg(F.sum(F.octet_length("text") + 64).alias("n")).first()["n"] or 0
+    blocks = max(1, -(-total // block_bytes))
+    own = F.pmod(F.xxhash64("item", "text"), F.lit(blocks))
+    names = [free_name("_hits", columns), free_name("_items", columns)]
+    carried = StructType([*docs.schema.fields, StructField(names[0], ArrayType(LongType())), StructField(names[1], ArrayType(StringType()))])
+    now = docs
+    for k in range(blocks):
+        held = spark.sparkContext.broadcast(Phrases([(r["item"], r["text"]) for r in parts.where(own == k).collect()], width))
+        last = k == blocks - 1
 
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch], held=held, last=last, before=k > 0) -> Iterator[pa.RecordBatch]:
+            for batch in arrow_blocks(batches, "text", SHARD_BYTES):
+                counts, spans, items = find(held.value, text_column(batch))
+                own = batch.columns[: len(columns)]
+                hits, got = [spans.get(i, []) for i in range(len(counts))], [sorted(items.get(i, ())) for i in range(len(counts))]
+                if before:
+                    hits = [[*old, *new] for old, new in zip(batch.column(len(columns)).to_pylist(), hits, strict=True)]
+                    got = [sorted({*old, *new}) for old, new in zip(batch.column(len(columns) + 1).to_pylist(), got, strict=True)]
+                made = finish(own, counts, hits, got) if last else [*own, pa.array(hits, pa.list_(pa.int64())), pa.array(got, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(made, (schema if last else carried).names)
+
+        now = map_arrow(now, run, schema if last else carried)
+        if not last:
+            now = stored(now, "hits")
+            held.destroy()
+    return now
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of each row of docs (doc_id, text)."""
-    found = search(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, width).drop("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            doc, words, hits, items = (batch.column(i) for i in range(4))
-            n_hit = [sum(b - a for a, b in merge(x)) for x in hits.to_pylist()]
-            names = items.to_pylist()
-            digest = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in names]
-            own = [pa.array(n_hit, pa.int64()), pa.array([len(x) for x in names], pa.int64()), pa.array(digest), pa.array([n > 0 for n in n_hit])]
-            yield pa.RecordBatch.from_arrays([doc, words, *own], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+    def finish(own: list[pa.Array], counts: np.ndarray, hits: list[list[int]], items: list[list[str]]) -> list[pa.Array]:
+        n_hit = [sum(b - a for a, b in merge(x)) for x in hits]
+        digest = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
+        return [own[0], pa.array(counts, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(digest, pa.string()), pa.array([n > 0 for n in n_hit], pa.bool_())]
 
-    return found.mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    schema = StructType.fromDDL("doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return searched(own, benchmark, width, block_bytes, schema, finish)
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:
@@ -308,17 +330,14 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*out, text[low:]])
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = 8 << 20) -> DataFrame:
     """docs with the removal spans cut out of text; rows without a hit are unchanged."""
-    schema, at = docs.schema, docs.columns.index("text")
+    at = docs.columns.index("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hits = batch.column(len(batch.schema) - 2).to_pylist()
-            columns = list(batch.columns[: len(batch.schema) - 3])
-            if any(hits):
-                texts = [without(t, merge(h)) if h else t for t, h in zip(columns[at].to_pylist(), hits, strict=True)]
-                columns[at] = pa.array(texts, columns[at].type)
-            yield pa.RecordBatch.from_arrays(columns, schema.names)
-
-    return search(docs, benchmark, width).mapInArrow(run, schema)
+    def finish(own: list[pa.Array], counts: np.ndarray, hits: list[list[int]], items: list[list[str]]) -> list[pa.Array]:
+        own = list(own)
+        if any(hits):
+            own[at] = pa.array([without(t, merge(h)) if h else t for t, h in zip(own[at].to_pylist(), hits, strict=True)], own[at].type)
+        return own
+
+    return searched(docs, benchmark, width, block_bytes, docs.schema, finish)

@@ -7,8 +7,9 @@ stretch. Forward-backward gives each word's marginals; a document's label has th
 score is that sum's share.
 
 The field is fitted on a bounded sample: at most ``per_language`` documents of each language value among the
-labelled rows whose crc32(doc_id as text) mod 4 is not 2, the lowest by a hash. Everything else sees all words
-of all texts. Null text, or no letters: ``und``, score 0. No labelled rows: every text is ``und``. A null doc_id
+labelled rows whose crc32(doc_id as text) mod 4 is not 2, the lowest by a hash, for at most ``languages`` values, the most
+frequent ones (equal counts: by value). Everything else sees all words of all texts. Of labels with equal sums the
+first in sorted order is taken. Null text, or no letters: ``und``, score 0. No labelled rows: every text is ``und``. A null doc_id
 is never held out and never learned from. Repeated rows are labelled each; other columns are not read.
 """
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import arrow_blocks, text_column
+from lodestone.llm.common import arrow_blocks, map_arrow, text_column
 
 BITS, CHAIN = 16, 48
 UND = "und"
@@ -193,10 +194,10 @@ def remainder(column: str = "doc_id"):
     return F.crc32(F.col(column).cast("string")) % 4
 
 
-def learn(docs: DataFrame, per_language: int = 250) -> Field | None:
-    """The field fitted on at most per_language documents of each language."""
+def learn(docs: DataFrame, per_language: int = 250, languages: int = 64) -> Field | None:
+    """The field fitted on at most per_language documents of each of the most frequent languages."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (remainder() != 2))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
     if not counts:
         return None
     # the hash share that gives about per_language rows of each language, then an exact bound
@@ -240,4 +241,4 @@ def accepted(docs: DataFrame, least: float = 0.35, per_language: int = 250) -> D
             labels, shares = predict(model.value, [t or "" for t in batch.column(at).to_pylist()])
             yield batch.filter(pa.array([label != UND and share >= least for label, share in zip(labels, shares, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)

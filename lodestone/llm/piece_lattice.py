@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import arrow_blocks, free_name, text_column
+from lodestone.llm.common import arrow_blocks, free_name, map_arrow, text_column
 from lodestone.llm.rolling import mix, prefix_sums, slice_hash
 
 BLANK = "▁"
@@ -529,7 +529,7 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
             columns[at] = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)), pa.int32()), pa.array(ids))
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def decode(encoded: DataFrame, model_path: str, column: str = "pieces") -> DataFrame:
@@ -546,4 +546,4 @@ def decode(encoded: DataFrame, model_path: str, column: str = "pieces") -> DataF
             columns[at] = pa.array([model.decode(x or []) for x in columns[at].to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return encoded.mapInArrow(run, schema)
+    return map_arrow(encoded, run, schema)
