@@ -3,9 +3,15 @@
 Mu-law and A-law are expanded by 256-entry lookup tables built from their rules. ADPCM blocks are decoded by
 numpy across blocks: one step handles the same nibble of every block of a batch.
 
-``store_bytes`` keeps any payload losslessly as the 8-bit samples of a mu-law WAV file, and ``audio_digest``
-reads the stored file back and describes it. Null or empty text: one frame of 192 spaces. Equal texts give
-equal values; repeated rows are described each; other columns are not read.
+``store_bytes`` keeps any payload losslessly as the 8-bit samples (or ADPCM blocks) of a WAV file, ``decode_media``
+turns such files into a column of PCM at one rate, and ``audio_digest`` stores each text in the codec that its
+CRC names, reads the file back, decodes it as ``decode_media`` does and describes both. Null or empty text: one
+frame of 192 spaces. Null, damaged or other media: null rate and PCM. Equal texts give equal values; repeated rows
+are described each. Other columns are not read, or, by ``decode_media``, pass through; where they are named rate or
+pcm, the new ones take underscores until their names are free.
+
+A batch holds about a megabyte of payload, or one longer payload; its PCM takes up to eight times that, and
+blocks and resampling pass in pieces of fixed size.
 """
 
 from __future__ import annotations
@@ -19,11 +25,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lodestone.llm.common import arrow_blocks, text_column
+from lodestone.llm.common import arrow_blocks, free_name, map_arrow, row_blocks, text_column
 
 FRAME, RATE, FILL = 192, 8000, 32
 MULAW, ALAW, IMA = 7, 6, 17
+CODECS = (MULAW, ALAW, IMA)
+#: Blocks decoded at once, and samples resampled at once.
+BLOCKS, PIECE = 2048, 1 << 16
 
 # The step sizes and index moves of IMA ADPCM.
 STEPS = np.array(
@@ -103,10 +113,14 @@ def resample(pcm: np.ndarray, up: int = 2, down: int = 1) -> np.ndarray:
     """pcm at up / down times its rate by linear interpolation in whole numbers."""
     if len(pcm) < 2 or up == down:
         return pcm.astype(np.int16)
-    at = np.arange((len(pcm) - 1) * up // down + 1, dtype=np.int64) * down
-    low, part = at // up, at % up
-    wide = pcm.astype(np.int32)
-    return ((wide[low] * (up - part) + wide[np.minimum(low + 1, len(pcm) - 1)] * part) // up).astype(np.int16)
+    n = (len(pcm) - 1) * up // down + 1
+    out = np.empty(n, np.int16)
+    for first in range(0, n, PIECE):
+        at = np.arange(first, min(n, first + PIECE), dtype=np.int64) * down
+        low, part = at // up, at % up
+        ahead = pcm[np.minimum(low + 1, len(pcm) - 1)].astype(np.int64)
+        out[first : first + len(at)] = (pcm[low].astype(np.int64) * (up - part) + ahead * part) // up
+    return out
 
 
 def store_bytes(payload: bytes, codec: int = MULAW, rate: int = RATE, block: int = 1) -> bytes:
@@ -138,71 +152,89 @@ def read_wav(media: bytes) -> tuple[int, int, int, bytes]:
     return form[0], form[2], form[3], payload
 
 
-def wav_pcm(media: bytes) -> tuple[int, np.ndarray]:
-    """Rate and 16-bit samples of a telephony WAV file."""
-    codec, rate, block, payload = read_wav(media)
-    data = np.frombuffer(payload, np.uint8)
-    if codec == MULAW:
-        return rate, MULAW_PCM[data]
-    if codec == ALAW:
-        return rate, ALAW_PCM[data]
-    if codec == IMA:
-        return rate, adpcm_pcm(data[: len(data) // block * block].reshape(-1, block)).ravel()
-    raise ValueError(f"codec {codec} is not a telephony codec")
+def decoded(media: list[bytes | None]) -> list[tuple[int, np.ndarray] | None]:
+    """Rate and 16-bit samples of each telephony WAV file, None where it isn't one; ADPCM blocks of all files go together."""
+    out: list[tuple[int, np.ndarray] | None] = [None] * len(media)
+    waiting: dict[int, list[tuple[int, int, np.ndarray]]] = {}
+    for i, data in enumerate(media):
+        try:
+            codec, rate, block, payload = read_wav(data or b"")
+        except (ValueError, struct.error):
+            continue
+        body = np.frombuffer(payload, np.uint8)
+        if codec == MULAW and rate:
+            out[i] = rate, MULAW_PCM[body]
+        elif codec == ALAW and rate:
+            out[i] = rate, ALAW_PCM[body]
+        elif codec == IMA and rate and block > 4:
+            waiting.setdefault(block, []).append((i, rate, body[: len(body) // block * block].reshape(-1, block)))
+    for block, files in waiting.items():
+        ends = np.cumsum([len(x) for _, _, x in files])
+        every = np.concatenate([x for _, _, x in files])
+        pcm = np.empty((len(every), 1 + 2 * (block - 4)), np.int16)
+        for low in range(0, len(every), BLOCKS):
+            pcm[low : low + BLOCKS] = adpcm_pcm(every[low : low + BLOCKS])
+        for (i, rate, x), end in zip(files, ends.tolist(), strict=True):
+            out[i] = rate, pcm[end - len(x) : end].ravel()
+    return out
+
+
+def at_rate(found: tuple[int, np.ndarray] | None, to_rate: int) -> np.ndarray | None:
+    if found is None:
+        return None
+    rate, pcm = found
+    both = int(np.gcd(rate, to_rate))
+    return resample(pcm, to_rate // both, rate // both).astype("<i2")
 
 
 def decode_media(media: DataFrame, column: str = "media", to_rate: int = 16000) -> DataFrame:
     """media's rows with the columns rate and pcm (little-endian 16-bit samples at to_rate), null where it can't be read."""
-    names = [f.name for f in media.schema.fields if f.name not in ("rate", "pcm")]
-    schema = media.select(*names).schema.add("rate", "int").add("pcm", "binary")
-
-    def one(data: bytes | None) -> tuple[int | None, bytes | None]:
-        try:
-            rate, pcm = wav_pcm(data or b"")
-        except (ValueError, struct.error):
-            return None, None
-        return to_rate, resample(pcm, to_rate // np.gcd(rate, to_rate), rate // np.gcd(rate, to_rate)).astype("<i2").tobytes()
+    own = [free_name("rate", media.columns), free_name("pcm", media.columns)]
+    schema = T.StructType([*media.schema.fields, T.StructField(own[0], T.IntegerType()), T.StructField(own[1], T.BinaryType())])
+    at = media.columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [one(x) for x in batch.column(batch.schema.get_field_index(column)).to_pylist()]
-            own = [pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.binary())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *own], [*names, "rate", "pcm"])
+            for low, high in row_blocks(batch.column(at)):
+                part = batch.slice(low, high - low)
+                pcm = [at_rate(x, to_rate) for x in decoded(part.column(at).to_pylist())]
+                new = [pa.array([None if x is None else to_rate for x in pcm], pa.int32()), pa.array([None if x is None else x.tobytes() for x in pcm], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], schema.names)
 
-    return media.select(*names).mapInArrow(run, schema)
+    return map_arrow(media, run, schema)
 
 
 def payload_of(text: bytes) -> bytes:
     return text + bytes([FILL]) * (-len(text) % FRAME if text else FRAME)
 
 
-DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_bytes long, pcm_sha256 string"
 
 
-def audio_digest(docs: DataFrame) -> DataFrame:
-    """Stores each text as a mu-law file, reads it back and describes it.
+def audio_digest(docs: DataFrame, to_rate: int = 16000) -> DataFrame:
+    """Stores each text as a telephony file, reads it back, decodes it to PCM at to_rate and describes both.
 
-    feature: samples, peak, sign changes and mean square of the mu-law samples at 16 kHz, then peak and mean square
-    of the same bytes read as ADPCM blocks of 192; all whole numbers.
+    feature: codec, samples, peak, sign changes and mean square of that PCM, all whole numbers.
     """
     names = [c.split()[0] for c in DIGEST.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow_blocks(batches):
             texts = [x.encode() for x in text_column(batch).to_pylist()]
-            media = [store_bytes(payload_of(x)) for x in texts]
-            back = [read_wav(x)[3] for x in media]
-            ends = np.cumsum([len(x) // FRAME for x in back])
-            blocks = adpcm_pcm(np.frombuffer(b"".join(back), np.uint8).reshape(-1, FRAME)).astype(np.int32)
-            peaks, power = np.abs(blocks).max(axis=1), np.einsum("ij,ij->i", blocks, blocks, dtype=np.int64)
+            media = []
+            for text in texts:
+                payload = payload_of(text)
+                codec = CODECS[zlib.crc32(payload) % len(CODECS)]
+                media.append(store_bytes(payload, codec, block=FRAME if codec == IMA else 1))
             rows = []
-            for i, (text, kept, payload, end) in enumerate(zip(texts, media, back, ends.tolist(), strict=True)):
-                low = ends[i - 1] if i else 0
-                pcm = resample(MULAW_PCM[np.frombuffer(payload, np.uint8)]).astype(np.int64)
+            for text, kept, found in zip(texts, media, decoded(media), strict=True):
+                codec, _, _, payload = read_wav(kept)
+                pcm = at_rate(found, to_rate)
+                power = sum(int(x @ x) for i in range(0, len(pcm), PIECE) for x in [pcm[i : i + PIECE].astype(np.float64)])  # exact below 2^53
                 turns = np.count_nonzero((pcm[1:] < 0) != (pcm[:-1] < 0))
-                shape = (len(pcm), np.abs(pcm).max(), turns, pcm @ pcm // len(pcm), peaks[low:end].max(), power[low:end].sum() // ((end - low) * blocks.shape[1]))
-                rows.append((len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(kept), hashlib.sha256(kept).hexdigest(), ":".join(str(int(x)) for x in shape)))
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                feature = ":".join(str(int(x)) for x in (codec, len(pcm), max(int(pcm.max()), -int(pcm.min())), turns, power // len(pcm)))
+                rows.append((len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(kept), hashlib.sha256(kept).hexdigest(), feature, pcm.nbytes, hashlib.sha256(pcm).hexdigest()))
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, DIGEST)
