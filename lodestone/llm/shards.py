@@ -7,7 +7,9 @@ ends in a manifest of the live shards; its version is committed by renaming a po
 version exists, so of two writers one wins and readers see the old or the new version whole. Files are never
 changed; ``vacuum`` deletes those that no kept version names.
 
-Every row is kept as it is, nulls, repeated rows and all columns included. A shard holds at most ``shard_rows``
+Only the folders that hold live shards are read, for a compaction only those of the shards it merges; bins are dealt
+to tasks by ranges of their names. Every row is kept as it is, nulls, repeated rows and all columns included, whatever
+the columns' names. A shard holds at most ``shard_rows``
 rows and merged files at most about the target and one shard, whatever the keys, so no key makes a shard large. An
 empty arrival gives a version without new shards.
 """
@@ -21,13 +23,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import delete_path, shared_path
+from lodestone.llm.common import free_name, shared_path
 
 FANOUT = 4
 BASE_BYTES = 1 << 16
 #: Shards that one window of the planner orders.
 PLANNED = 1024
-BIN = "lodestone_bin"
 MANIFEST = T.StructType([T.StructField("shard", T.StringType()), T.StructField("rows", T.LongType()), T.StructField("bytes", T.LongType()), T.StructField("tier", T.IntegerType())])
 
 
@@ -41,6 +42,7 @@ class ShardStore:
     def __init__(self, spark: SparkSession, root: str, schema: T.StructType, target_bytes: int = 128 << 20, shard_rows: int = 2000):
         self.spark, self.root, self.schema = spark, root, schema
         self.target, self.shard_rows = target_bytes, shard_rows
+        self.shard, self.size, self.bin = (free_name(n, schema.names) for n in ("_shard", "_size", "lodestone_bin"))
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._files = self._path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -94,17 +96,23 @@ class ShardStore:
 
     # shards
 
-    def _data(self, folder: str = "*") -> DataFrame:
-        """The rows of the data folders with the file each lies in."""
-        if folder == "*" and not self._files.exists(self._path(f"{self.root}/data")):
-            return self.spark.createDataFrame([], self.schema).select("*", F.lit("").alias("_shard"), F.lit(0).cast("long").alias("_size"))
-        read = self.spark.read.schema(self.schema).option("recursiveFileLookup", "true").parquet(f"{self.root}/data" + ("" if folder == "*" else f"/{folder}"))
-        return read.select(*(F.col(f"`{c}`") for c in self.schema.names), F.col("_metadata.file_path").alias("_shard"), F.col("_metadata.file_size").alias("_size"))
+    def _data(self, folders: list[str]) -> DataFrame:
+        """The rows of data folders with the file that each lies in and its size."""
+        own = [F.col(f"`{c}`") for c in self.schema.names]
+        if not folders:
+            return self.spark.createDataFrame([], self.schema).select(*own, F.lit("").alias(self.shard), F.lit(0).cast("long").alias(self.size))
+        read = self.spark.read.schema(self.schema).option("recursiveFileLookup", "true").parquet(*(f"{self.root}/data/{f}" for f in folders))
+        file = read.metadataColumn("_metadata")
+        return read.select(*own, file["file_path"].alias(self.shard), file["file_size"].alias(self.size))
+
+    def _folders(self, shards: DataFrame) -> list[str]:
+        """The data folders of shards: at most one for each commit."""
+        return sorted(r[0] for r in shards.select(F.regexp_extract("shard", "/data/([0-9a-f]{32})/", 1)).distinct().collect())
 
     def _listed(self, folder: str) -> DataFrame:
         """The manifest rows of a data folder's files."""
         tier = F.greatest(F.lit(0), F.floor(F.log(F.col("bytes") / BASE_BYTES) / F.log(F.lit(float(FANOUT))))).cast("int")
-        return self._data(folder).groupBy(F.col("_shard").alias("shard"), F.col("_size").alias("bytes")).agg(F.count("*").alias("rows")).withColumn("tier", tier)
+        return self._data([folder]).groupBy(F.col(self.shard).alias("shard"), F.col(self.size).alias("bytes")).agg(F.count("*").alias("rows")).withColumn("tier", tier)
 
     def append(self, arrival: DataFrame) -> int:
         """Adds the arrival's rows as shards and commits the next version."""
@@ -134,33 +142,57 @@ class ShardStore:
         bins = plan.select("bin").distinct().count()
         if not bins:
             return version
-        rows = self._data().join(plan, F.col("_shard") == F.col("shard")).select(*(F.col(f"`{c}`") for c in self.schema.names), F.col("bin").alias(BIN))
-        rows.repartition(bins, BIN).write.partitionBy(BIN).option("compression", "zstd").parquet(f"{self.root}/data/{folder}")
+        own = [F.col(f"`{c}`") for c in self.schema.names]
+        rows = self._data(self._folders(plan)).join(plan.select(F.col("shard").alias(self.shard), F.col("bin").alias(self.bin)), self.shard).select(*own, self.bin)
+        # by ranges, so that neighbouring bins share a task only where the bounds of equal shares do; by hash several would meet
+        rows.repartitionByRange(bins, self.bin).write.partitionBy(self.bin).option("compression", "zstd").parquet(f"{self.root}/data/{folder}")
         kept = now.join(plan, "shard", "left_anti")
         return self.commit(kept.unionByName(self._listed(folder).select(*MANIFEST.names)), version + 1)
 
     def read(self, version: int | None = None) -> DataFrame:
-        """The rows of a version, with _shard, the file that holds each."""
-        live = self.manifest(version).select(F.col("shard").alias("_shard"))
-        return self._data().drop("_size").join(live, "_shard", "left_semi")
+        """The rows of a version, with the column self.shard, the file that holds each."""
+        live = self.manifest(version)
+        return self._data(self._folders(live)).drop(self.size).join(live.select(F.col("shard").alias(self.shard)), self.shard, "left_semi")
 
     def vacuum(self) -> None:
-        """Deletes the files that the latest version doesn't name. Readers of older versions must have ended."""
-        dead = self._data().select(F.col("_shard").alias("shard")).distinct().join(self.manifest(), "shard", "left_anti")
-        for row in dead.toLocalIterator():  # names only, a partition of them at a time
-            delete_path(self.spark, row["shard"])
+        """Deletes the files that the latest version doesn't name, folder by folder. Readers of older versions must have ended."""
+        live, base = self.manifest(), self._path(f"{self.root}/data")
+        used = set(self._folders(live))
+        for status in self._files.listStatus(base) if self._files.exists(base) else []:
+            name = status.getPath().getName()
+            if name not in used:
+                self._files.delete(status.getPath(), True)
+                continue
+            named = {self._path(r["shard"]).toUri().getPath() for r in live.where(F.col("shard").contains(f"/data/{name}/")).select("shard").toLocalIterator()}
+            files = self._files.listFiles(status.getPath(), True)
+            while files.hasNext():
+                path = files.next().getPath()
+                if path.getName().endswith(".parquet") and path.toUri().getPath() not in named:
+                    self._files.delete(path, False)
+
+
+#: Shards that don't hold what the manifest says are broadcast up to this number; beyond it they are joined.
+ODD = 1000
 
 
-def sharded(docs: DataFrame, target_bytes: int = 32 << 20, shard_rows: int = 2000) -> DataFrame:
-    """Appends docs, compacts, and reads the committed version back: doc_id, n_bytes, text_sha256, listed.
+def sharded(docs: DataFrame, target_bytes: int = 32 << 20, shard_rows: int = 2000, arrivals: int = 3) -> DataFrame:
+    """Appends docs as several arrivals with compactions between them, and reads the committed version back: doc_id, n_bytes, text_sha256, listed.
 
     listed: the row's shard holds as many rows as the manifest says. Text null: n_bytes and text_sha256 null.
     """
     spark = docs.sparkSession
     store = ShardStore(spark, shared_path(spark, "shards"), docs.schema, target_bytes, shard_rows)
-    store.append(docs)
-    version = store.compact()
-    live = store.manifest(version).select(F.col("shard").alias("_shard"), "rows")
-    rows = store._data().select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"), "_shard")
-    counted = rows.groupBy("_shard").agg(F.count("*").alias("held")).join(live, "_shard").select("_shard", (F.col("held") == F.col("rows")).alias("listed"))
-    return rows.join(counted, "_shard").select("doc_id", "n_bytes", "text_sha256", "listed")
+    turn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(arrivals))
+    for k in range(arrivals):
+        store.append(docs.where(turn == k))
+        version = store.compact() if k else store.version()
+    live = store.manifest(version)
+    data = store._data(store._folders(live))
+    rows = data.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"), F.col(store.shard).alias("shard"))
+    held = data.groupBy(F.col(store.shard).alias("shard")).agg(F.count("*").alias("held"))
+    odd = live.join(held, "shard", "left").where(~F.col("held").eqNullSafe(F.col("rows"))).select("shard", F.lit(False).alias("listed"))
+    odd = F.broadcast(odd) if odd.limit(ODD + 1).count() <= ODD else odd
+    # files of live folders that were merged away since aren't read
+    dead = held.join(live, "shard", "left_anti").select("shard")
+    rows = rows.join(F.broadcast(dead) if dead.limit(ODD + 1).count() <= ODD else dead, "shard", "left_anti")
+    return rows.join(odd, "shard", "left").select("doc_id", "n_bytes", "text_sha256", F.coalesce("listed", F.lit(True)).alias("listed"))

@@ -32,6 +32,39 @@ def test_append_compact_and_versions(spark):
     assert store.append(first.limit(0)) == 4 and everything(store.read()) == want
 
 
+def test_tiers_over_many_arrivals(spark):
+    parts = [make(spark, 100 * k, 100).coalesce(2) for k in range(6)]
+    store = ShardStore(spark, shared_path(spark, "test"), parts[0].schema, target_bytes=40_000, shard_rows=25)
+    want = parts[0].limit(0)
+    for part in parts:
+        store.append(part)
+        want = want.union(part)
+        before = store.manifest().count()
+        store.compact()
+        assert store.manifest().count() <= before
+        assert everything(store.read()) == everything(want)
+    live = store.manifest().collect()
+    assert sum(r["rows"] for r in live) == 600 and len({r["shard"] for r in live}) == len(live)
+    assert max(r["bytes"] for r in live) < 2 * 40_000
+    store.vacuum()
+    files = store._data(store._folders(store.manifest())).select(store.shard).distinct().count()
+    assert files == len(live) and everything(store.read()) == everything(want)
+
+
+def test_clashing_column_names(spark):
+    rows = [(i, f"text {i} " * 30, "a", i, None, "m", 1.5) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _shard string, _size int, lodestone_bin string, _metadata string, `a.b` double").repartition(4)
+    store = ShardStore(spark, shared_path(spark, "test"), docs.schema, target_bytes=20_000, shard_rows=10)
+    store.append(docs)
+    store.append(docs.limit(7))
+    store.compact()
+    got = store.read()
+    assert got.columns == [store.shard, *docs.columns] or set(got.columns) == {store.shard, *docs.columns}
+    assert sorted(map(str, got.select(*(f"`{c}`" for c in docs.columns)).collect())) == sorted(map(str, docs.union(docs.limit(7)).collect()))
+    out = sharded(docs, 20_000, 10).collect()
+    assert len(out) == 90 and all(r["listed"] for r in out)
+
+
 def test_sharded_reads_every_row(spark):
     docs = make(spark, 0, 120)
     docs = docs.union(docs.limit(5))
