@@ -4,7 +4,8 @@ A word is a maximal run of letters; its features are character bigrams and trigr
 edge are its short affixes), longer prefixes and suffixes, and the whole word as lexicon entry, all hashed into
 one table of weights. Learned transitions tie neighbouring words, so code-switched texts get a label for each
 stretch. Forward-backward gives each word's marginals; a document's label has the largest sum of them and its
-score is that sum's share.
+score is that sum's share. A text's words are worked on in chains of ``CHAIN`` side by side, and messages pass
+between them, so the marginals are those of the whole text in one chain.
 
 The field is fitted on a bounded sample: at most ``per_language`` documents of each language value among the
 labelled rows whose crc32(doc_id as text) mod 4 is not 2, the lowest by a hash, for at most ``languages`` values, the most
@@ -84,35 +85,66 @@ def scores(field: Field, grams: np.ndarray, low: np.ndarray, high: np.ndarray, w
     return out
 
 
-def chains(before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Cuts each text's words into chains of at most CHAIN: their first words, lengths and texts."""
+def chains(before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Cuts each text's words into chains of at most CHAIN: their first words, lengths, texts and numbers in them."""
     counts = np.diff(before)
     pieces = -(-counts // CHAIN)
     text = np.repeat(np.arange(len(counts)), pieces)
     nth = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     first = before[text] + nth * CHAIN
-    return first, np.minimum(CHAIN, before[text + 1] - first), text
+    return first, np.minimum(CHAIN, before[text + 1] - first), text, nth
 
 
-def forward_backward(field: Field, emit: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Marginals (chain, place, label), mask, expected moves and start marginals of chains of words."""
-    n, k = len(first), len(field.labels)
-    steps = int(size.max(initial=1))
-    mask = np.arange(steps)[:, None] < size[None, :]
-    place = np.minimum(first[None, :] + np.arange(steps)[:, None], max(len(emit) - 1, 0))
-    e = emit[place]
+def placed(emit: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, chain, label) factors of chains of words, each word's largest 1, and the mask of places that have a word."""
+    steps = np.arange(int(size.max(initial=1)))[:, None]
+    mask = steps < size[None, :]
+    e = emit[np.minimum(first[None, :] + steps, max(len(emit) - 1, 0))]
     e = np.exp(e - e.max(axis=2, keepdims=True))
     e[~mask] = 1
+    return e, mask
+
+
+def messages(field: Field, e: np.ndarray, mask: np.ndarray, nth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What enters each chain from the words before it in its text, and what comes back from those after it.
+
+    nth: each chain's number in its text, whose chains follow one another. A chain is a product of matrices, so the
+    chains' products are made all at once, and then only one vector for each text passes from chain to chain.
+    """
+    steps, n, k = e.shape
+    go = np.exp(field.moves)
+    whole = np.eye(k, dtype=np.float32)[None] * e[0][:, None, :]
+    for t in range(1, steps):
+        now = (whole @ go) * e[t][:, None, :]
+        now /= now.max(axis=(1, 2), keepdims=True)
+        whole = np.where(mask[t][:, None, None], now, whole)
+    enter, leave = np.tile(np.exp(field.start), (n, 1)).astype(np.float32), np.ones((n, k), np.float32)
+    order = np.argsort(nth, kind="stable")
+    cuts = np.searchsorted(nth[order], np.arange(1, int(nth.max(initial=0)) + 2))
+    rounds = [order[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]  # second chains, third chains, ...
+    for own in rounds:
+        now = np.maximum((enter[own - 1][:, None, :] @ whole[own - 1])[:, 0] @ go, 1e-30)
+        enter[own] = now / now.sum(axis=1, keepdims=True)
+    for own in reversed(rounds):
+        now = np.maximum((whole[own] @ leave[own][:, :, None])[:, :, 0] @ go.T, 1e-30)
+        leave[own - 1] = now / now.max(axis=1, keepdims=True)
+    return enter, leave
+
+
+def forward_backward(field: Field, e: np.ndarray, mask: np.ndarray, enter: np.ndarray | None = None, leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Marginals (place, chain, label), expected moves and start marginals of chains of words with the given messages."""
+    steps, n, k = e.shape
     a, go = np.empty((steps, n, k), np.float32), np.exp(field.moves)
-    now = np.exp(field.start)[None, :] * e[0]
+    now = (np.exp(field.start)[None, :] if enter is None else enter) * e[0]
     a[0] = now / now.sum(axis=1, keepdims=True)
     for t in range(1, steps):
         now = (a[t - 1] @ go) * e[t]
         now /= now.sum(axis=1, keepdims=True)
         a[t] = np.where(mask[t][:, None], now, a[t - 1])
-    b, pairs = np.ones((n, k), np.float32), np.zeros((k, k))
+    b, pairs = np.ones((n, k), np.float32) if leave is None else leave, np.zeros((k, k))
     out = np.empty_like(a)
-    out[-1] = a[-1]
+    out[-1] = a[-1] * b
+    out[-1] /= out[-1].sum(axis=1, keepdims=True)
     for t in range(steps - 1, 0, -1):
         ahead = e[t] * b
         joint = np.einsum("ni,nj->ij", a[t - 1] * mask[t][:, None] / np.maximum(((a[t - 1] @ go) * ahead).sum(axis=1, keepdims=True), 1e-30), ahead)
@@ -122,7 +154,7 @@ def forward_backward(field: Field, emit: np.ndarray, first: np.ndarray, size: np
         b = np.where(mask[t][:, None], back, b)
         post = a[t - 1] * b
         out[t - 1] = post / post.sum(axis=1, keepdims=True)
-    return out, mask, pairs, out[0].sum(axis=0)
+    return out, pairs, out[0].sum(axis=0)
 
 
 def fit(labels: list[str], texts: list[str], gold: list[int], epochs: int = 3, batch: int = 24, rate: float = 0.3, seed: int = 7) -> Field:
@@ -138,7 +170,7 @@ def fit(labels: list[str], texts: list[str], gold: list[int], epochs: int = 3, b
             if not len(low):
                 continue
             truth = np.repeat(np.array([gold[i] for i in chosen]), np.diff(before))
-            first, size, _ = chains(before)
+            first, size, _, _ = chains(before)
             # where each place of a chain takes its word from: another chain of the batch beyond a random cut
             steps = int(size.max())
             source = first[None, :] + np.arange(steps)[:, None]
@@ -150,7 +182,7 @@ def fit(labels: list[str], texts: list[str], gold: list[int], epochs: int = 3, b
             source = np.minimum(source, len(low) - 1)
             emit = scores(field, grams, low, high, words)
             flat = emit[source.T.ravel()]
-            post, _, pairs, begin = forward_backward(field, flat, np.arange(len(first)) * steps, size)
+            post, pairs, begin = forward_backward(field, *placed(flat, np.arange(len(first)) * steps, size))
             want = np.zeros_like(post)
             np.put_along_axis(want, truth[source][:, :, None], 1, axis=2)
             error = (want - post) * mask[:, :, None]
@@ -181,8 +213,9 @@ def predict(field: Field | None, texts: list[str]) -> tuple[list[str], list[floa
     grams, low, high, words, before = word_features(texts)
     totals = np.zeros((len(texts), len(field.labels)))
     if len(low):
-        first, size, text = chains(before)
-        post, mask, _, _ = forward_backward(field, scores(field, grams, low, high, words), first, size)
+        first, size, text, nth = chains(before)
+        e, mask = placed(scores(field, grams, low, high, words), first, size)
+        post, _, _ = forward_backward(field, e, mask, *messages(field, e, mask, nth))
         np.add.at(totals, text, (post * mask[:, :, None]).sum(axis=0, dtype=np.float64))
     best = totals.argmax(axis=1)
     share = totals[np.arange(len(texts)), best] / np.maximum(totals.sum(axis=1), 1e-9)
