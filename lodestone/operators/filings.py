@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.html import process_tables, remove_plain_tables, tree, unwrap_plain_spans, unwrap_spans
+from lodestone.functions.text import clean_text
 
 # The items of each form, the day new 8-K items began, and roman numerals.
 ITEMS_10K = "1 1A 1B 1C 2 3 4 5 6 7 7A 8 9 9A 9B 9C 10 11 12 13 14 15 16 SIGNATURE".split()
@@ -184,19 +185,22 @@ def _lines(root) -> Iterator[str]:
             yield " "
 
 
-def extracted(filings: DataFrame) -> DataFrame:
-    """(filename, sections) of filings (filename, type, filing_date, content): a map of item to text. A broken filing gives null."""
+def extracted(filings: DataFrame, clean: bool = True) -> DataFrame:
+    """(filename, sections) of filings (filename, type, filing_date, content): a map of item to text, of cleaned text. A broken filing gives null."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for name, form, date, content in pdf[["filename", "type", "filing_date", "content"]].itertuples(index=False):
-                text = plain_text(content or "", form or "", date)
-                rows.append((name, extract(form or "", re.sub(r"\n{3,}", "\n\n", text), date)))
+            yield pdf.assign(content=[re.sub(r"\n{3,}", "\n\n", plain_text(c or "", f or "", d)) for f, d, c in pdf[["type", "filing_date", "content"]].itertuples(index=False)])
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(name, extract(form or "", text or "", date)) for name, form, date, text in pdf[["filename", "type", "filing_date", "content"]].itertuples(index=False)]
             yield pd.DataFrame(rows, columns=["filename", "sections"])
 
     picked = filings.withColumn("content", main_document(F.col("content"))).select("filename", "type", F.col("filing_date").cast("string").alias("filing_date"), "content")
-    return picked.mapInPandas(run, "filename string, sections map<string,string>")
+    plain = picked.mapInPandas(read, picked.schema)
+    plain = plain.withColumn("content", clean_text(F.col("content"))) if clean else plain
+    return plain.mapInPandas(cut, "filename string, sections map<string,string>")
 
 
 __all__ = ["extract", "extracted", "item_list", "item_list_column", "item_pattern", "main_document", "plain_text", "quarterly_parts", "sections"]

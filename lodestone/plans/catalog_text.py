@@ -32,14 +32,14 @@ def query(sql: str | None = None):
     return put
 
 
-@query("""WITH old AS (SELECT source AS document_id, lang AS domain, min(doc_id) AS seq, count(*) AS chunk_count FROM documents WHERE doc_id % 2 = 0 GROUP BY ALL),
-new AS (SELECT source AS document_id, lang AS domain, 1000000 + min(doc_id) AS seq, count(*) AS chunk_count FROM documents WHERE doc_id % 3 = 0 GROUP BY ALL)
+@query("""WITH old AS (SELECT source AS document_id, lang AS domain, min(doc_id) AS seq, count(*) AS chunk_count FROM documents WHERE doc_id % 3 <> 1 GROUP BY ALL),
+new AS (SELECT source AS document_id, lang AS domain, 1000000 + min(doc_id) AS seq, count(*) AS chunk_count FROM documents WHERE doc_id % 3 <> 0 GROUP BY ALL)
 SELECT coalesce(n.document_id, o.document_id) AS document_id, coalesce(n.domain, o.domain) AS domain, coalesce(o.seq, n.seq) AS seq, coalesce(n.chunk_count, o.chunk_count) AS chunk_count
 FROM old o FULL JOIN new n USING (document_id, domain)""")
 def doc_index_upsert(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     index = lambda df, add: df.groupBy(F.col("source").alias("document_id"), F.col("lang").alias("domain")).agg((F.min("doc_id") + add).alias("seq"), F.count("*").alias("chunk_count"))
-    return ops.upsert(index(docs.where("doc_id % 2 = 0"), 0), index(docs.where("doc_id % 3 = 0"), 1_000_000), ["document_id", "domain"], "seq")
+    return ops.upsert(index(docs.where("doc_id % 3 <> 1"), 0), index(docs.where("doc_id % 3 <> 0"), 1_000_000), ["document_id", "domain"], "seq")
 
 
 @query("SELECT source, arg_min(lang, doc_id) AS lang, min(doc_id) AS doc_id FROM documents GROUP BY source")
@@ -77,12 +77,12 @@ def sector_listing(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("sector", F.array_join(F.slice("all", 1, 3).cast("array<string>"), ",").alias("sample"), (F.size("all") - 3).cast("long").alias("more")).orderBy("sector")
 
 
-@query("""WITH old AS (SELECT * FROM orders WHERE o_orderkey % 3 = 0), alive AS (SELECT o_orderkey, o_custkey FROM old WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0))
-SELECT * FROM alive UNION ALL SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey NOT IN (SELECT o_orderkey FROM alive)""")
+@query("""WITH old AS (SELECT * FROM orders WHERE o_orderkey % 3 <> 1), alive AS (SELECT o_orderkey, o_custkey FROM old WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0))
+SELECT * FROM alive UNION ALL SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey NOT IN (SELECT o_orderkey FROM alive)""")
 def incremental_anti(spark: SparkSession, sf: str) -> DataFrame:
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
     kept = table(spark, sf, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"))
-    return ops.incremental(orders.where("o_orderkey % 3 = 0"), orders.where("o_orderkey % 2 = 0"), kept, "o_custkey", "o_orderkey")
+    return ops.incremental(orders.where("o_orderkey % 3 <> 1"), orders.where("o_orderkey % 3 <> 0"), kept, "o_custkey", "o_orderkey")
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
@@ -271,14 +271,14 @@ def slice_from_marker(spark: SparkSession, sf: str) -> DataFrame:
     return ops.from_marker(chunks(spark, sf), ["doc_id"], "pos", F.contains("text", F.lit("|"))).select("doc_id", "pos")
 
 
-@query(f"""WITH {CHUNKS_SQL}, s AS (SELECT doc_id, substr(text, 5, 30) AS sentence FROM chunks WHERE pos = 0 AND trim(substr(text, 5, 30)) <> '')
-SELECT s.doc_id, arg_min(chunk_id, pos) AS chunk_id FROM s JOIN chunks c ON s.doc_id = c.doc_id AND contains({TRIMMED.format(x='lower(text)')}, {TRIMMED.format(x='lower(sentence)')}) GROUP BY ALL""")
+@query(f"""WITH {CHUNKS_SQL}, s AS (SELECT doc_id, chunk_id AS sentence_id, substr(text, 5, 60) AS sentence FROM chunks WHERE trim(substr(text, 5, 60)) <> '')
+SELECT s.doc_id, sentence_id, arg_min(chunk_id, pos) AS chunk_id FROM s JOIN chunks c ON s.doc_id = c.doc_id AND contains({TRIMMED.format(x='lower(text)')}, {TRIMMED.format(x='lower(sentence)')}) GROUP BY ALL""")
 def locate_sentence(spark: SparkSession, sf: str) -> DataFrame:
     from lodestone.operators.relations import located
 
     own = chunks(spark, sf)
-    first = own.where("pos = 0").select(F.col("doc_id").alias("sentence_id"), "doc_id", F.substring("text", 5, 30).alias("sentence"))
-    return located(first, own).select("doc_id", "chunk_id")
+    every = own.select(F.col("chunk_id").alias("sentence_id"), "doc_id", F.substring("text", 5, 60).alias("sentence"))
+    return located(every, own).select("doc_id", "sentence_id", "chunk_id")
 
 
 @query("""WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha1('42|' || doc_id)) AS n FROM documents) SELECT doc_id, lang FROM r WHERE n <= 30""")
