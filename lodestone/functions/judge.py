@@ -11,11 +11,19 @@ from lodestone.functions.text import is_refusal, normalize_answer
 EMPTY, TRUTH, SIMILAR, DIFFERENT, REAL = "empty", "ground-truth-docs", "lexical-similar-no-answer-docs", "lexical-diff-with-answer-docs", "real-world-docs"
 
 
+#: The similarity from which answers count as alike.
+ALIKE = 0.9
+
+
+def within(said: Column, truth: Column, empty_is_correct: bool = True) -> Column:
+    """contained, of texts that are normalised already."""
+    hit = F.contains(said, truth) | F.contains(truth, said)
+    return F.coalesce(hit if empty_is_correct else hit & (said != "") & (truth != ""), F.lit(False))
+
+
 def contained(prediction: Column, truth: Column, empty_is_correct: bool = True) -> Column:
     """One normalised text contains the other. An empty one is contained in any, unless told otherwise."""
-    p, t = normalize_answer(prediction), normalize_answer(truth)
-    hit = F.contains(p, t) | F.contains(t, p)
-    return F.coalesce(hit if empty_is_correct else hit & (p != "") & (t != ""), F.lit(False))
+    return within(normalize_answer(prediction), normalize_answer(truth), empty_is_correct)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -27,7 +35,7 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
 
 
-def is_correct(prediction: Column, truth: Column, similarity: Column | None = None, threshold: float = 0.9) -> Column:
+def is_correct(prediction: Column, truth: Column, similarity: Column | None = None, threshold: float = ALIKE) -> Column:
     """contained, or a similarity, computed before for the rows that need it, of at least threshold."""
     hit = contained(prediction, truth)
     return hit if similarity is None else hit | F.coalesce(similarity >= threshold, F.lit(False))

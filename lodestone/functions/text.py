@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,17 +46,22 @@ def normalize_answer(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(x), r"(?U)[^0-9a-z%.\s]", " "), r"(?U)\s+", " "), r"^ | $", "")
 
 
-def is_refusal(x: Column, normalise_phrases: bool = False) -> Column:
-    """A refusal phrase occurs in the normalised answer. The phrase with an apostrophe only can if phrases are normalised too."""
+def refuses(said: Column, normalise_phrases: bool = False) -> Column:
+    """A refusal phrase occurs in a normalised answer. The phrase with an apostrophe only can if phrases are normalised too."""
     phrases = [p.replace("'", " ") for p in REFUSALS] if normalise_phrases else REFUSALS
-    text = normalize_answer(x)
-    return reduce(Column.__or__, (F.contains(text, F.lit(p)) for p in phrases))
+    return F.rlike(said, F.lit("|".join(phrases)))
+
+
+def is_refusal(x: Column, normalise_phrases: bool = False) -> Column:
+    """refuses, of the answer as it is."""
+    return refuses(normalize_answer(x), normalise_phrases)
 
 
 def collapse_lines(x: Column) -> Column:
-    """Runs of newlines become one, single newlines a space, repeated spaces one."""
-    marked = F.regexp_replace(F.regexp_replace(x, r"(( )*\n( )*){2,}", "#NEWLINE"), r"\n", " ")
-    return F.regexp_replace(strip(F.regexp_replace(marked, r"(#NEWLINE)+", "\n")), r"[ ]{2,}", " ")
+    """Runs of newlines with blanks between them become one, single newlines a space, repeated spaces one."""
+    breaks = F.regexp_replace(strip(x), r" *\n *", "\n")
+    kept = F.regexp_replace(breaks, r"(?<!\n)\n(?!\n)", " ")
+    return F.regexp_replace(F.regexp_replace(kept, r"\n{2,}", "\n"), r" {2,}", " ")
 
 
 def clean_punctuation(x: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import judge
-from lodestone.functions.text import preview
+from lodestone.functions.text import normalize_answer, preview, refuses
 
 DETAIL = ("model", "record_id", "query_variant", "doc_variant_type", "retriever", "robust", "is_correct", "returns_no_info", "can_answer_without", "response_preview")
 
@@ -41,16 +41,16 @@ def ordered_texts(ids: DataFrame, chunks: DataFrame, key: str) -> DataFrame:
 def response_details(items: DataFrame, responses: DataFrame, similarity: str | None = None) -> DataFrame:
     """Judged responses (item_id, model, response[, similarity]) of the items for metrics.
 
-    can_answer_without: a probe of the model and record was right. is_correct is computed once.
+    can_answer_without: a probe of the model and record was right. Answers are normalised and judged once.
     """
-    answered = responses.join(items, "item_id")
-    right = judge.is_correct(F.col("response"), F.col("answer"), F.col(similarity) if similarity else None)
-    judged = answered.withColumn("is_correct", right)
-    probes = judged.where(F.col("doc_variant_type") == judge.EMPTY).groupBy("model", "record_id").agg(F.max("is_correct").alias("can_answer_without"))
-    judged = judged.where("for_metric").withColumn("returns_no_info", judge.says_nothing(F.col("response"), F.col("is_correct")))
-    judged = judged.join(probes, ["model", "record_id"], "left").withColumn("can_answer_without", F.coalesce("can_answer_without", F.lit(False)))
+    answered = responses.join(items, "item_id").withColumns({"_said": normalize_answer(F.col("response")), "_truth": normalize_answer(F.col("answer"))})
+    right = judge.within(F.col("_said"), F.col("_truth"))
+    right = right if similarity is None else right | F.coalesce(F.col(similarity) >= judge.ALIKE, F.lit(False))
+    judged = answered.select("model", "record_id", "query_variant", "doc_variant_type", "retriever", "for_metric", "response", right.alias("is_correct"), refuses(F.col("_said")).alias("_refused"))
+    probe = F.max(F.when(F.col("doc_variant_type") == judge.EMPTY, F.col("is_correct"))).over(Window.partitionBy("model", "record_id"))
+    known = judged.withColumns({"can_answer_without": F.coalesce(probe, F.lit(False)), "returns_no_info": ~F.col("is_correct") & F.col("_refused")}).where("for_metric")
     robust = judge.is_robust(F.col("is_correct"), F.col("returns_no_info"), F.col("can_answer_without"), F.col("doc_variant_type"))
-    return judged.withColumn("robust", robust).withColumn("response_preview", preview(F.col("response"))).select(*DETAIL)
+    return known.withColumn("robust", robust).withColumn("response_preview", preview(F.col("response"))).select(*DETAIL)
 
 
 def share(flag) -> F.Column:
@@ -66,14 +66,18 @@ WILD = "query_variant = 'original' and doc_variant_type = 'real-world-docs'"
 def robustness(details: DataFrame) -> DataFrame:
     """(model, metric, value): overall, query, doc and real-world robustness, per variant, and per variant and documents.
 
-    Real-world values are means over scores, for each retriever and for all scores together.
+    Real-world values are means over scores, for each retriever and for all scores together. Every response counts
+    for each of its metrics in one pass; the first three metrics are there for every model.
     """
-    robust = F.col("robust")
-    overall = details.groupBy("model").agg(
-        share(robust).alias("overall"), share(F.when(F.expr(QUERY), robust)).alias("query"), share(F.when(F.expr(DOC), robust)).alias("doc")
-    )
-    wide = overall.select("model", F.explode(F.array(*(F.struct(F.lit(f"{n}_robustness").alias("metric"), F.col(n).alias("value")) for n in ("overall", "query", "doc")))).alias("m")).select("model", "m.*")
-    return wide.unionByName(real_robustness(details)).unionByName(variant_robustness(details))
+    score, wild = F.col("robust").cast("int"), F.expr(WILD)
+    one = lambda name, value=score: F.struct(name.alias("metric"), value.alias("score"))
+    every = [
+        one(F.lit("overall_robustness")), one(F.lit("query_robustness"), F.when(F.expr(QUERY), score)), one(F.lit("doc_robustness"), F.when(F.expr(DOC), score)),
+        one(F.when(wild, "real_robustness")), one(F.when(wild, F.concat(F.lit("real_robustness_"), F.coalesce("retriever", F.lit("none"))))),
+        one(F.concat(F.lit("variant_"), "query_variant")), one(F.concat(F.lit("variant_doc_"), "query_variant", F.lit("_"), "doc_variant_type")),
+    ]
+    rows = details.select("model", F.inline(F.array(*every))).where("metric is not null")
+    return rows.groupBy("model", "metric").agg(F.round(F.coalesce(F.avg("score"), F.lit(0.0)), 6).alias("value"))
 
 
 def real_robustness(details: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ stays. Everything is keyed by graph_id, so graphs never mix.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -99,13 +100,13 @@ def chains(valid: DataFrame, longest: int = 3) -> DataFrame:
 def stars(valid: DataFrame, most: int = 4) -> DataFrame:
     """Combinations of 2 to most of each root's first most hops, in their order."""
     own = Window.partitionBy("graph_id", "u").orderBy("edge_seq")
-    arms = valid.withColumn("n", F.row_number().over(own)).where(F.col("n") <= most).select("graph_id", "u", "n", "hop")
-    now, out = arms.select("graph_id", "u", F.col("n").alias("last"), F.array("hop").alias("hops")), None
-    for n in range(2, most + 1):
-        now = now.join(arms, ["graph_id", "u"]).where("n > last").select("graph_id", "u", F.col("n").alias("last"), F.concat("hops", F.array("hop")).alias("hops"))
-        found = _paths(now, "star_shaped", [F.col("hops")[i] for i in range(n)])
-        out = found if out is None else out.unionByName(found)
-    return out.dropDuplicates(["graph_id", "path_sha1"])
+    arms = valid.withColumn("n", F.row_number().over(own)).where(F.col("n") <= most)
+    listed = arms.groupBy("graph_id", "u").agg(F.array_sort(F.collect_list(F.struct("n", "hop"))).alias("arms"))  # at most most of them
+    hop = lambda i: F.get("arms", F.lit(i))["hop"]
+    ways = [F.when(F.size("arms") > way[-1], F.array(*map(hop, way))) for n in range(2, most + 1) for way in combinations(range(most), n)]
+    found = listed.select("graph_id", F.explode(F.filter(F.array(*ways), lambda w: w.isNotNull())).alias("path"))
+    ids = F.sha1(F.array_join(F.transform("path", lambda h: h["triplet_id"]), ","))
+    return found.select("graph_id", F.lit("star_shaped").alias("pattern"), "path", ids.alias("path_sha1")).dropDuplicates(["graph_id", "path_sha1"])
 
 
 def inverted_stars(valid: DataFrame) -> DataFrame:

@@ -46,8 +46,8 @@ deg AS (SELECT graph_id, node, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i)
 
 def _edges(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     facts = triplets(spark, sf)
-    edge = g.ordered_edges(facts)
-    return g.valid_edges(facts, edge), edge
+    edge = g.ordered_edges(facts).persist()  # patterns join it with itself
+    return g.valid_edges(facts, edge).persist(), edge
 
 
 def _flat(paths: DataFrame) -> DataFrame:
