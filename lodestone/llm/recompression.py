@@ -8,7 +8,8 @@ equal runs and pairs equal names, and no exchange is needed to agree on them.
 A symbol's reach are the words that decide that it exists: its own and those of the neighbours that could have
 joined it. A symbol whose reach lies in a window occurs at the same place in every equal window. Each window of 35
 words takes as anchor the least such symbol of the highest level that has one (single words always do). Shared
-anchors reveal candidates, and windows are verified by the names of their whole word sequences (``repeats``).
+anchors reveal candidates, which carry their words: windows at one place of an anchor whose sequences have equal names
+are compared word by word, byte by byte (``repeats`` says when a whole record needs no such look).
 
 Null or empty text: no words. Equal texts and rows repeat each other. Other columns are not read.
 """
@@ -27,14 +28,14 @@ from lodestone.llm.repeats import Anchored, anchor_chunks, anchored, answered, b
 from lodestone.llm.rolling import BYTE_VALUES, gram_hashes, mix, prefix_sums, slice_hash
 
 ROUNDS = 3
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 2 << 20
 _BYTES = np.arange(256)
 IS_BLANK = (_BYTES == 0x20) | (_BYTES >= 0x09) & (_BYTES <= 0x0D)
 _RUN, _PAIR, _SIDE = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of the column's words, and the words before each text."""
+def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes of the column's words, the words before each text, and the words' bounds in the column's bytes."""
     data, offsets = byte_view(column)
     inside = np.zeros(len(data) + 2, np.int8)
     inside[1:-1] = ~IS_BLANK[data]
@@ -45,7 +46,7 @@ def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if len(cut):
         low, high = np.sort(np.concatenate([low, cut])), np.sort(np.concatenate([high, cut]))
     before = np.searchsorted(low, offsets)
-    return slice_hash(prefix_sums(BYTE_VALUES[data]), low, high) if len(low) else np.zeros(0, np.uint64), before
+    return slice_hash(prefix_sums(BYTE_VALUES[data]), low, high) if len(low) else np.zeros(0, np.uint64), before, low, high
 
 
 class Level:
@@ -149,26 +150,71 @@ def anchors(names: np.ndarray, before: np.ndarray, width: int) -> tuple[np.ndarr
 
 
 def scan(column: pa.Array, width: int) -> tuple[Anchored, Callable[[int, int], bytes]]:
-    names, before = words(column)
+    """Records of a column's texts; a record's bytes are its words and what stands between them."""
+    names, before, low, high = words(column)
     found = anchored(names, before, width, *anchors(names, before, width))
-    windows = gram_hashes(found.sums, width)
-    return found, lambda a, b: windows[a:b].tobytes()
-
-
-def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Which windows of an anchor's records have the name of another's at the same place."""
-    for whole in anchor_chunks(batches, CHUNK_BYTES):
-        data, offsets = byte_view(whole.column("data").combine_chunks())
-        name, size = np.ascontiguousarray(data).view(np.uint64), np.diff(offsets) // 8
-        record = np.repeat(np.arange(whole.num_rows), size)
-        place = np.arange(len(name)) - np.repeat(np.cumsum(size) - size + whole.column("off").to_numpy(), size)
-        key = mix(mix(name + place.astype(np.uint64)) ^ whole.column("h").to_numpy().view(np.uint64)[record])
-        order = np.argsort(key)
-        same = key[order][1:] == key[order][:-1]
-        again = np.zeros(len(key), bool)
-        again[order[1:][same]] = again[order[:-1][same]] = True
-        own, at = record[again], place[again]
-        yield answered(whole, np.split(np.stack([at, at + 1], axis=1).ravel(), 2 * np.searchsorted(own, np.arange(1, whole.num_rows))))
+    data = byte_view(column)[0]
+    return found, lambda a, b: data[low[a] : high[b - 2 + width]].tobytes()
+
+
+def _joined(data: np.ndarray, low: np.ndarray, high: np.ndarray) -> bytes:
+    return b" ".join([data[x:y].tobytes() for x, y in zip(low.tolist(), high.tolist(), strict=True)])
+
+
+def same_windows(data: np.ndarray, low: np.ndarray, high: np.ndarray, a: np.ndarray, b: np.ndarray, width: int) -> np.ndarray:
+    """Which windows of width words, given by the numbers of their first words, are equal; words are data[low:high]."""
+    size = high - low
+    out = np.ones(len(a), bool)
+    # first the words' sizes, then the bytes: windows of equal sizes differ or not at the same places
+    for begin in range(0, len(a), 1 << 12):
+        x = a[begin : begin + (1 << 12), None] + np.arange(width)
+        y = b[begin : begin + (1 << 12), None] + np.arange(width)
+        good = (size[x] == size[y]).all(axis=1)
+        x, y = x[good], y[good]
+        if len(x):
+            n = size[x].ravel()
+            ends = np.cumsum(n)
+            step = np.arange(int(ends[-1])) - np.repeat(ends - n, n)
+            differ = data[np.repeat(low[x].ravel(), n) + step] != data[np.repeat(low[y].ravel(), n) + step]
+            total = size[x].sum(axis=1)
+            good[np.flatnonzero(good)] = np.add.reduceat(differ, np.cumsum(total) - total) == 0
+        out[begin : begin + (1 << 12)] = good
+    return out
+
+
+def repeated_windows(h: np.ndarray, off: np.ndarray, column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The record and the place, counted from the anchor, of each window that another record of its anchor has at the same place."""
+    name, before, low, high = words(column)
+    data = byte_view(column)[0]
+    count = np.maximum(np.diff(before) - width + 1, 0)
+    record = np.repeat(np.arange(len(count)), count)
+    nth = np.arange(len(record)) - np.repeat(np.cumsum(count) - count, count)
+    place, first = nth - off[record], before[record] + nth
+    window = gram_hashes(prefix_sums(name), width)[first] if len(first) else np.zeros(0, np.uint64)
+    order = np.lexsort((window, place, h[record]))
+    near = (window[order][1:] == window[order][:-1]) & (place[order][1:] == place[order][:-1]) & (h[record][order][1:] == h[record][order][:-1])
+    pair = np.flatnonzero(near)
+    equal = same_windows(data, low, high, first[order[pair]], first[order[pair + 1]], width)
+    again = np.zeros(len(record), bool)
+    again[order[pair[equal]]] = again[order[pair[equal] + 1]] = True
+    if not equal.all():  # different windows of one name: all windows of these names are told apart by their words
+        odd = np.isin(window, window[order[pair[~equal]]])
+        again[odd] = False
+        groups: dict[tuple, list[int]] = {}
+        for i in np.flatnonzero(odd).tolist():
+            groups.setdefault((int(h[record[i]]), int(place[i]), _joined(data, low[first[i] : first[i] + width], high[first[i] : first[i] + width])), []).append(i)
+        for own in groups.values():
+            again[own] = len(own) > 1
+    return record[again], place[again]
+
+
+def verifier(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in anchor_chunks(batches, CHUNK_BYTES):
+            own, at = repeated_windows(whole.column("h").to_numpy(), whole.column("off").to_numpy(), whole.column("data").combine_chunks(), width)
+            yield answered(whole, np.split(np.stack([at, at + 1], axis=1).ravel(), 2 * np.searchsorted(own, np.arange(1, whole.num_rows))))
+
+    return run
 
 
 def recompression_dedup(docs: DataFrame, width: int = 35) -> DataFrame:
@@ -186,4 +232,4 @@ def recompression_dedup(docs: DataFrame, width: int = 35) -> DataFrame:
             out.append((len(parts), len(parts) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
         return out
 
-    return repeated(docs, lambda column: scan(column, width), width, by_anchor(verify), finish, "n_words long, n_removed long, kept_sha256 string", settled=True)
+    return repeated(docs, lambda column: scan(column, width), width, by_anchor(verifier(width)), finish, "n_words long, n_removed long, kept_sha256 string", settled=True)

@@ -10,8 +10,9 @@ is handled once.
 3. The operator's own method finds which windows of these records are repeated.
 4. The answers go back to every record, to its text, and to every row that holds the text.
 
-Counts are aggregated before each shuffle, equal texts are one text, and joins on hot names are split by the
-engine. Texts are shuffled once, by a 128-bit hash, and every step reads that exchange again.
+Counts are aggregated before each shuffle, equal texts are one text, and joins by anchor deal each anchor's rows to
+``DEALT`` tasks. Two records are taken for one if anchor and content have equal 64-bit names; of 10^13 records two
+different ones meet so with a chance far below a hundredth. Texts are shuffled once, by a 128-bit hash, and every step reads that exchange again.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from lodestone.llm.rolling import mix, prefix_sums, slice_hash
 #: Distinct records of one anchor beyond which their windows are counted by name in the cluster, not in one task.
 DENSE = 4096
 KEY = ["t1", "t2"]
+#: Ways in which the rows of each anchor are dealt in joins by anchor, so that a hot one isn't one task's work.
+DEALT = 8
 #: Bytes of text scanned at once: their 64-bit arrays stay in a core's cache.
 SCANNED = 1 << 18
 
@@ -91,6 +94,12 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
     return with_key(docs.select("text")).groupBy(*KEY).agg(F.first("text").alias("text"), F.count("*").alias("copies"))
 
 
+def dealt_join(rows: DataFrame, anchors: DataFrame, by: str, how: str = "inner") -> DataFrame:
+    """rows joined with anchors (one row for each h) by h, each anchor's rows in DEALT parts by the column by."""
+    parts = anchors.withColumn("_part", F.explode(F.array(*map(F.lit, range(DEALT)))))
+    return rows.withColumn("_part", F.pmod(F.col(by), F.lit(DEALT)).cast("int")).join(parts, ["h", "_part"], how).drop("_part")
+
+
 def taken(batch: pa.RecordBatch, rows: np.ndarray) -> list[pa.Array]:
     return [batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows))]
 
@@ -160,12 +169,12 @@ def repeated(docs: DataFrame, scan: Scan, width: int, resolve: Callable[[DataFra
             yield pa.RecordBatch.from_arrays([longs(found.h[keep][record]), longs(found.g[keep][record]), longs(start - found.at[keep][record]), longs(w), longs(n[record])], ["h", "g", "c", "w", "n"])
 
     several = texts.mapInArrow(names, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
-    marks = texts.mapInArrow(places, "h long, t1 long, t2 long").join(several, "h", "left_semi").groupBy(*KEY).agg(F.collect_list("h").alias("marks"))
+    marks = dealt_join(texts.mapInArrow(places, "h long, t1 long, t2 long"), several, "t1", "left_semi").groupBy(*KEY).agg(F.collect_list("h").alias("marks"))
     every = texts.join(marks, KEY).select(*KEY, "text", "copies", "marks").mapInArrow(records, "h long, g long, t1 long, t2 long, n long, at int, low int, high int")
     kinds = every.groupBy("h", "g").agg(F.sum("n").alias("n"), F.first("t1").alias("t1"), F.first("t2").alias("t2"))
     # (t1 and t2 are named here only so that both readers of kinds need the same exchange, which is then made once)
     rivals = kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.max(F.col("n") == 1).alias("single"), F.max("t1").alias("_1"), F.max("t2").alias("_2"))
-    kinds = kinds.join(rivals, "h").where("kinds > 1 or n > 1").withColumn("dense", F.col("kinds") > DENSE)
+    kinds = dealt_join(kinds, rivals, "g").where("kinds > 1 or n > 1").withColumn("dense", F.col("kinds") > DENSE)
     open_ = kinds.where("kinds > 1 and single") if settled else kinds
     asked = texts.join(open_.groupBy(*KEY).agg(F.collect_list(F.struct("g", "n", "dense")).alias("own")), KEY).select(*KEY, "text", "copies", "own")
     by_name = asked.mapInArrow(windows, "h long, g long, c long, w long, n long")

@@ -124,3 +124,25 @@ def test_recompression_matches_brute_force(spark, monkeypatch, dense):
     want = sorted(((i, *x) for i, x in zip(ids, brute_words([*texts, "", texts[5]], 35))), key=str)
     assert got == want
     assert recompression_dedup(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("names", [1, 2, 1 << 62])
+def test_windows_of_equal_names_are_told_apart_by_their_words(monkeypatch, names):
+    import pyarrow as pa
+
+    import lodestone.llm.recompression as recompression
+
+    real = recompression.gram_hashes
+    monkeypatch.setattr(recompression, "gram_hashes", lambda sums, size: real(sums, size) % np.uint64(names))
+    rng = np.random.default_rng(names % 97)
+    records = [" ".join(rng.choice(["a", "b", "cc", "é"], rng.integers(3, 12))) for _ in range(120)]
+    records = [r if i % 3 else r.replace(" ", "\n  ") for i, r in enumerate(records)]
+    h, off = np.sort(rng.integers(0, 9, 120)), rng.integers(-1, 3, 120)
+    width, seen = 3, {}
+    for i, r in enumerate(records):
+        w = r.split()
+        for k in range(len(w) - width + 1):
+            seen.setdefault((h[i], k - off[i], tuple(w[k : k + width])), []).append((i, k - off[i]))
+    want = sorted(x for own in seen.values() if len(own) > 1 for x in own)
+    record, place = recompression.repeated_windows(h, off, pa.array([r.encode() for r in records], pa.binary()), width)
+    assert sorted(zip(record.tolist(), place.tolist())) == want
