@@ -95,10 +95,10 @@ def row_blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int
         yield low, len(sizes)
 
 
-def arrow_blocks(batches: Iterator[pa.RecordBatch], name: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches cut anew by bytes of text; at the end freed memory goes back to the system."""
+def arrow_blocks(batches: Iterator[pa.RecordBatch], name: str = "text", limit: int = BLOCK_BYTES, trim: bool = False) -> Iterator[pa.RecordBatch]:
+    """The batches cut anew by bytes of text; with trim freed memory goes back to the system at the end."""
     for batch in batches:
         for low, high in row_blocks(batch.column(batch.schema.get_field_index(name)), limit):
             yield batch.slice(low, high - low)
-    if _TRIM:
+    if trim and _TRIM:
         _TRIM(0)

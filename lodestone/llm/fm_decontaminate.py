@@ -290,7 +290,7 @@ def searched(docs: DataFrame, benchmark: DataFrame, width: int, block_bytes: int
         last = k == blocks - 1
 
         def run(batches: Iterator[pa.RecordBatch], held=held, last=last, before=k > 0) -> Iterator[pa.RecordBatch]:
-            for batch in arrow_blocks(batches, "text", SHARD_BYTES):
+            for batch in arrow_blocks(batches, "text", SHARD_BYTES, trim=True):
                 counts, spans, items = find(held.value, text_column(batch))
                 own = batch.columns[: len(columns)]
                 hits, got = [spans.get(i, []) for i in range(len(counts))], [sorted(items.get(i, ())) for i in range(len(counts))]

@@ -270,7 +270,7 @@ def accepted(docs: DataFrame, least: float = 0.35, per_language: int = 250) -> D
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in arrow_blocks(batches):
+        for batch in arrow_blocks(batches, trim=True):
             labels, shares = predict(model.value, [t or "" for t in batch.column(at).to_pylist()])
             yield batch.filter(pa.array([label != UND and share >= least for label, share in zip(labels, shares, strict=True)], pa.bool_()))
 

@@ -523,7 +523,7 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(model_path, 1)
-        for batch in arrow_blocks(batches, "text", BLOCK):
+        for batch in arrow_blocks(batches, "text", BLOCK, trim=True):
             ids, count, _, _ = model.encoded(text_column(batch).to_pylist())
             columns = list(batch.columns)
             columns[at] = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)), pa.int32()), pa.array(ids))

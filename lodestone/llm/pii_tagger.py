@@ -433,7 +433,7 @@ def redact(docs: DataFrame, per_kind: int = 80) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in arrow_blocks(batches):
+        for batch in arrow_blocks(batches, trim=True):
             texts = batch.column(at).to_pylist()
             base, more = spans_of(tagger.value, [t or "" for t in texts])
             columns = list(batch.columns)

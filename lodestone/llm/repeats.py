@@ -10,8 +10,8 @@ is handled once.
 3. The operator's own method finds which windows of these records are repeated.
 4. The answers go back to every record, to its text, and to every row that holds the text.
 
-Counts are aggregated before each shuffle, equal texts are one text, and joins by anchor deal each anchor's rows to
-``DEALT`` tasks. Two records are taken for one if anchor and content have equal 64-bit names; of 10^13 records two
+Equal texts are one text. Texts and records are scanned as often as they are shuffled: columns that only some readers
+of a shuffle need are packed, so that the engine sees one shuffle and reuses it. Two records are taken for one if anchor and content have equal 64-bit names; of 10^13 records two
 different ones meet so with a chance far below a hundredth. Texts are shuffled once, by a 128-bit hash, and every step reads that exchange again.
 """
 
@@ -31,8 +31,6 @@ from lodestone.llm.rolling import mix, prefix_sums, slice_hash
 #: Distinct records of one anchor beyond which their windows are counted by name in the cluster, not in one task.
 DENSE = 4096
 KEY = ["t1", "t2"]
-#: Ways in which the rows of each anchor are dealt in joins by anchor, so that a hot one isn't one task's work.
-DEALT = 8
 #: Bytes of text scanned at once: their 64-bit arrays stay in a core's cache.
 SCANNED = 1 << 18
 
@@ -94,12 +92,6 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
     return with_key(docs.select("text")).groupBy(*KEY).agg(F.first("text").alias("text"), F.count("*").alias("copies"))
 
 
-def dealt_join(rows: DataFrame, anchors: DataFrame, by: str, how: str = "inner") -> DataFrame:
-    """rows joined with anchors (one row for each h) by h, each anchor's rows in DEALT parts by the column by."""
-    parts = anchors.withColumn("_part", F.explode(F.array(*map(F.lit, range(DEALT)))))
-    return rows.withColumn("_part", F.pmod(F.col(by), F.lit(DEALT)).cast("int")).join(parts, ["h", "_part"], how).drop("_part")
-
-
 def taken(batch: pa.RecordBatch, rows: np.ndarray) -> list[pa.Array]:
     return [batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows))]
 
@@ -107,7 +99,7 @@ def taken(batch: pa.RecordBatch, rows: np.ndarray) -> list[pa.Array]:
 def repeated(docs: DataFrame, scan: Scan, width: int, resolve: Callable[[DataFrame], DataFrame], finish: Callable[[list[bytes], list[np.ndarray]], list[tuple]], schema: str, settled: bool) -> DataFrame:
     """For each row of docs (doc_id, text), what finish makes of its text and the starts [from, to), flat, of its repeated windows.
 
-    resolve: takes (h, g, n, off, data) records, data being the scan's bytes, and gives (h, g, starts). settled: it
+    resolve: takes (h, g, n, off, data, ...) records, data being the scan's bytes (rows without are not for it), and gives (h, g, starts). settled: it
     gets only what is open: records of which there is one, and their rivals at the anchor; a record that occurs
     twice is repeated throughout. Anchors with over DENSE different records are resolved by their windows' names.
     """
@@ -135,8 +127,11 @@ def repeated(docs: DataFrame, scan: Scan, width: int, resolve: Callable[[DataFra
             keep = marked(batch, 4, found, found.h)
             row = found.row[keep]
             base = found.offsets[row]
-            places = (pa.array((x[keep] - base).astype(np.int32)) for x in (found.at, found.low, found.high))
-            yield pa.RecordBatch.from_arrays([longs(found.h[keep]), longs(found.g[keep]), *taken(batch, row), batch.column(3).take(pa.array(row)), *places], ["h", "g", *KEY, "n", "at", "low", "high"])
+            n = batch.column(3).to_numpy()[row]
+            key = [batch.column(i).to_numpy()[row] for i in (0, 1)]
+            packed = np.stack([n, *(x[keep] - base for x in (found.at, found.low, found.high)), *key], axis=1).astype(np.int64)
+            rest = pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1, dtype=np.int32) * 6), pa.array(packed.ravel()))
+            yield pa.RecordBatch.from_arrays([longs(found.h[keep]), longs(found.g[keep]), rest], ["h", "g", "rest"])
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Anchored, Callable[[int, int], bytes], np.ndarray, np.ndarray, np.ndarray]]:
         """The records that stand for their (h, g), with their counts."""
@@ -153,38 +148,45 @@ def repeated(docs: DataFrame, scan: Scan, width: int, resolve: Callable[[DataFra
                     dense.append(got[1])
             yield found, data, np.array(keep, np.int64), np.array(n, np.int64), np.array(dense, bool)
 
-    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Records for the operator's own method, with data; windows of those of dense anchors, with their names."""
+        names = ["h", "g", "n", "off", "data", "w", "deal"]
         for found, data, keep, n, dense in chosen(batches):
-            keep, n = keep[~dense], n[~dense]
-            cut = [data(a, b) for a, b in zip(found.low[keep].tolist(), found.high[keep].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([longs(found.h[keep]), longs(found.g[keep]), longs(n), longs(found.at[keep] - found.low[keep]), pa.array(cut, pa.binary())], ["h", "g", "n", "off", "data"])
+            own, m = keep[~dense], n[~dense]
+            cut = pa.array([data(a, b) for a, b in zip(found.low[own].tolist(), found.high[own].tolist(), strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([longs(found.h[own]), longs(found.g[own]), longs(m), longs(found.at[own] - found.low[own]), cut, pa.nulls(len(own), pa.int64()), pa.array(np.zeros(len(own), np.int64))], names)
+            own, m = keep[dense], n[dense]
+            size = found.high[own] - found.low[own]
+            record = np.repeat(np.arange(len(own)), size)
+            start = np.repeat(found.low[own], size) + np.arange(len(record)) - np.repeat(np.cumsum(size) - size, size)
+            w = slice_hash(found.sums, start, start + width)
+            yield pa.RecordBatch.from_arrays([longs(found.h[own][record]), longs(found.g[own][record]), longs(m[record]), longs(start - found.at[own][record]), pa.nulls(len(record), pa.binary()), longs(w), longs(found.g[own][record])], names)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found, _, keep, n, dense in chosen(batches):
-            keep, n = keep[dense], n[dense]
-            size = found.high[keep] - found.low[keep]
-            record = np.repeat(np.arange(len(keep)), size)
-            start = np.repeat(found.low[keep], size) + np.arange(len(record)) - np.repeat(np.cumsum(size) - size, size)
-            w = slice_hash(found.sums, start, start + width)
-            yield pa.RecordBatch.from_arrays([longs(found.h[keep][record]), longs(found.g[keep][record]), longs(start - found.at[keep][record]), longs(w), longs(n[record])], ["h", "g", "c", "w", "n"])
+        for batch in batches:
+            own = batch.filter(batch.column(5).is_valid())
+            yield pa.RecordBatch.from_arrays([own.column(i) for i in (0, 1, 3, 5, 2)], ["h", "g", "c", "w", "n"])
 
     several = texts.mapInArrow(names, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
-    marks = dealt_join(texts.mapInArrow(places, "h long, t1 long, t2 long"), several, "t1", "left_semi").groupBy(*KEY).agg(F.collect_list("h").alias("marks"))
-    every = texts.join(marks, KEY).select(*KEY, "text", "copies", "marks").mapInArrow(records, "h long, g long, t1 long, t2 long, n long, at int, low int, high int")
-    kinds = every.groupBy("h", "g").agg(F.sum("n").alias("n"), F.first("t1").alias("t1"), F.first("t2").alias("t2"))
-    # (t1 and t2 are named here only so that both readers of kinds need the same exchange, which is then made once)
-    rivals = kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.max(F.col("n") == 1).alias("single"), F.max("t1").alias("_1"), F.max("t2").alias("_2"))
-    kinds = dealt_join(kinds, rivals, "g").where("kinds > 1 or n > 1").withColumn("dense", F.col("kinds") > DENSE)
+    marks = texts.mapInArrow(places, "h long, t1 long, t2 long").join(several, "h", "left_semi").groupBy(*KEY).agg(F.collect_list("h").alias("marks"))
+    scanned = texts.join(marks, KEY).select(*KEY, "text", "copies", "marks").mapInArrow(records, "h long, g long, rest array<long>")
+    every = scanned.repartition("h", "g")  # rest: n, at, low, high, t1, t2
+    kinds = every.groupBy("h", "g").agg(F.sum(F.col("rest")[0]).alias("n"), *(F.min_by(F.col("rest")[4 + i], F.struct(F.col("rest")[4], F.col("rest")[5])).alias(k) for i, k in enumerate(KEY)))
+    rivals = kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.max(F.col("n") == 1).alias("single"))
+    kinds = kinds.join(rivals, "h").where("kinds > 1 or n > 1").withColumn("dense", F.col("kinds") > DENSE)
     open_ = kinds.where("kinds > 1 and single") if settled else kinds
     asked = texts.join(open_.groupBy(*KEY).agg(F.collect_list(F.struct("g", "n", "dense")).alias("own")), KEY).select(*KEY, "text", "copies", "own")
-    by_name = asked.mapInArrow(windows, "h long, g long, c long, w long, n long")
+    # an anchor's records meet in one task, the windows of dense ones are dealt by record
+    dealt = asked.mapInArrow(picked, "h long, g long, n long, off long, data binary, w long, deal long").repartition("h", "deal")
+    by_name = dealt.mapInArrow(windows, "h long, g long, c long, w long, n long")
     twice = by_name.groupBy("h", "c", "w").agg(F.sum("n").alias("n")).where("n > 1").select("h", "c", "w")
     dense = by_name.join(twice, ["h", "c", "w"], "left_semi").groupBy("h", "g").agg(F.flatten(F.sort_array(F.collect_list(F.array(F.col("c").cast("int"), (F.col("c") + 1).cast("int"))))).alias("starts"))
-    answers = dense.unionByName(resolve(asked.mapInArrow(segments, "h long, g long, n long, off long, data binary")))
+    answers = dense.unionByName(resolve(dealt))
     if settled:
         answers = answers.unionByName(kinds.where("n > 1").select("h", "g", F.lit(None).cast("array<int>").alias("starts")))
     # a record repeated throughout has no list of starts, but its own bounds; its windows may be answered, too
-    told = every.join(answers, ["h", "g"]).select(*KEY, F.coalesce(F.transform("starts", lambda s: s + F.col("at")), F.array("low", "high")).alias("starts"))
+    at, low, high = (F.col("rest")[i].cast("int") for i in (1, 2, 3))
+    told = every.join(answers, ["h", "g"]).select(*(F.col("rest")[4 + i].alias(k) for i, k in enumerate(KEY)), F.coalesce(F.transform("starts", lambda s: s + at), F.array(low, high)).alias("starts"))
     told = told.groupBy(*KEY).agg(F.flatten(F.collect_list("starts")).alias("found"))
 
     def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,6 +206,7 @@ def anchor_chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.T
     held: list[pa.RecordBatch] = []
     total = 0
     for batch in batches:
+        batch = batch.filter(batch.column(4).is_valid())
         if not batch.num_rows:
             continue
         if held and total > size and held[-1].column(0)[-1].as_py() != batch.column(0)[0].as_py():
@@ -221,8 +224,8 @@ def anchor_chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.T
 
 
 def by_anchor(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[DataFrame], DataFrame]:
-    """A resolver that gets each anchor's records in one task; anchors have at most DENSE of them."""
-    return lambda records: records.repartition("h").sortWithinPartitions("h").mapInArrow(run, "h long, g long, starts array<int>")
+    """A resolver of records that are dealt by anchor: it gets each anchor's, at most DENSE of them, one after the other."""
+    return lambda records: records.sortWithinPartitions("h").mapInArrow(run, "h long, g long, starts array<int>")
 
 
 def answered(whole: pa.Table, starts: list[np.ndarray]) -> pa.RecordBatch:

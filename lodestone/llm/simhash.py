@@ -330,7 +330,7 @@ def similar_groups(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFr
     common = spark.sparkContext.broadcast(common_shingles(texts, size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in arrow_blocks(batches):
+        for batch in arrow_blocks(batches, trim=True):
             sets = [shingle_set(t, size) for t in text_column(batch).to_pylist()]
             n = pa.array([len(x) for x in sets], pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), n, pa.array([prefix_of(x, common.value, least) for x in sets], pa.list_(pa.int64()))], [*KEY, "n", "tokens"])
