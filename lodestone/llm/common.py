@@ -38,13 +38,20 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/lodestone/{label}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """df written to the shared folder and read back: cuts lineage, survives lost executors."""
-    path = shared_path(df.sparkSession, label)
+def stored(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
+    """df written to the shared folder (at path, where it is given) and read back: cuts lineage, survives lost executors."""
+    path = path or shared_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, *paths: str) -> None:
+    """Deletes tables that nothing reads any more, and lets the driver's cleaner drop the shuffle files of finished jobs."""
+    for path in paths:
+        delete_path(spark, path)
+    spark.sparkContext._jvm.System.gc()
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import arrow_blocks, row_blocks, stored, text_column
+from lodestone.llm.common import arrow_blocks, release, shared_path, stored, text_column
 from lodestone.llm.components import components
 from lodestone.llm.rolling import mix
 
@@ -306,7 +306,7 @@ def common_shingles(keyed_docs: DataFrame, size: int) -> np.ndarray:
     """Sorted hashes of the most frequent shingles of one text in eight: a table of bounded size. It orders, and drops nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in arrow_blocks(batches):
+        for batch in arrow_blocks(batches, trim=True):
             own = [shingle_set(t, size) for t in text_column(batch).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *own]).view(np.int64))], ["token"])
 
@@ -336,11 +336,9 @@ def similar_groups(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFr
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), n, pa.array([prefix_of(x, common.value, least) for x in sets], pa.list_(pa.int64()))], [*KEY, "n", "tokens"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low, high in row_blocks(batch.column(2)):
-                part = batch.slice(low, high - low)
-                keep = [similarity(a, b, size) >= least for a, b in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
-                yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+        for part in arrow_blocks(batches, "text_u", trim=True):
+            keep = [similarity(a, b, size) >= least for a, b in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
+            yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     whole = distinct_texts(docs).select(*KEY, "text")
 
@@ -357,17 +355,23 @@ def similar_groups(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFr
         return made.select(F.least("t1_u", "t1_v").alias("u"), F.greatest("t1_u", "t1_v").alias("v"))
 
     def verified(pairs: DataFrame, label: str) -> DataFrame:
-        ids = prints.select("t1", "t2")
-        named = stored(pairs.distinct().join(ids.toDF("u", "u2"), "u").join(ids.toDF("v", "v2"), "v").select("u", "u2", "v", "v2"), "pairs")
+        ids, path = prints.select("t1", "t2"), shared_path(spark, "pairs")
+        named = stored(pairs.distinct().join(ids.toDF("u", "u2"), "u").join(ids.toDF("v", "v2"), "v").select("u", "u2", "v", "v2"), "pairs", path)
+        release(spark)
         both = named.join(whole.toDF("u", "u2", "text_u"), ["u", "u2"]).join(whole.toDF("v", "v2", "text_v"), ["v", "v2"])
-        return stored(both.select("u", "v", "text_u", "text_v").mapInArrow(verify, "u long, v long"), label)
+        links = stored(both.select("u", "v", "text_u", "text_v").mapInArrow(verify, "u long, v long"), label)
+        release(spark, path)
+        return links
 
     # prefixes are shuffled, not texts
     prints = texts.select("text", *KEY).mapInArrow(run, "t1 long, t2 long, n int, tokens array<long>")
     prints = stored(prints.groupBy(*KEY).agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")), "prefixes")
     rows = prints.select("t1", "n", F.size("tokens").alias("size"), F.posexplode("tokens").alias("pos", "token"))
     counts = rows.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
-    shared = stored(rows.join(counts, "token"), "shared")
+    release(spark)
+    places = [shared_path(spark, label) for label in ("shared", "open")]
+    shared = stored(rows.join(counts, "token"), "shared", places[0])
+    release(spark)
     few, crowd = shared.where(F.col("m") <= PAIRED), shared.where(F.col("m") > PAIRED)
     pairs = paired(few, few, ["token"], F.col("t1_u") < F.col("t1_v"))
     if crowd.isEmpty():
@@ -381,10 +385,11 @@ def similar_groups(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFr
         named = crowd.join(near, crowd["t1"] == near["node"], "left").select("token", "t1", "n", "pos", "m", F.coalesce("root", "t1").alias("root"))
         split = named.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
         open_ = named.join(split, "token").withColumn("g", F.ceil(F.col("m") / SIDE).cast("int")).withColumn("mine", F.expr("cast(pmod(xxhash64(t1), g) as int)"))
-        open_ = stored(open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1))), "open")
+        open_ = stored(open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1))), "open", places[1])
         left, right = (open_.withColumnsRenamed({"mine": x, "other": y}) for x, y in (("a", "b"), ("b", "a")))
         rest = paired(left, right, ["token", "a", "b"], (F.col("t1_u") < F.col("t1_v")) & (F.col("root_u") != F.col("root_v")))
         rooted = components(near.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(verified(rest, "rest")))
+    release(spark, *places)
     return prints.select(*KEY).join(rooted, prints["t1"] == rooted["node"], "left").select(*KEY, F.coalesce("root", "t1").alias("root"))
 
 
