@@ -92,10 +92,6 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
     return with_key(docs.select("text")).groupBy(*KEY).agg(F.first("text").alias("text"), F.count("*").alias("copies"))
 
 
-def taken(batch: pa.RecordBatch, rows: np.ndarray) -> list[pa.Array]:
-    return [batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows))]
-
-
 def repeated(docs: DataFrame, scan: Scan, width: int, resolve: Callable[[DataFrame], DataFrame], finish: Callable[[list[bytes], list[np.ndarray]], list[tuple]], schema: str, settled: bool) -> DataFrame:
     """For each row of docs (doc_id, text), what finish makes of its text and the starts [from, to), flat, of its repeated windows.
 
@@ -105,15 +101,12 @@ def repeated(docs: DataFrame, scan: Scan, width: int, resolve: Callable[[DataFra
     """
     texts = distinct_texts(docs)
 
-    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in arrow_blocks(batches, "text", SCANNED):
-            found = scan(text_column(batch))[0]
-            yield pa.RecordBatch.from_arrays([longs(found.h), batch.column(3).take(pa.array(found.row))], ["h", "n"])
-
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow_blocks(batches, "text", SCANNED):
             found = scan(text_column(batch))[0]
-            yield pa.RecordBatch.from_arrays([longs(found.h), *taken(batch, found.row)], ["h", *KEY])
+            packed = np.stack([batch.column(i).to_numpy()[found.row] for i in (3, 0, 1)], axis=1).astype(np.int64)
+            rest = pa.ListArray.from_arrays(pa.array(np.arange(len(packed) + 1, dtype=np.int32) * 3), pa.array(packed.ravel()))
+            yield pa.RecordBatch.from_arrays([longs(found.h), rest], ["h", "rest"])
 
     def marked(batch: pa.RecordBatch, column: int, found: Anchored, field: np.ndarray) -> np.ndarray:
         """The records whose field is in their text's list."""
@@ -167,8 +160,10 @@ def repeated(docs: DataFrame, scan: Scan, width: int, resolve: Callable[[DataFra
             own = batch.filter(batch.column(5).is_valid())
             yield pa.RecordBatch.from_arrays([own.column(i) for i in (0, 1, 3, 5, 2)], ["h", "g", "c", "w", "n"])
 
-    several = texts.mapInArrow(names, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
-    marks = texts.mapInArrow(places, "h long, t1 long, t2 long").join(several, "h", "left_semi").groupBy(*KEY).agg(F.collect_list("h").alias("marks"))
+    placed = texts.mapInArrow(places, "h long, rest array<long>").repartition("h")  # rest: copies, t1, t2
+    several = placed.groupBy("h").agg(F.sum(F.col("rest")[0]).alias("n")).where("n > 1").select("h")
+    marks = placed.join(several, "h", "left_semi").select("h", *(F.col("rest")[1 + i].alias(k) for i, k in enumerate(KEY)))
+    marks = marks.groupBy(*KEY).agg(F.collect_list("h").alias("marks"))
     scanned = texts.join(marks, KEY).select(*KEY, "text", "copies", "marks").mapInArrow(records, "h long, g long, rest array<long>")
     every = scanned.repartition("h", "g")  # rest: n, at, low, high, t1, t2
     kinds = every.groupBy("h", "g").agg(F.sum(F.col("rest")[0]).alias("n"), *(F.min_by(F.col("rest")[4 + i], F.struct(F.col("rest")[4], F.col("rest")[5])).alias(k) for i, k in enumerate(KEY)))
