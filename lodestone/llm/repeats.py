@@ -92,6 +92,14 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
     return with_key(docs.select("text")).groupBy(*KEY).agg(F.first("text").alias("text"), F.count("*").alias("copies"))
 
 
+def dealt_once(df: DataFrame, keys: list[str], places: list[int]) -> DataFrame:
+    """df (keys, rest) dealt by keys. Joins on the keys and on these places of rest ask that they aren't null, each below its own
+    copy of the shuffle; asking it here makes the copies equal, so that the engine runs one."""
+    for c in [*(F.col(k) for k in keys), *(F.col("rest")[i] for i in places)]:
+        df = df.where(c.isNotNull())
+    return df.repartition(*keys)
+
+
 def repeated(docs: DataFrame, scan: Scan, width: int, resolve: Callable[[DataFrame], DataFrame], finish: Callable[[list[bytes], list[np.ndarray]], list[tuple]], schema: str, settled: bool) -> DataFrame:
     """For each row of docs (doc_id, text), what finish makes of its text and the starts [from, to), flat, of its repeated windows.
 
@@ -160,15 +168,16 @@ def repeated(docs: DataFrame, scan: Scan, width: int, resolve: Callable[[DataFra
             own = batch.filter(batch.column(5).is_valid())
             yield pa.RecordBatch.from_arrays([own.column(i) for i in (0, 1, 3, 5, 2)], ["h", "g", "c", "w", "n"])
 
-    placed = texts.mapInArrow(places, "h long, rest array<long>").repartition("h")  # rest: copies, t1, t2
+    placed = dealt_once(texts.mapInArrow(places, "h long, rest array<long>"), ["h"], [1, 2])  # rest: copies, t1, t2
     several = placed.groupBy("h").agg(F.sum(F.col("rest")[0]).alias("n")).where("n > 1").select("h")
-    marks = placed.join(several, "h", "left_semi").select("h", *(F.col("rest")[1 + i].alias(k) for i, k in enumerate(KEY)))
+    # several has each h once; a semi join would be moved below the shuffle
+    marks = placed.join(several, "h").select("h", *(F.col("rest")[1 + i].alias(k) for i, k in enumerate(KEY)))
     marks = marks.groupBy(*KEY).agg(F.collect_list("h").alias("marks"))
     scanned = texts.join(marks, KEY).select(*KEY, "text", "copies", "marks").mapInArrow(records, "h long, g long, rest array<long>")
-    every = scanned.repartition("h", "g")  # rest: n, at, low, high, t1, t2
-    kinds = every.groupBy("h", "g").agg(F.sum(F.col("rest")[0]).alias("n"), *(F.min_by(F.col("rest")[4 + i], F.struct(F.col("rest")[4], F.col("rest")[5])).alias(k) for i, k in enumerate(KEY)))
-    rivals = kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.max(F.col("n") == 1).alias("single"))
-    kinds = kinds.join(rivals, "h").where("kinds > 1 or n > 1").withColumn("dense", F.col("kinds") > DENSE)
+    every = dealt_once(scanned, ["h", "g"], [4, 5])  # rest: n, at, low, high, t1, t2
+    counted = every.groupBy("h", "g").agg(F.sum(F.col("rest")[0]).alias("n"), *(F.min_by(F.col("rest")[4 + i], F.struct(F.col("rest")[4], F.col("rest")[5])).alias(k) for i, k in enumerate(KEY)))
+    rivals = counted.groupBy("h").agg(F.count("*").alias("kinds"), F.max(F.col("n") == 1).alias("single"))
+    kinds = counted.join(rivals, "h").where("kinds > 1 or n > 1").withColumn("dense", F.col("kinds") > DENSE)
     open_ = kinds.where("kinds > 1 and single") if settled else kinds
     asked = texts.join(open_.groupBy(*KEY).agg(F.collect_list(F.struct("g", "n", "dense")).alias("own")), KEY).select(*KEY, "text", "copies", "own")
     # an anchor's records meet in one task, the windows of dense ones are dealt by record
@@ -178,7 +187,7 @@ def repeated(docs: DataFrame, scan: Scan, width: int, resolve: Callable[[DataFra
     dense = by_name.join(twice, ["h", "c", "w"], "left_semi").groupBy("h", "g").agg(F.flatten(F.sort_array(F.collect_list(F.array(F.col("c").cast("int"), (F.col("c") + 1).cast("int"))))).alias("starts"))
     answers = dense.unionByName(resolve(dealt))
     if settled:
-        answers = answers.unionByName(kinds.where("n > 1").select("h", "g", F.lit(None).cast("array<int>").alias("starts")))
+        answers = answers.unionByName(counted.where("n > 1").select("h", "g", F.lit(None).cast("array<int>").alias("starts")))
     # a record repeated throughout has no list of starts, but its own bounds; its windows may be answered, too
     at, low, high = (F.col("rest")[i].cast("int") for i in (1, 2, 3))
     told = every.join(answers, ["h", "g"]).select(*(F.col("rest")[4 + i].alias(k) for i, k in enumerate(KEY)), F.coalesce(F.transform("starts", lambda s: s + at), F.array(low, high)).alias("starts"))
