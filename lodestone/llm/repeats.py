@@ -112,9 +112,16 @@ def repeated(docs: DataFrame, scan: Scan, width: int, resolve: Callable[[DataFra
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow_blocks(batches, "text", SCANNED):
             found = scan(text_column(batch))[0]
-            packed = np.stack([batch.column(i).to_numpy()[found.row] for i in (3, 0, 1)], axis=1).astype(np.int64)
+            # a text tells each anchor once, however often it has it
+            order = np.lexsort((found.h, found.row))
+            h, row = found.h[order], found.row[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+            first = np.flatnonzero(new)
+            times, row = np.diff(np.append(first, len(h))), row[first]
+            packed = np.stack([batch.column(3).to_numpy()[row] * times, *(batch.column(i).to_numpy()[row] for i in (0, 1))], axis=1).astype(np.int64)
             rest = pa.ListArray.from_arrays(pa.array(np.arange(len(packed) + 1, dtype=np.int32) * 3), pa.array(packed.ravel()))
-            yield pa.RecordBatch.from_arrays([longs(found.h), rest], ["h", "rest"])
+            yield pa.RecordBatch.from_arrays([longs(h[first]), rest], ["h", "rest"])
 
     def marked(batch: pa.RecordBatch, column: int, found: Anchored, field: np.ndarray) -> np.ndarray:
         """The records whose field is in their text's list."""
@@ -168,7 +175,7 @@ def repeated(docs: DataFrame, scan: Scan, width: int, resolve: Callable[[DataFra
             own = batch.filter(batch.column(5).is_valid())
             yield pa.RecordBatch.from_arrays([own.column(i) for i in (0, 1, 3, 5, 2)], ["h", "g", "c", "w", "n"])
 
-    placed = dealt_once(texts.mapInArrow(places, "h long, rest array<long>"), ["h"], [1, 2])  # rest: copies, t1, t2
+    placed = dealt_once(texts.mapInArrow(places, "h long, rest array<long>"), ["h"], [1, 2])  # rest: times, t1, t2
     several = placed.groupBy("h").agg(F.sum(F.col("rest")[0]).alias("n")).where("n > 1").select("h")
     # several has each h once; a semi join would be moved below the shuffle
     marks = placed.join(several, "h").select("h", *(F.col("rest")[1 + i].alias(k) for i, k in enumerate(KEY)))
