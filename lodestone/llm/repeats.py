@@ -82,6 +82,14 @@ def longs(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
 
 
+def grouped(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which rows of equal keys stand together, and where in it each group begins."""
+    order = np.lexsort(keys)
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([k[order[1:]] != k[order[:-1]] for k in keys])
+    return order, np.flatnonzero(new)
+
+
 def with_key(docs: DataFrame) -> DataFrame:
     """docs with text never null and its 128-bit hash in t1, t2."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -113,15 +121,12 @@ def repeated(docs: DataFrame, scan: Scan, width: int, resolve: Callable[[DataFra
         for batch in arrow_blocks(batches, "text", SCANNED):
             found = scan(text_column(batch))[0]
             # a text tells each anchor once, however often it has it
-            order = np.lexsort((found.h, found.row))
-            h, row = found.h[order], found.row[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-            first = np.flatnonzero(new)
-            times, row = np.diff(np.append(first, len(h))), row[first]
+            order, first = grouped(found.h, found.row)
+            times = np.diff(np.append(first, len(order)))
+            h, row = found.h[order[first]], found.row[order[first]]
             packed = np.stack([batch.column(3).to_numpy()[row] * times, *(batch.column(i).to_numpy()[row] for i in (0, 1))], axis=1).astype(np.int64)
             rest = pa.ListArray.from_arrays(pa.array(np.arange(len(packed) + 1, dtype=np.int32) * 3), pa.array(packed.ravel()))
-            yield pa.RecordBatch.from_arrays([longs(h[first]), rest], ["h", "rest"])
+            yield pa.RecordBatch.from_arrays([longs(h), rest], ["h", "rest"])
 
     def marked(batch: pa.RecordBatch, column: int, found: Anchored, field: np.ndarray) -> np.ndarray:
         """The records whose field is in their text's list."""
@@ -133,13 +138,19 @@ def repeated(docs: DataFrame, scan: Scan, width: int, resolve: Callable[[DataFra
         for batch in arrow_blocks(batches, "text", SCANNED):
             found = scan(text_column(batch))[0]
             keep = marked(batch, 4, found, found.h)
-            row = found.row[keep]
-            base = found.offsets[row]
-            n = batch.column(3).to_numpy()[row]
-            key = [batch.column(i).to_numpy()[row] for i in (0, 1)]
-            packed = np.stack([n, *(x[keep] - base for x in (found.at, found.low, found.high)), *key], axis=1).astype(np.int64)
-            rest = pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1, dtype=np.int32) * 6), pa.array(packed.ravel()))
-            yield pa.RecordBatch.from_arrays([longs(found.h[keep]), longs(found.g[keep]), rest], ["h", "g", "rest"])
+            # a text tells equal records once, with the places of all
+            order, first = grouped(found.g[keep], found.h[keep], found.row[keep])
+            keep = keep[order]
+            times = np.diff(np.append(first, len(keep)))
+            one = keep[first]
+            row = found.row[one]
+            n, t1, t2 = (batch.column(i).to_numpy()[row] for i in (3, 0, 1))
+            ends = np.cumsum(times + 5)
+            rest = np.empty(int(ends[-1]) if len(ends) else 0, np.int64)
+            rest[(ends - times - 5)[:, None] + np.arange(5)] = np.stack([n * times, found.at[one] - found.low[one], found.high[one] - found.low[one], t1, t2], axis=1)
+            rest[np.arange(len(keep)) + 5 * np.repeat(np.arange(1, len(one) + 1), times)] = found.at[keep] - found.offsets[found.row[keep]]
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(rest))
+            yield pa.RecordBatch.from_arrays([longs(found.h[one]), longs(found.g[one]), lists], ["h", "g", "rest"])
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Anchored, Callable[[int, int], bytes], np.ndarray, np.ndarray, np.ndarray]]:
         """The records that stand for their (h, g), with their counts."""
@@ -181,8 +192,8 @@ def repeated(docs: DataFrame, scan: Scan, width: int, resolve: Callable[[DataFra
     marks = placed.join(several, "h").select("h", *(F.col("rest")[1 + i].alias(k) for i, k in enumerate(KEY)))
     marks = marks.groupBy(*KEY).agg(F.collect_list("h").alias("marks"))
     scanned = texts.join(marks, KEY).select(*KEY, "text", "copies", "marks").mapInArrow(records, "h long, g long, rest array<long>")
-    every = dealt_once(scanned, ["h", "g"], [4, 5])  # rest: n, at, low, high, t1, t2
-    counted = every.groupBy("h", "g").agg(F.sum(F.col("rest")[0]).alias("n"), *(F.min_by(F.col("rest")[4 + i], F.struct(F.col("rest")[4], F.col("rest")[5])).alias(k) for i, k in enumerate(KEY)))
+    every = dealt_once(scanned, ["h", "g"], [3, 4])  # rest: n, windows before the anchor, windows, t1, t2, anchors' places
+    counted = every.groupBy("h", "g").agg(F.sum(F.col("rest")[0]).alias("n"), *(F.min_by(F.col("rest")[3 + i], F.struct(F.col("rest")[3], F.col("rest")[4])).alias(k) for i, k in enumerate(KEY)))
     rivals = counted.groupBy("h").agg(F.count("*").alias("kinds"), F.max(F.col("n") == 1).alias("single"))
     kinds = counted.join(rivals, "h").where("kinds > 1 or n > 1").withColumn("dense", F.col("kinds") > DENSE)
     open_ = kinds.where("kinds > 1 and single") if settled else kinds
@@ -196,8 +207,10 @@ def repeated(docs: DataFrame, scan: Scan, width: int, resolve: Callable[[DataFra
     if settled:
         answers = answers.unionByName(counted.where("n > 1").select("h", "g", F.lit(None).cast("array<int>").alias("starts")))
     # a record repeated throughout has no list of starts, but its own bounds; its windows may be answered, too
-    at, low, high = (F.col("rest")[i].cast("int") for i in (1, 2, 3))
-    told = every.join(answers, ["h", "g"]).select(*(F.col("rest")[4 + i].alias(k) for i, k in enumerate(KEY)), F.coalesce(F.transform("starts", lambda s: s + at), F.array(low, high)).alias("starts"))
+    ats, before, count = F.transform(F.slice("rest", 6, F.size("rest")), lambda a: a.cast("int")), F.col("rest")[1].cast("int"), F.col("rest")[2].cast("int")
+    open_starts = F.flatten(F.transform(ats, lambda a: F.transform("starts", lambda s: s + a)))
+    whole = F.flatten(F.transform(ats, lambda a: F.array(a - before, a - before + count)))
+    told = every.join(answers, ["h", "g"]).select(*(F.col("rest")[3 + i].alias(k) for i, k in enumerate(KEY)), F.coalesce(open_starts, whole).alias("starts"))
     told = told.groupBy(*KEY).agg(F.flatten(F.collect_list("starts")).alias("found"))
 
     def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
