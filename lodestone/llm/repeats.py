@@ -10,9 +10,10 @@ is handled once.
 3. The operator's own method finds which windows of these records are repeated.
 4. The answers go back to every record, to its text, and to every row that holds the text.
 
-Equal texts are one text. Texts and records are scanned as often as they are shuffled: columns that only some readers
-of a shuffle need are packed, so that the engine sees one shuffle and reuses it. Two records are taken for one if anchor and content have equal 64-bit names; of 10^13 records two
-different ones meet so with a chance far below a hundredth. Texts are shuffled once, by a 128-bit hash, and every step reads that exchange again.
+Equal texts are one text. A text tells each anchor and each record once, however often it has it. Texts and records are
+scanned as often as they are shuffled: columns that only some readers of a shuffle need are packed, so that the engine
+sees one shuffle and reuses it. Two records are taken for one if anchor and content have equal 64-bit names; of 10^13
+records two different ones meet so with a chance far below a hundredth. Texts are shuffled once, by a 128-bit hash, and every step reads that exchange again.
 """
 
 from __future__ import annotations
@@ -194,7 +195,8 @@ def repeated(docs: DataFrame, scan: Scan, width: int, resolve: Callable[[DataFra
     scanned = texts.join(marks, KEY).select(*KEY, "text", "copies", "marks").mapInArrow(records, "h long, g long, rest array<long>")
     every = dealt_once(scanned, ["h", "g"], [3, 4])  # rest: n, windows before the anchor, windows, t1, t2, anchors' places
     counted = every.groupBy("h", "g").agg(F.sum(F.col("rest")[0]).alias("n"), *(F.min_by(F.col("rest")[3 + i], F.struct(F.col("rest")[3], F.col("rest")[4])).alias(k) for i, k in enumerate(KEY)))
-    rivals = counted.groupBy("h").agg(F.count("*").alias("kinds"), F.max(F.col("n") == 1).alias("single"))
+    # counted by n, so that this reader, too, needs all columns of the shuffle
+    rivals = counted.groupBy("h").agg(F.count(F.when(F.col("n") > 0, 1)).alias("kinds"), F.max(F.col("n") == 1).alias("single"))
     kinds = counted.join(rivals, "h").where("kinds > 1 or n > 1").withColumn("dense", F.col("kinds") > DENSE)
     open_ = kinds.where("kinds > 1 and single") if settled else kinds
     asked = texts.join(open_.groupBy(*KEY).agg(F.collect_list(F.struct("g", "n", "dense")).alias("own")), KEY).select(*KEY, "text", "copies", "own")

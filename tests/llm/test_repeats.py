@@ -3,6 +3,7 @@ import hashlib
 import numpy as np
 import pytest
 
+from lodestone.llm.recompression import recompression_dedup
 from lodestone.llm.suffix_dedup import columnwise, suffix_dedup
 
 
@@ -113,7 +114,6 @@ def test_symbols_in_reach_recur_in_equal_windows():
 @pytest.mark.parametrize("dense", [4096, 1])
 def test_recompression_matches_brute_force(spark, monkeypatch, dense):
     import lodestone.llm.repeats as repeats
-    from lodestone.llm.recompression import recompression_dedup
 
     monkeypatch.setattr(repeats, "DENSE", dense)
 
@@ -146,3 +146,30 @@ def test_windows_of_equal_names_are_told_apart_by_their_words(monkeypatch, names
     want = sorted(x for own in seen.values() if len(own) > 1 for x in own)
     record, place = recompression.repeated_windows(h, off, pa.array([r.encode() for r in records], pa.binary()), width)
     assert sorted(zip(record.tolist(), place.tolist())) == want
+
+
+@pytest.mark.parametrize("apply, brute, width", [(suffix_dedup, lambda t: brute_bytes([x.encode() for x in t], 200), 200), (recompression_dedup, lambda t: brute_words(t, 35), 35)])
+def test_a_record_many_times_in_a_text(spark, apply, brute, width):
+    """A passage often in one text and nowhere else, one shared by many texts, and texts of one period."""
+    rng = np.random.default_rng(3)
+    make = lambda n: " ".join(f"w{i}" for i in rng.integers(0, 500, n))
+    own, shared = make(90), make(90)
+    texts = [" ".join([own, make(20)] * 7), *(" ".join([make(15), shared, make(15)] * int(rng.integers(1, 4))) for _ in range(20)), "la " * 900, "la " * 100, make(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = sorted(tuple(r) for r in apply(docs, width).collect())
+    assert got == [(i, *x) for i, x in enumerate(brute(texts))]
+
+
+@pytest.mark.parametrize("apply", [suffix_dedup, recompression_dedup])
+def test_anchors_and_records_are_shuffled_once(spark, apply):
+    docs = spark.createDataFrame([(i, f"{i % 3} " * 300) for i in range(9)], "doc_id long, text string")
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = apply(docs)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    for scan in ("places", "records", "picked"):
+        assert plan.count(f"MapInArrow {scan}(") == 1, scan
