@@ -46,3 +46,25 @@ OP8_SQL = """
 SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n_bytes, sha256(text) AS text_sha256, TRUE AS listed
 FROM documents
 """
+
+#: Every document meets every order: it is removed at the first step whose filter it fails.
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, part, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS x FROM d),
+firsts AS (SELECT t, min(doc_id) AS first FROM d GROUP BY t),
+fails AS (SELECT r, part, map {
+  'A': len(x) < 100, 'B': 100 * len(list_distinct(x)) < 80 * len(x), 'C': 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t),
+  'D': regexp_matches(t, '[#$%&*|]'), 'E': coalesce(doc_id > first, FALSE)} AS f,
+  EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = w.doc_id AND quality = 1) AS good, EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = w.doc_id AND toxic = 1) AS toxic
+  FROM w JOIN firsts USING (t)),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+orders AS (SELECT a.c || b.c || g.c || h.c || e.c AS filter_order FROM letters a, letters b, letters g, letters h, letters e WHERE len(list_distinct([a.c, b.c, g.c, h.c, e.c])) = 5),
+places AS (SELECT filter_order, unnest(range(1, 6)) AS step FROM orders),
+gone AS (SELECT part, good, toxic, f, filter_order, coalesce(list_min([i FOR i IN range(1, 6) IF f[substr(filter_order, i, 1)]]), 6) AS gone_at FROM fails, orders),
+steps AS (SELECT part, filter_order, step, substr(filter_order, step, 1) AS c,
+  count(*) FILTER (gone_at > step) AS kept, count(*) FILTER (gone_at = step) AS removed, count(*) FILTER (f[substr(filter_order, step, 1)] AND gone_at < step) AS redundant,
+  count(*) FILTER (f[substr(filter_order, step, 1)] AND len([i FOR i IN range(1, 6) IF f[substr(filter_order, i, 1)]]) = 1) AS unique_fails,
+  count(*) FILTER (gone_at = step AND good) AS good_lost, count(*) FILTER (gone_at = step AND toxic) AS toxic_lost
+  FROM gone JOIN places USING (filter_order) GROUP BY part, filter_order, step)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, c) AS BIGINT) AS shapley FROM steps
+"""

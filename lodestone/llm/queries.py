@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm.common import table
-from lodestone.llm.oracles import OP2_SQL, OP4_SQL, OP6_SQL, OP8_SQL
+from lodestone.llm.oracles import OP2_SQL, OP4_SQL, OP6_SQL, OP8_SQL, OP11_SQL
 
 
 def tokenizer(name: str) -> str:
@@ -76,6 +76,12 @@ def op10_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.filter_audit import filter_audit
+
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -83,8 +89,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_simhash_gph, op4_recompression_dedup, op5_piece_lattice, op6_fm_decontaminate, op7_pii_tagger, op8_tiered_shards, op9_telephony_audio, op10_language_crf, pipeline)}
+    return {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_simhash_gph, op4_recompression_dedup, op5_piece_lattice, op6_fm_decontaminate, op7_pii_tagger, op8_tiered_shards, op9_telephony_audio, op10_language_crf, op11_filter_audit, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_suffix_dedup": OP2_SQL, "op4_recompression_dedup": OP4_SQL, "op6_fm_decontaminate": OP6_SQL, "op8_tiered_shards": OP8_SQL}
+    return {"op2_suffix_dedup": OP2_SQL, "op4_recompression_dedup": OP4_SQL, "op6_fm_decontaminate": OP6_SQL, "op8_tiered_shards": OP8_SQL, "op11_filter_audit": OP11_SQL}
