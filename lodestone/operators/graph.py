@@ -13,6 +13,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.ranking import top_n
 from lodestone.operators.tables import last_wins
 
 HOP = ("entity_1", "relation", "entity_2", "triplet_id", "answer_chunk_id", "source_sentence")
@@ -47,9 +48,8 @@ def degrees(edge: DataFrame) -> DataFrame:
 
 def roots(edge: DataFrame, node: DataFrame, count: int = 1) -> DataFrame:
     """The count nodes of each graph with most out-edges, the earlier of equals."""
-    own = Window.partitionBy("graph_id").orderBy(F.desc("out_degree"), "node_seq")
-    ranked = degrees(edge).join(node, ["graph_id", "node"]).withColumn("rank", F.row_number().over(own))
-    return ranked.where(F.col("rank") <= count).select("graph_id", "node", "out_degree", "rank")
+    placed = degrees(edge).join(node, ["graph_id", "node"])
+    return top_n(placed, ["graph_id"], [F.desc("out_degree"), F.col("node_seq")], F.col("node"), count).select("graph_id", "node", "out_degree", "rank")
 
 
 def with_hub(edge: DataFrame, node: DataFrame, hub: str, label: str, merged: str) -> DataFrame:

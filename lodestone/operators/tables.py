@@ -8,8 +8,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import order_key
-
 
 def last_wins(df: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
     """One row a key, the one with the largest seq. Aggregated before the shuffle."""
@@ -91,20 +89,6 @@ def preceding_lines(df: DataFrame, keys: Sequence[str], order: str, text: str, u
     return lines.withColumn("context", context).drop("_line")
 
 
-def hash_sample(df: DataFrame, keys: Sequence[str], key: Column, count: int, seed: int = 42) -> DataFrame:
-    """count rows of each keys group in a seeded portable order."""
-    own = Window.partitionBy(*keys).orderBy(order_key(key, seed))
-    return df.withColumn("_n", F.row_number().over(own)).where(F.col("_n") <= count).drop("_n")
-
-
-def accepted_first(df: DataFrame, keys: Sequence[str], key: Column, accepted: Column, target: int, seed: int = 42) -> DataFrame:
-    """Accepted rows in shuffled order until target of them, with shuffled, their place in that order."""
-    own = Window.partitionBy(*keys).orderBy(order_key(key, seed))
-    so_far = own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = df.withColumn("_ok", accepted).withColumn("shuffled", F.row_number().over(own) - 1).withColumn("_n", F.sum(F.col("_ok").cast("int")).over(so_far))
-    return out.where(F.col("_ok") & (F.col("_n") <= target)).drop("_ok", "_n")
-
-
 def anti_existing(df: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows that are not done yet."""
     return df.join(done.select(*keys).distinct(), list(keys), "left_anti")

@@ -309,7 +309,7 @@ def stream_eval(spark: SparkSession, sf: str) -> DataFrame:
     """The metrics of responses that came as a stream are those of the whole."""
     import uuid
 
-    from lodestone.plans.views import shared_folder
+    from lodestone.sources.folders import shared_folder
     from lodestone.streaming.evaluate import evaluate_stream, metrics_so_far, read_responses
 
     root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"

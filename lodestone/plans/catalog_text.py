@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as t
+from lodestone.operators import ranking
 from lodestone.operators import tables as ops
 from lodestone.plans.views import chunks, qa, table
 
@@ -283,13 +284,13 @@ def locate_sentence(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha1('42|' || doc_id)) AS n FROM documents) SELECT doc_id, lang FROM r WHERE n <= 30""")
 def hash_sample(spark: SparkSession, sf: str) -> DataFrame:
-    return ops.hash_sample(table(spark, sf, "documents").select("doc_id", "lang"), ["lang"], F.col("doc_id"), 30)
+    return ranking.hash_sample(table(spark, sf, "documents").select("doc_id", "lang"), ["lang"], F.col("doc_id"), 30)
 
 
 @query("""WITH r AS (SELECT doc_id, lang, row_number() OVER w - 1 AS shuffled, n_chars > 1000 AS ok, sum(CAST(n_chars > 1000 AS INT)) OVER (PARTITION BY lang ORDER BY sha1('42|' || doc_id) ROWS UNBOUNDED PRECEDING) AS so_far FROM documents WINDOW w AS (PARTITION BY lang ORDER BY sha1('42|' || doc_id)))
 SELECT doc_id, lang || '_' || lpad(CAST(shuffled AS VARCHAR), CAST(greatest(6, length(CAST(shuffled AS VARCHAR))) AS INTEGER), '0') AS id FROM r WHERE ok AND so_far <= 20""")
 def hash_shuffle_topn(spark: SparkSession, sf: str) -> DataFrame:
-    rows = ops.accepted_first(table(spark, sf, "documents"), ["lang"], F.col("doc_id"), F.col("n_chars") > 1000, 20)
+    rows = ranking.accepted_first(table(spark, sf, "documents"), ["lang"], F.col("doc_id"), F.col("n_chars") > 1000, 20)
     return rows.select("doc_id", F.concat_ws("_", "lang", t.padded_number(F.col("shuffled"))).alias("id"))
 
 

@@ -94,14 +94,3 @@ def details(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     work = items(spark, sf_dir)
     return response_details(work, responses(work))
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one where none is set."""
-    import tempfile
-
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="lodestone-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
