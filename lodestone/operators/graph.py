@@ -110,10 +110,14 @@ def stars(valid: DataFrame, most: int = 4) -> DataFrame:
 
 
 def inverted_stars(valid: DataFrame) -> DataFrame:
-    """Pairs of hops into one node, in edge order. The pairs are the result: a node of n heads has n(n-1)/2."""
+    """Pairs of hops into one node, in edge order. The pairs are the result: a node of n heads has n(n-1)/2; ``sampling.sampled_pairs`` draws from them unlisted."""
     a = valid.select("graph_id", "v", F.struct("u_seq", "edge_seq").alias("first"), F.col("hop").alias("hop_a"))
     b = valid.select("graph_id", "v", F.struct("u_seq", "edge_seq").alias("second"), F.col("hop").alias("hop_b"))
-    pairs = a.join(b, ["graph_id", "v"]).where("first < second")
+    return pair_paths(a.join(b, ["graph_id", "v"]).where("first < second"))
+
+
+def pair_paths(pairs: DataFrame) -> DataFrame:
+    """The paths of pairs (graph_id, hop_a, hop_b)."""
     return _paths(pairs, "inverted_star_shaped", [F.col("hop_a"), F.col("hop_b")]).dropDuplicates(["graph_id", "path_sha1"])
 
 

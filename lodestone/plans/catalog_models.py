@@ -9,6 +9,7 @@ from lodestone.functions import text as t
 from lodestone.operators import backends
 from lodestone.operators import graph as g
 from lodestone.plans import standins
+from lodestone.plans.catalog_graph import _ARMS, _CHAIN2, _CHAIN3, _STARS, EDGES, _edges
 from lodestone.plans.catalog_text import QA_SQL
 from lodestone.plans.views import qa
 
@@ -36,3 +37,36 @@ def quality_early_stop(spark: SparkSession, sf: str) -> DataFrame:
     grade = lambda rows: backends.graded(rows, standins.grader)
     kept = accepted_until(qa(spark, sf).select("record_id", "question", "answer"), F.col("record_id"), grade, g.gate(F.col("scores")), 20, least=50)
     return kept.select("record_id", t.build_id(F.lit("conversations"), t.padded_number(F.col("place"))).alias("id"), *(F.col("scores")[d].alias(d) for d in backends.MULTI_HOP))
+
+
+_MIXED = "CAST('0x' || substr(sha1('42|{r}|' || {x}), 1, 8) AS BIGINT) & mask"
+_DRAWN = f"""space AS (SELECT CAST(sum(pairs) AS BIGINT) AS total FROM tails), sized AS (SELECT total, CAST((SELECT min(h) FROM range(1, 32) t(h) WHERE 4 ** h >= total) AS BIGINT) AS half FROM space),
+f0 AS (SELECT total, half, (1 << half) - 1 AS mask, i, i >> half AS l, i & ((1 << half) - 1) AS r FROM sized, range(0, 1 << (2 * half)) t(i)),
+f1 AS (SELECT * REPLACE (r AS l, xor(l, {_MIXED.format(r=0, x='r')}) AS r) FROM f0), f2 AS (SELECT * REPLACE (r AS l, xor(l, {_MIXED.format(r=1, x='r')}) AS r) FROM f1),
+f3 AS (SELECT * REPLACE (r AS l, xor(l, {_MIXED.format(r=2, x='r')}) AS r) FROM f2), f4 AS (SELECT * REPLACE (r AS l, xor(l, {_MIXED.format(r=3, x='r')}) AS r) FROM f3),
+drawn AS (SELECT (l << half) + r AS number FROM f4 WHERE (l << half) + r < total ORDER BY i LIMIT 300)"""
+
+
+@query(f"""WITH {EDGES}, tails AS (SELECT v, count(*) * (count(*) - 1) // 2 AS pairs FROM valid GROUP BY 1 HAVING count(*) > 1),
+spans AS (SELECT v, sum(pairs) OVER (ORDER BY sha1('42|g|' || v)) - pairs AS low, pairs FROM tails),
+hops AS (SELECT *, row_number() OVER (PARTITION BY v ORDER BY sha1('42|' || u)) - 1 AS n FROM valid), {_DRAWN},
+hits AS (SELECT v, CAST(number - low AS BIGINT) AS q FROM drawn JOIN spans ON number >= low AND number < low + pairs),
+pairs AS (SELECT h.v, a.tid AS x, b.tid AS y, (a.u_seq, a.edge_seq) < (b.u_seq, b.edge_seq) AS before FROM hits h JOIN hops a ON a.v = h.v JOIN hops b ON b.v = h.v AND a.n < b.n AND b.n * (b.n - 1) // 2 + a.n = q)
+SELECT 'inverted_star_shaped' AS pattern, ids, sha1(ids) AS path_sha1 FROM (SELECT CASE WHEN before THEN x || ',' || y ELSE y || ',' || x END AS ids FROM pairs)""")
+def inverted_star_sample(spark: SparkSession, sf: str) -> DataFrame:
+    """300 of the pairs, drawn by number."""
+    from lodestone.operators.sampling import sampled_pairs
+
+    paths = sampled_pairs(_edges(spark, sf)[0], 300)
+    return paths.select("pattern", F.array_join(F.transform("path", lambda h: h["triplet_id"]), ",").alias("ids"), "path_sha1")
+
+
+@query(f"""WITH {EDGES}, {_ARMS}, paths AS (SELECT 'chained_multi_hop' AS pattern, ids FROM ({_CHAIN2} UNION ALL {_CHAIN3}) UNION ALL SELECT 'star_shaped', ids FROM ({_STARS}))
+SELECT pattern, ids FROM paths QUALIFY row_number() OVER (PARTITION BY pattern ORDER BY sha1('42|' || sha1(ids))) <= 200""")
+def pattern_samples(spark: SparkSession, sf: str) -> DataFrame:
+    """At most 200 chains and stars in a seeded order."""
+    from lodestone.operators.sampling import sampled_paths
+
+    valid = _edges(spark, sf)[0]
+    paths = sampled_paths(g.chains(valid).unionByName(g.stars(valid)), 200)
+    return paths.select("pattern", F.array_join(F.transform("path", lambda h: h["triplet_id"]), ",").alias("ids"))

@@ -33,13 +33,25 @@ def test_top_k_matches_numpy(spark, metric, block):
     v = rng.standard_normal((60, 8))
     v[7] = v[3]
     df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
-    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in retrieval.top_k(df.where("vec_id < 7"), df, 4, metric, block=block).collect()}
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in retrieval.top_k(df.where("vec_id < 7"), df, 4, metric, block=block, row_block=25).collect()}
     score = v @ v.T if metric == "dot" else -((v[:, None] - v[None]) ** 2).sum(axis=2) if metric == "l2" else (v @ v.T) / np.outer(np.linalg.norm(v, axis=1), np.linalg.norm(v, axis=1))
     for q in range(7):
         order = sorted((i for i in range(60) if i != q), key=lambda i: (-round(score[q, i], 6), i))[:4]
         assert [got[q, k] for k in range(1, 5)] == order
 
 
+def test_top_k_keeps_large_ids_and_needs_no_driver(spark, monkeypatch):
+    base = 9007199254740992
+    rows = [(base + k, [float(k % 3), 1.0]) for k in range(40)] + [(None, [1.0, 1.0]), (5, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    with monkeypatch.context() as m:
+        m.setattr(type(df), "collect", None)
+        found = retrieval.top_k(df.where(f"vec_id <= {base + 1} and vec_id > 5"), df, 3, row_block=7)
+    found = found.toPandas()
+    assert {q: sorted(g["vec_id"].tolist()) for q, g in found.groupby("query_id")} == {base: [base + 1, base + 2, base + 3], base + 1: [base + 2, base + 5, base + 8]}
+    assert len(retrieval.top_k(df.where("vec_id < 0"), df, 3).toPandas()) == 0
+
+
 def test_candidates_first_accepted_else_first_best(spark):
     rows = [("a", 0, "x", 0.5), ("a", 1, "y", 0.9), ("a", 2, "z", 0.95), ("b", 0, "x", 0.7), ("b", 1, "y", 0.8), ("b", 2, "z", 0.8), ("c", 0, None, 1.0)]
     df = spark.createDataFrame(rows, "k string, attempt int, candidate string, similarity double")
