@@ -1,11 +1,15 @@
-"""Relation names made canonical: leader clustering in the order of arrival."""
+"""Relation names made canonical by leader clustering in the order of arrival; sentences found in their chunks."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def leaders(vectors: np.ndarray, above: float = 0.9) -> np.ndarray:
@@ -43,14 +47,76 @@ def canonical(relations: DataFrame, above: float = 0.9) -> DataFrame:
     return distinct.groupBy("scope").applyInPandas(fold, f"scope {relations.schema['scope'].dataType.simpleString()}, relation {kind}, leader {kind}")
 
 
+#: Chunks of a document that one automaton run reads, sentences (and their characters) that one automaton holds.
+CHUNK_PACK, HELD, HELD_CHARS = 4096, 20_000, 1 << 22
+
+
+def first_holders(texts: list[str], sentences: list[str]) -> list[int | None]:
+    """For each sentence the place of the first text that holds it: one pass of an Aho-Corasick automaton over the texts."""
+    import ahocorasick
+
+    found: dict[str, int | None] = dict.fromkeys(sentences)
+    if "" in found and texts:
+        found[""] = 0
+    automaton = ahocorasick.Automaton()
+    for s in found:
+        if s:
+            automaton.add_word(s, s)
+    left = len(automaton)
+    if left:
+        automaton.make_automaton()
+        for i, text in enumerate(texts):
+            for _, s in automaton.iter(text):
+                if found[s] is None:
+                    found[s] = i
+                    left -= 1
+            if not left:
+                break
+    return [found[s] for s in sentences]
+
+
 def located(sentences: DataFrame, chunks: DataFrame) -> DataFrame:
-    """sentences (sentence_id, doc_id, sentence) with chunk_id, the document's first chunk (by pos) that holds the sentence.
+    """sentences (sentence_id, doc_id, sentence) with chunk_id, the document's first chunk (by pos, a whole number) that holds the sentence.
 
-    Both are normalised; the join is on the document, so a sentence meets its own document's chunks only.
+    Both are normalised. A document's chunks, in packs of CHUNK_PACK, and its sentences meet in one sorted stream of a task: the
+    pack is held, then automata of a bounded number of sentences each read it once, so the work grows with the length of the texts
+    and not with sentences times chunks. Sentences without a character but blanks, and those that no chunk holds, go.
     """
     from lodestone.functions.text import normalize_text
 
-    own = sentences.where(F.length(F.trim("sentence")) > 0).withColumn("_s", normalize_text(F.col("sentence")))
-    texts = chunks.select("doc_id", "chunk_id", "pos", normalize_text(F.col("text")).alias("_t"))
-    hits = own.join(texts, "doc_id").where(F.contains("_t", "_s"))
-    return hits.groupBy(*sentences.columns).agg(F.min_by("chunk_id", "pos").alias("chunk_id"))
+    names = sentences.columns
+    own = sentences.where(F.col("doc_id").isNotNull() & (F.length(F.trim("sentence")) > 0)).select(F.col("doc_id").alias("_doc"), F.struct(*names).alias("_row"), normalize_text(F.col("sentence")).alias("_text"))
+    texts = chunks.where("doc_id is not null and text is not null").select(F.col("doc_id").alias("_doc"), F.floor(F.coalesce("pos", F.lit(0)) / CHUNK_PACK).alias("_pack"), F.col("pos").cast("long").alias("_pos"), "chunk_id", normalize_text(F.col("text")).alias("_text"))
+    asked = own.join(texts.select("_doc", "_pack").distinct(), "_doc")  # a document of one pack has one row here
+    both = texts.withColumn("_side", F.lit(0)).unionByName(asked.withColumn("_side", F.lit(1)), allowMissingColumns=True)
+    dealt = both.repartition("_doc", "_pack").sortWithinPartitions("_doc", "_pack", "_side", "_pos").select("_doc", "_pack", "_side", "_pos", "chunk_id", "_text", "_row")
+    ids, row = chunks.schema["chunk_id"].dataType, dealt.schema["_row"].dataType
+    schema = T.StructType([T.StructField("_row", row), T.StructField("_pos", T.LongType()), T.StructField("chunk_id", ids)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds, key, held, open_, size = None, None, [], [], 0
+
+        def found() -> pa.RecordBatch:
+            at = first_holders([t for _, _, t in held], [t for t, _ in open_])
+            hits = [(r, *held[i][:2]) for (_, r), i in zip(open_, at) if i is not None]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*hits) if hits else ((), (), ()), kinds)], ["_row", "_pos", "chunk_id"])
+
+        for batch in batches:
+            kinds = kinds or [batch.schema.field(n).type for n in ("_row", "_pos", "chunk_id")]
+            for doc, pack, side, pos, chunk, text, r in zip(*(c.to_pylist() for c in batch.columns)):
+                if (doc, pack) != key or len(open_) >= HELD or size >= HELD_CHARS:
+                    if open_:
+                        yield found()
+                    open_, size = [], 0
+                    if (doc, pack) != key:
+                        key, held = (doc, pack), []
+                if side:
+                    open_.append((text, r))
+                    size += len(text)
+                else:
+                    held.append((pos, chunk, text))
+        if open_:
+            yield found()
+
+    hits = dealt.mapInArrow(run, schema)
+    return hits.groupBy("_row").agg(F.min_by("chunk_id", "_pos").alias("chunk_id")).select("_row.*", "chunk_id")

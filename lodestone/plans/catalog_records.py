@@ -32,7 +32,7 @@ _LOWERED = TRIMMED.format(x="lower({x})")
 
 @query(f"""WITH {CHUNKS_SQL},
 raw AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS idx, source, lang, text,
-CASE WHEN pos % 4 = 3 THEN '' WHEN pos % 5 = 4 THEN 'no chunk says this' ELSE substr(text, 1, 24) END AS sentence FROM chunks),
+CASE WHEN pos % 4 = 3 THEN '' WHEN pos % 5 = 4 THEN 'no chunk says this' ELSE split_part(text, '. ', 1) END AS sentence FROM chunks),
 held AS (SELECT doc_id, chunk_id, pos, {_LOWERED.format(x='text')} AS t FROM chunks),
 asked AS (SELECT *, {_LOWERED.format(x='sentence')} AS s FROM raw WHERE trim(sentence) <> ''),
 found AS (SELECT r.doc_id, idx, arg_min(chunk_id, h.pos) AS answer_chunk_id FROM asked r JOIN held h ON r.doc_id = h.doc_id AND contains(h.t, r.s) GROUP BY 1, 2)
@@ -40,7 +40,7 @@ SELECT r.doc_id, 'policy_' || r.doc_id || '_triplet_' || idx AS triplet_id, lowe
 CAST(length(text) AS VARCHAR) || ' signs' AS entity_2, answer_chunk_id, sentence AS source_sentence, CAST(idx AS BIGINT) AS seq FROM raw r JOIN found USING (doc_id, idx)""")
 def process_triplets(spark: SparkSession, sf: str) -> DataFrame:
     own = chunks(spark, sf)
-    sentence = F.when(F.col("pos") % 4 == 3, "").when(F.col("pos") % 5 == 4, "no chunk says this").otherwise(F.substring("text", 1, 24))
+    sentence = F.when(F.col("pos") % 4 == 3, "").when(F.col("pos") % 5 == 4, "no chunk says this").otherwise(F.substring_index("text", ". ", 1))
     meta = F.create_map(F.lit("domain"), F.lit("policy"), F.lit("file_name"), F.col("doc_id").cast("string"))
     raw = own.select("doc_id", F.col("pos").alias("seq"), rec.triplet_prefix("policy", meta).alias("prefix"), F.concat("source", F.lit(", Inc.")).alias("entity_1"), F.concat(F.lit("Written in "), F.upper("lang")).alias("relation"),
                      F.concat(F.length("text").cast("string"), F.lit("  Signs Co.")).alias("entity_2"), sentence.alias("source_sentence"), meta.alias("metadata"))

@@ -272,13 +272,19 @@ def slice_from_marker(spark: SparkSession, sf: str) -> DataFrame:
     return ops.from_marker(chunks(spark, sf), ["doc_id"], "pos", F.contains("text", F.lit("|"))).select("doc_id", "pos")
 
 
-@query(f"""WITH {CHUNKS_SQL}, s AS (SELECT doc_id, chunk_id AS sentence_id, substr(text, 5, 60) AS sentence FROM chunks WHERE trim(substr(text, 5, 60)) <> '')
-SELECT s.doc_id, sentence_id, arg_min(chunk_id, pos) AS chunk_id FROM s JOIN chunks c ON s.doc_id = c.doc_id AND contains({TRIMMED.format(x='lower(text)')}, {TRIMMED.format(x='lower(sentence)')}) GROUP BY ALL""")
+_SENTENCES = f"""{CHUNKS_SQL}, parts AS (SELECT doc_id, chunk_id, unnest(string_split(text, '. ')) AS sentence, unnest(range(1, len(string_split(text, '. ')) + 1)) AS n FROM chunks),
+s AS (SELECT doc_id, chunk_id || '_' || n AS sentence_id, sentence FROM parts WHERE trim(sentence) <> '')"""
+
+
+@query(f"""WITH {_SENTENCES}, low AS (SELECT doc_id, chunk_id, pos, {TRIMMED.format(x='lower(text)')} AS t FROM chunks), asked AS (SELECT *, {TRIMMED.format(x='lower(sentence)')} AS x FROM s)
+SELECT a.doc_id, sentence_id, arg_min(chunk_id, pos) AS chunk_id FROM asked a JOIN low c ON a.doc_id = c.doc_id AND contains(t, x) GROUP BY ALL""")
 def locate_sentence(spark: SparkSession, sf: str) -> DataFrame:
+    """Every sentence of every chunk: many stand in an earlier chunk, too."""
     from lodestone.operators.relations import located
 
     own = chunks(spark, sf)
-    every = own.select(F.col("chunk_id").alias("sentence_id"), "doc_id", F.substring("text", 5, 60).alias("sentence"))
+    parts = own.select("doc_id", "chunk_id", F.posexplode(F.split("text", "\\. ")).alias("n", "sentence"))
+    every = parts.select(F.concat_ws("_", "chunk_id", (F.col("n") + 1).cast("string")).alias("sentence_id"), "doc_id", "sentence")
     return located(every, own).select("doc_id", "sentence_id", "chunk_id")
 
 
