@@ -53,8 +53,8 @@ def roots(edge: DataFrame, node: DataFrame, count: int = 1) -> DataFrame:
 
 
 def with_hub(edge: DataFrame, node: DataFrame, hub: str, label: str, merged: str) -> DataFrame:
-    """All graphs as one, with an edge from the hub to each graph's root; later graphs' edges win."""
-    tops = roots(edge, node).where("rank = 1").select(F.lit(merged).alias("graph_id"), F.lit(hub).alias("u"), F.col("node").alias("v"), F.lit(label).alias("label"), F.lit(None).cast("string").alias("triplet_id"))
+    """The edges of all graphs as one, with an edge from each graph's root to the hub; later graphs' edges win. ``merging`` has attributes, too."""
+    tops = roots(edge, node).where("rank = 1").select(F.lit(merged).alias("graph_id"), F.col("node").alias("u"), F.lit(hub).alias("v"), F.lit(label).alias("label"), F.lit(None).cast("string").alias("triplet_id"))
     own = last_wins(edge.select("u", "v", "label", "triplet_id", F.struct("graph_id", "edge_seq").alias("seq")), ["u", "v"], "seq")
     return own.select(F.lit(merged).alias("graph_id"), "u", "v", "label", "triplet_id").unionByName(tops.distinct())
 

@@ -76,10 +76,10 @@ def root_node(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {EDGES}, top AS (SELECT d.node FROM deg d JOIN nodes n ON d.node = n.node ORDER BY out_degree DESC, node_seq LIMIT 1)
-SELECT u, v, label, triplet_id FROM edges UNION ALL SELECT 'hub', node, 'holds', NULL FROM top""")
+SELECT u, v, label, triplet_id FROM edges UNION ALL SELECT node, 'hub', 'held by', NULL FROM top""")
 def merge_with_hub(spark: SparkSession, sf: str) -> DataFrame:
     facts = triplets(spark, sf)
-    return g.with_hub(g.edges(facts), g.nodes(facts), "hub", "holds", "all").select("u", "v", "label", "triplet_id")
+    return g.with_hub(g.edges(facts), g.nodes(facts), "hub", "held by", "all").select("u", "v", "label", "triplet_id")
 
 
 @query(f"WITH {EDGES} SELECT 'single_hop' AS pattern, tid AS ids, sha1(tid) AS path_sha1 FROM valid JOIN deg ON v = node WHERE out_degree = 0 AND in_degree = 1")
@@ -327,12 +327,88 @@ def single_hop_by_graph(spark: SparkSession, sf: str) -> DataFrame:
     return leaves.groupBy("graph_id").agg(F.count("*").alias("n"))
 
 
-@query()
+_XML = "replace(replace({x}, '&', '&amp;'), '\"', '&quot;')"
+
+
+@query(f"""WITH {EDGES}, n AS (SELECT graph_id, node, node_seq, '{{"kind":"' || (node_seq // 2 // 100000000) || '"}}' AS metadata FROM nodes)
+SELECT graph_id, '<?xml version="1.0" encoding="utf-8"?>' || chr(10) || '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">' || chr(10) || '<key id="d0" for="node" attr.name="metadata" attr.type="string"/>' || chr(10)
+|| '<key id="d1" for="edge" attr.name="label" attr.type="string"/>' || chr(10) || '<key id="d2" for="edge" attr.name="triplet_id" attr.type="string"/>' || chr(10) || '<graph edgedefault="directed">' AS line FROM n GROUP BY 1
+UNION ALL SELECT graph_id, '</graph></graphml>' FROM n GROUP BY 1
+UNION ALL SELECT graph_id, '<node id="' || {_XML.format(x='node')} || '"><data key="d0">' || {_XML.format(x='metadata')} || '</data></node>' FROM n
+UNION ALL SELECT graph_id, '<edge source="' || {_XML.format(x='u')} || '" target="' || {_XML.format(x='v')} || '"><data key="d1">' || label || '</data><data key="d2">' || triplet_id || '</data></edge>' FROM edges""")
 def graphml_lines(spark: SparkSession, sf: str) -> DataFrame:
-    from lodestone.sources.tables import graphml
+    from lodestone.sources.graphml import graphml
 
     facts = triplets(spark, sf)
-    return graphml(g.nodes(facts), g.edges(facts))
+    return graphml(g.nodes(facts), g.edges(facts)).select("graph_id", "line")
+
+
+@query(f"""WITH {EDGES} SELECT 'node' AS what, node AS a, NULL AS b, '{{"kind":"' || (node_seq // 2 // 100000000) || '"}}' AS held FROM nodes
+UNION ALL SELECT 'edge', u, v, label || '/' || triplet_id FROM edges""")
+def graphml_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Written to files and read back."""
+    from lodestone.sources.folders import shared_path
+    from lodestone.sources.graphml import read_graphml, write_graphml
+
+    facts, path = triplets(spark, sf), shared_path(spark, "graphml")
+    write_graphml(g.nodes(facts), g.edges(facts), path)
+    node, edge = read_graphml(spark, path)
+    return node.select(F.lit("node").alias("what"), F.col("node").alias("a"), F.lit(None).cast("string").alias("b"), F.col("metadata").alias("held")).unionByName(
+        edge.select(F.lit("edge").alias("what"), F.col("u").alias("a"), F.col("v").alias("b"), F.concat_ws("/", "label", "triplet_id").alias("held"))
+    )
+
+
+# 23 companies share the suppliers; each has a graph of its own, and a sector by its number.
+_COMPANY = "CAST(regexp_extract(triplet_id, '_([0-9]+)$', 1) AS BIGINT) % 23"
+_SECTOR = "CASE WHEN k < 9 THEN 'Real Estate' WHEN k < 14 THEN 'Energy' WHEN k < 16 THEN '' WHEN k < 19 THEN 'Unknown' ELSE 'Tech' END"
+_MERGED = f"""{TRIPLETS}, facts AS (SELECT *, {_COMPANY} AS k FROM triplets),
+ends AS (SELECT k, entity_1 AS node, seq * 2 AS s, FALSE AS tail FROM facts UNION ALL SELECT k, entity_2, seq * 2 + 1, TRUE FROM facts),
+nodes AS (SELECT k, node, min(s) AS node_seq, arg_min(tail, s) AS tail FROM ends GROUP BY 1, 2),
+edges AS (SELECT k, entity_1 AS u, entity_2 AS v, arg_max(relation, seq) AS label, arg_max(triplet_id, seq) AS triplet_id, min(seq) AS edge_seq FROM facts GROUP BY 1, 2, 3)"""
+
+
+def _company_facts(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.regexp_extract("triplet_id", "_([0-9]+)$", 1).cast("long") % 23
+    return triplets(spark, sf).withColumn("graph_id", F.concat(F.lit("c"), k.cast("string"))).withColumn("metadata", F.create_map(F.lit("cik"), k.cast("string")))
+
+
+def _both(node: DataFrame, edge: DataFrame) -> DataFrame:
+    """Nodes and edges as rows with their attributes in one text."""
+    text = F.array_join(F.transform(F.map_entries("attributes"), lambda x: F.concat(x["key"], F.lit("="), x["value"])), ";").alias("held")
+    return node.select("graph_id", F.col("node").alias("a"), F.lit(None).cast("string").alias("b"), text).unionByName(edge.select("graph_id", F.col("u").alias("a"), F.col("v").alias("b"), text))
+
+
+_HELD = """'metadata={"cik":"' || {k} || '"}'"""
+
+
+@query(f"""WITH {_MERGED}, sectors AS (SELECT k, {_SECTOR} AS sector FROM (SELECT DISTINCT k FROM facts)),
+dealt AS (SELECT k, sector, (row_number() OVER (PARTITION BY sector ORDER BY k) - 1) // 4 + 1 AS batch, count(*) OVER (PARTITION BY sector) AS n FROM sectors WHERE sector <> 'Unknown'),
+named AS (SELECT k, 'finance_' || replace(sector, ' ', '_') || CASE WHEN n > 4 THEN '_batch_' || batch ELSE '' END AS graph_id FROM dealt)
+SELECT graph_id, node AS a, NULL AS b, CASE WHEN bool_or(tail) THEN 'answer_chunk_ids=;' ELSE '' END || {_HELD.replace('{k}', 'max(k)')} || CASE WHEN bool_or(tail) THEN ';source_sentences=' ELSE '' END AS held FROM nodes JOIN named USING (k) GROUP BY 1, 2
+UNION ALL SELECT graph_id, u, v, 'answer_chunk_ids=;label=' || arg_max(label, k) || ';' || {_HELD.replace('{k}', 'max(k)')} || ';source_sentences=;triplet_id=' || arg_max(triplet_id, k) FROM edges JOIN named USING (k) GROUP BY 1, 2, 3""")
+def sector_graphs(spark: SparkSession, sf: str) -> DataFrame:
+    """The companies' graphs merged by sector, four at a time."""
+    from lodestone.operators import merging as m
+
+    node, edge = m.attributed(_company_facts(spark, sf))
+    k = F.expr("cast(substr(graph_id, 2) as bigint)")
+    companies = node.select("graph_id").distinct().withColumn("k", k).select("graph_id", F.expr(_SECTOR).alias("sector"), F.col("k").alias("seq"))
+    return _both(*m.merged(node, edge, m.sector_groups(node, companies)))
+
+
+@query(f"""WITH {_MERGED}, deg AS (SELECT k, node, sum(o) AS n FROM (SELECT k, u AS node, 1 AS o FROM edges UNION ALL SELECT k, v, 0 FROM edges) GROUP BY 1, 2),
+tops AS (SELECT k, node FROM deg JOIN nodes USING (k, node) QUALIFY row_number() OVER (PARTITION BY k ORDER BY n DESC, node_seq) = 1)
+SELECT 'all' AS graph_id, node AS a, NULL AS b, CASE WHEN bool_or(tail) THEN 'answer_chunk_ids=;' ELSE '' END || {_HELD.replace('{k}', 'max(k)')} || CASE WHEN bool_or(tail) THEN ';source_sentences=' ELSE '' END AS held FROM nodes GROUP BY 2
+UNION ALL SELECT 'all', 'OECD Countries', NULL, 'type=general'
+UNION ALL SELECT DISTINCT 'all', node, 'OECD Countries', 'label=OECD member country;type=general_connection' FROM tops
+UNION ALL SELECT 'all', u, v, 'answer_chunk_ids=;label=' || arg_max(label, k) || ';' || {_HELD.replace('{k}', 'max(k)')} || ';source_sentences=;triplet_id=' || arg_max(triplet_id, k) FROM edges GROUP BY 2, 3""")
+def country_graph(spark: SparkSession, sf: str) -> DataFrame:
+    """All graphs as one, their roots tied to a center."""
+    from lodestone.operators import merging as m
+
+    node, edge = m.attributed(_company_facts(spark, sf))
+    groups = node.select("graph_id").distinct().select("graph_id", F.lit("all").alias("merged_id"), F.expr("cast(substr(graph_id, 2) as bigint)").alias("graph_seq"))
+    return _both(*m.with_center(node, edge, groups, "OECD Countries", "OECD member country"))
 
 
 @query("""SELECT time_bucket(INTERVAL '5 minutes', ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2""")
