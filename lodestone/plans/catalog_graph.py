@@ -148,12 +148,19 @@ def qa_validity(spark: SparkSession, sf: str) -> DataFrame:
     return qa(spark, sf).select("record_id", g.question_holds(F.col("question"), F.col("answer"), F.array(F.lit("the "), F.lit("zzz")), F.col("turn") % 2 == 0).alias("holds"))
 
 
-@query()
+@query("""WITH RECURSIVE v AS (SELECT CASE WHEN vec_id % 2 = 0 THEN 'large' ELSE 'label' || label END AS scope, 'r' || vec_id AS relation, vec_id, embedding AS x FROM embeddings),
+placed AS (SELECT scope, relation, list_transform(x, lambda e: CAST(e AS DOUBLE)) AS x, row_number() OVER (PARTITION BY scope ORDER BY vec_id) AS i FROM v),
+fold AS (SELECT scope, relation, relation AS leader, i, [{'name': relation, 'x': x}] AS held FROM placed WHERE i = 1
+UNION ALL SELECT scope, relation, CASE WHEN near > 0.3 THEN held[list_position(scores, near)].name ELSE relation END, i, CASE WHEN near > 0.3 THEN held ELSE list_append(held, {'name': relation, 'x': x}) END
+FROM (SELECT *, list_max(scores) AS near FROM (SELECT f.scope, p.relation, p.x, p.i, f.held, list_transform(f.held, lambda h: round(list_inner_product(h.x, p.x), 9)) AS scores FROM fold f JOIN placed p ON p.scope = f.scope AND p.i = f.i + 1)))
+SELECT scope, relation, leader FROM fold""")
 def relation_canonical(spark: SparkSession, sf: str) -> DataFrame:
+    """Names of eleven scopes, one of which has half of them, in rounds of 128."""
     from lodestone.operators.relations import canonical
 
-    rows = table(spark, sf, "embeddings").select(F.lit("g").alias("scope"), F.concat(F.lit("r"), "vec_id").alias("relation"), F.col("embedding").alias("vector"), F.col("vec_id").alias("seq"))
-    return canonical(rows, 0.9)
+    scope = F.when(F.col("vec_id") % 2 == 0, "large").otherwise(F.concat(F.lit("label"), "label"))
+    rows = table(spark, sf, "embeddings").select(scope.alias("scope"), F.concat(F.lit("r"), "vec_id").alias("relation"), F.col("embedding").alias("vector"), F.col("vec_id").alias("seq"))
+    return canonical(rows, 0.3, 128)
 
 
 def _score(kind: str) -> str:

@@ -92,6 +92,32 @@ def test_pivots_and_validity(spark):
     assert [r["h"] for r in df.select(g.question_holds(F.col("q"), F.col("a"), F.array(F.lit("b")), F.col("m")).alias("h")).collect()] == [False, True, False, True, False]
 
 
+def test_blocks_give_what_the_fold_gives(spark):
+    rng = np.random.default_rng(2)
+    x = np.round(rng.standard_normal((160, 4)), 1)
+    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    x[40:60] = x[3]
+    scope = ["big" if i < 110 else None if i < 130 else f"s{i % 7}" for i in range(160)]
+    rows = [(scope[i], f"r{i}", x[i].tolist(), 1000 - 3 * i) for i in range(160)] + [("big", "r5", [9.0] * 4, 5000)]
+    df = spark.createDataFrame(rows, "scope string, relation string, vector array<double>, seq long")
+    want = {}
+    for s in set(scope):
+        own = [i for i in reversed(range(160)) if scope[i] == s]
+        held = []  # one by one, in the order of seq
+        for i in own:
+            near = [(round(float(x[j] @ x[i]), 9), -n, j) for n, j in enumerate(held)]
+            best = max(near, default=(-9, 0, 0))
+            if best[0] > 0.7:
+                want[s, f"r{i}"] = f"r{best[2]}"
+            else:
+                held.append(i)
+                want[s, f"r{i}"] = f"r{i}"
+    for block in (16, 4096):
+        got = {(r["scope"], r["relation"]): r["leader"] for r in canonical(df, 0.7, block).collect()}
+        assert got == want and 20 < len(set(got.values())) < 140
+    assert canonical(df.limit(0)).count() == 0
+
+
 def test_relations_follow_their_leaders(spark):
     v = np.array([[1.0, 0.0], [0.9, 0.0], [0.95, 0.3], [0.0, 1.0]])
     assert leaders(v, 0.9).tolist() == [0, 1, 0, 3]  # exactly at the bound leads itself
