@@ -326,6 +326,23 @@ def stream_eval(spark: SparkSession, sf: str) -> DataFrame:
     return metrics_so_far(spark, work, f"{root}/out")
 
 
+@query(f"""WITH {RESPONSES}, m AS ({_OVERALL} UNION ALL {_QUERY} UNION ALL {_DOC} UNION ALL {_REAL} UNION ALL {_VARIANTS}) SELECT model, metric, value FROM m""")
+def stream_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """The metrics kept as state while responses come, probes last."""
+    import uuid
+
+    from lodestone.sources.folders import shared_folder
+    from lodestone.streaming.evaluate import metrics_tracked, read_responses, track_metrics
+
+    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    work = items(spark, sf)
+    late = F.contains("item_id", F.lit("/empty/"))
+    for k, part in enumerate((~late, late)):
+        responses(work).where(part).repartition(2).write.parquet(f"{root}/in{k}")
+        track_metrics(read_responses(spark, f"{root}/in*", 2), work, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return metrics_tracked(spark, f"{root}/out")
+
+
 @query(f"""WITH per AS (SELECT 'g' || n_regionkey AS graph_id, s_suppkey, 'reg ' || s_name AS leaf FROM {_HOME}) SELECT graph_id, count(*) AS n FROM per GROUP BY 1""")
 def single_hop_by_graph(spark: SparkSession, sf: str) -> DataFrame:
     facts = triplets(spark, sf, one_graph=False)

@@ -1,15 +1,21 @@
 """Evaluation of a stream of responses: an addition, for results that arrive while models still answer.
 
-The stream's checkpoint stands for saved progress: a stopped run goes on after the last whole batch.
+The stream's checkpoint stands for saved progress: a stopped run goes on after the last whole batch. ``track_metrics``
+keeps state by model and record, so a batch reads and changes only the state of its own rows, and writes what it changes
+in the metrics; ``metrics_tracked`` sums these few rows.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lodestone.operators.evaluation import response_details, robustness
+from lodestone.operators.evaluation import judged_items, response_details, robustness
 
 RESPONSE = "item_id string, model string, response string"
 
@@ -35,6 +41,58 @@ def metrics_so_far(spark: SparkSession, items: DataFrame, path: str) -> DataFram
     return robustness(response_details(items, held))
 
 
+CHANGES = "model string, metric string, n long, robust long"
+
+
+def changed_metrics(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    """What a model's new responses to a record change in its metrics.
+
+    The state is the record's items so far, as JSON: for each the metrics it counts for and whether it is robust without
+    and with the model knowing the answer. An item counts once, as it came first. A right probe that comes late turns
+    the items before it, so what they had counted is taken back.
+    """
+    held = json.loads(state.get[0]) if state.exists else {"knows": False, "items": {}}
+
+    def sums() -> dict[str, list[int]]:
+        out: dict[str, list[int]] = {}
+        for metrics, *robust in held["items"].values():
+            for m in metrics:
+                n = out.setdefault(m, [0, 0])
+                n[0] += 1
+                n[1] += robust[held["knows"]]
+        return out
+
+    before = sums()
+    for pdf in frames:
+        for item, metrics, plain, known, knows in zip(pdf["item_id"], pdf["metrics"], pdf["robust"], pdf["robust_known"], pdf["knows"], strict=True):
+            if item not in held["items"]:
+                held["items"][item] = [list(metrics), int(plain), int(known)]
+                held["knows"] = held["knows"] or bool(knows)
+    state.update((json.dumps(held),))
+    changed = [(key[0], m, n - before.get(m, (0, 0))[0], r - before.get(m, (0, 0))[1]) for m, (n, r) in sums().items()]
+    rows = [c for c in changed if c[2] or c[3]]
+    yield pd.DataFrame({"model": [c[0] for c in rows], "metric": [c[1] for c in rows], "n": [c[2] for c in rows], "robust": [c[3] for c in rows]})
+
+
+def track_metrics(responses: DataFrame, items: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Writes, batch by batch, the changes of the metrics below path; a batch that runs again replaces its own folder."""
+    judged = judged_items(items, responses)
+    changes = judged.groupBy("model", "record_id").applyInPandasWithState(changed_metrics, CHANGES, "held string", "update", "NoTimeout")
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.groupBy("model", "metric").agg(F.sum("n").alias("n"), F.sum("robust").alias("robust")).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return changes.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start()
+
+
+def metrics_tracked(spark: SparkSession, path: str) -> DataFrame:
+    """(model, metric, value) of all batches so far, from their changes; as ``evaluation.robustness`` gives it."""
+    sums = spark.read.schema(CHANGES + ", batch long").parquet(path).groupBy("model", "metric").agg(F.sum("n").alias("n"), F.sum("robust").alias("robust"))
+    always = F.explode(F.array(*map(F.lit, ("overall_robustness", "query_robustness", "doc_robustness")))).alias("metric")
+    every = sums.select("model").distinct().select("model", always).join(sums, ["model", "metric"], "full")
+    return every.select("model", "metric", F.round(F.coalesce(F.col("robust") / F.nullif("n", F.lit(0)), F.lit(0.0)), 6).alias("value"))
+
+
 def windowed_counts(events: DataFrame, length: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
     """Events by type in windows of their own time; later ones than the watermark are dropped."""
     rows = events.withWatermark("ts", late).groupBy(F.window("ts", length), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
