@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.functions.html import process_tables, remove_plain_tables, tree, unwrap_plain_spans, unwrap_spans
 from lodestone.functions.text import clean_text
@@ -96,10 +97,10 @@ def _part(item: str) -> str | None:
     return item.split("__")[0] if "__" in item else None
 
 
-def sections(text: str, items: list[str], whole: bool = True, ignored: int = 0) -> tuple[dict[str, str], list[int]]:
+def sections(text: str, items: list[str], whole: bool = True, ignored: int = 0, bare: bool = True) -> tuple[dict[str, str], list[int]]:
     """Each item's text and the ends of those found: the longest stretch to the next existing heading, at or after the last end.
 
-    whole: the last item and signatures run to the end of text.
+    whole: the last item and signatures run to the end of text. bare: blanks around a section go.
     """
     out: dict[str, str] = {}
     ends: list[int] = []
@@ -122,27 +123,65 @@ def sections(text: str, items: list[str], whole: bool = True, ignored: int = 0)
             ends.append(best[1] - 1)
         if whole and ((ends and not section) or item == "SIGNATURE" or (not ends and last)):
             section = _tail(text, item, ends[-1] if ends else 0)
-        out[item] = section.strip()
+        out[item] = section.strip() if bare else section
     return out, ends
 
 
+#: Part II that is longer than part I by more than this is cut anew; parts further apart than that have lost text between them.
+LONGER, APART = 5000, 200
+
+
+def mended_parts(text: str, parts: dict[str, str], ends: list[int]) -> dict[str, str]:
+    """The parts after two repairs, from the ends of those whose next heading was found (part II has none as a rule).
+
+    A missing part I is what stands before the first end less part II's length. If both ends are known and part II starts
+    more than APART behind the end of part I, part I reaches up to part II. Lengths are counted as they are, so results are the
+    benchmark's own also where an end is part I's.
+    """
+    first, second = parts["part_1"], parts["part_2"]
+    if ends and not first:
+        first = text[: ends[0] - len(second)]
+    elif len(ends) > 1 and ends[1] - len(second) - ends[0] > APART:
+        first = text[ends[0] - len(first) : ends[1] - len(second)]
+    return {"part_1": first, "part_2": second}
+
+
 def quarterly_parts(text: str) -> dict[str, str]:
-    """The two parts of a quarterly report, mended where part I is missing, ends early, or is only in the contents."""
-    start = lambda n, low=0: [m.start() for m in re.finditer(LINE + item_pattern(f"part_{n}") + AFTER, text, re.IGNORECASE) if m.start() >= low]
-    first, second = start(1), start(2)
-    if not second:
-        return {"part_1": text[first[0] :].strip() if first else "", "part_2": ""}
-    best: dict[str, str] = {}
-    for cut in second:
-        before = [s for s in first if s < cut]
-        # all text before part II is part I if that has no heading; the gap between them belongs to part I, too
-        parts = {"part_1": text[before[0] if before else 0 : cut], "part_2": text[cut:]}
-        best = best or parts
-        if len(parts["part_2"]) - len(parts["part_1"]) <= 5000:
-            return {k: v.strip() for k, v in parts.items()}
+    """The two parts of a quarterly report.
+
+    While part II is more than LONGER than part I, one more of the first headings is ignored and part I is taken anew from
+    what stands before part II. If that changes nothing any more, the first cut counts.
+    """
+
+    def cut(ignored: int, keep: bool) -> dict[str, str]:
+        found, ends = sections(text, ["part_1", "part_2"], ignored=ignored, bare=False)
+        return mended_parts(text, found if keep else found | {"part_1": ""}, ends)
+
+    surplus = lambda x: len(x["part_2"]) - len(x["part_1"])
+    first = best = cut(0, True)
+    ignored, last = 0, surplus(first)
+    while last > LONGER:
+        ignored += 1
+        best = cut(ignored, False)
+        if surplus(best) == last:
+            best = first
+            break
+        last = surplus(best)
     return {k: v.strip() for k, v in best.items()}
 
 
+def quarterly(filings: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, part_1, part_2) of quarterly reports given as plain text; a null text has empty parts."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [quarterly_parts("\n" + (x if isinstance(x, str) else "")) for x in pdf[text].tolist()]
+            yield pd.DataFrame({key: pdf[key], "part_1": [f["part_1"] for f in found], "part_2": [f["part_2"] for f in found]})
+
+    own = filings.select(key, text)
+    return own.mapInPandas(run, T.StructType([own.schema[key], T.StructField("part_1", T.StringType()), T.StructField("part_2", T.StringType())]))
+
+
 def extract(form: str, text: str, date: str | None = None, wanted: list[str] | None = None) -> dict[str, str]:
     """Item sections of a filing's plain text."""
     items = item_list(form, date, wanted)
@@ -203,4 +242,4 @@ def extracted(filings: DataFrame, clean: bool = True) -> DataFrame:
     return plain.mapInPandas(cut, "filename string, sections map<string,string>")
 
 
-__all__ = ["extract", "extracted", "item_list", "item_list_column", "item_pattern", "main_document", "plain_text", "quarterly_parts", "sections"]
+__all__ = ["extract", "extracted", "item_list", "item_list_column", "item_pattern", "main_document", "mended_parts", "plain_text", "quarterly", "quarterly_parts", "sections"]

@@ -437,6 +437,35 @@ def pdf_links(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", t.pdf_link(F.coalesce(html, F.regexp_replace("html", r"\.pdf", ""))).alias("link"))
 
 
+# Reports around each document's text: plain; with contents; without part I; part I in the contents only; two of each, the first longer.
+_FILED = """CASE doc_id % 5 WHEN 0 THEN 'PART I. Figures' || chr(10) || text || ' end.' || chr(10) || 'PART II. Other' || chr(10) || 'none'
+WHEN 1 THEN 'PART I. x' || chr(10) || 'PART II. y' || chr(10) || 'PART I. Figures ' || text || ' end.' || chr(10) || 'PART II. Other'
+WHEN 2 THEN text || ' end.' || chr(10) || 'Part II. Other' || chr(10) || 'none'
+WHEN 3 THEN 'PART I. Figures' || chr(10) || 'PART II. Other' || chr(10) || text || chr(10) || 'PART II. Other end.'
+ELSE 'PART I. Figures are long here' || chr(10) || 'PART II. Other' || chr(10) || text || chr(10) || 'PART I. a' || chr(10) || 'PART II. end.' END"""
+
+
+@query(f"""WITH filed AS (SELECT doc_id, doc_id % 5 AS v, coalesce(text, '') AS text FROM documents), whole AS (SELECT doc_id, v, text, {_FILED} AS x FROM filed),
+cut AS (SELECT *, CASE v WHEN 0 THEN 'PART II. Other' || chr(10) || 'none' WHEN 1 THEN 'PART II. Other' WHEN 2 THEN 'Part II. Other' || chr(10) || 'none'
+WHEN 3 THEN 'PART II. Other' || chr(10) || text || chr(10) || 'PART II. Other end.' ELSE 'PART II. Other' || chr(10) || text || chr(10) || 'PART I. a' || chr(10) || 'PART II. end.' END AS long FROM whole),
+parts AS (SELECT *, CASE WHEN v = 4 AND length(long) - 30 > 5000 THEN 'PART II. end.' ELSE long END AS part_2,
+CASE v WHEN 0 THEN 'PART I. Figures' || chr(10) || text || ' end.' WHEN 1 THEN 'PART I. Figures ' || text || ' end.' WHEN 2 THEN '' WHEN 3 THEN 'PART I. Figures' ELSE CASE WHEN length(long) - 30 > 5000 THEN regexp_replace(substr(x, 1, length(x) - 28), '\\s+$', '') ELSE 'PART I. Figures are long here' END END AS part_1 FROM cut)
+SELECT doc_id, CAST(length(part_1) AS INTEGER) AS n_1, sha1(part_1) AS h_1, CAST(length(part_2) AS INTEGER) AS n_2, sha1(part_2) AS h_2 FROM parts""")
+def quarterly_repairs(spark: SparkSession, sf: str) -> DataFrame:
+    from lodestone.operators.filings import quarterly
+
+    x, v, nl = F.coalesce("text", F.lit("")), F.col("doc_id") % 5, F.lit("\n")
+    filed = (
+        F.when(v == 0, F.concat(F.lit("PART I. Figures\n"), x, F.lit(" end.\nPART II. Other\nnone")))
+        .when(v == 1, F.concat(F.lit("PART I. x\nPART II. y\nPART I. Figures "), x, F.lit(" end.\nPART II. Other")))
+        .when(v == 2, F.concat(x, F.lit(" end.\nPart II. Other\nnone")))
+        .when(v == 3, F.concat(F.lit("PART I. Figures\nPART II. Other\n"), x, nl, F.lit("PART II. Other end.")))
+        .otherwise(F.concat(F.lit("PART I. Figures are long here\nPART II. Other\n"), x, nl, F.lit("PART I. a\nPART II. end.")))
+    )
+    parts = quarterly(table(spark, sf, "documents").select("doc_id", filed.alias("content")), "doc_id", "content")
+    return parts.select("doc_id", F.length("part_1").alias("n_1"), F.sha1("part_1").alias("h_1"), F.length("part_2").alias("n_2"), F.sha1("part_2").alias("h_2"))
+
+
 @query()
 def item_sections(spark: SparkSession, sf: str) -> DataFrame:
     from lodestone.operators.filings import extracted
