@@ -304,6 +304,22 @@ def resume_anti(spark: SparkSession, sf: str) -> DataFrame:
     return anti_existing(every, done, ["item_id", "model"]).select("item_id", "model")
 
 
+@query(f"WITH {RESPONSES} SELECT item_id, model FROM replies WHERE NOT (k < 3 AND model = 'model_1')")
+def resume_progress(spark: SparkSession, sf: str) -> DataFrame:
+    """What is left of the work after two saved batches; progress of other models or another domain doesn't count."""
+    from lodestone.sources.folders import shared_path
+    from lodestone.sources.versioned import Progress
+
+    root = shared_path(spark, "progress")
+    every = responses(items(spark, sf)).select("item_id", "model", "response")
+    key = (F.length("item_id") * 3 + F.ascii(F.right("item_id", F.lit(1))) + F.ascii(F.substring("item_id", 7, 1)) * 5 + F.substring("model", 7, 1).cast("int") * 2) % 7
+    Progress(spark, root, ["model_1"], "finance").save(every)
+    now = Progress(spark, root, ["model_2", "model_1"], "finance")
+    for k in (0, 1):
+        now.save(now.left(every).where((F.col("model") == "model_1") & ((key == 0) if k == 0 else (key < 3))))
+    return now.left(every).select("item_id", "model")
+
+
 @query(f"""WITH {RESPONSES}, b AS (SELECT model, CAST(regexp_extract(record_id, '_(\\d+)_', 1) AS BIGINT) // 10 AS batch, count(*) AS n, CAST(count_if(robust) AS BIGINT) AS r FROM details GROUP BY 1, 2)
 SELECT model, batch, CAST(sum(n) OVER w AS BIGINT) AS seen, round(sum(r) OVER w / sum(n) OVER w, 6) AS value FROM b WINDOW w AS (PARTITION BY model ORDER BY batch ROWS UNBOUNDED PRECEDING)""")
 def interim_metrics(spark: SparkSession, sf: str) -> DataFrame:

@@ -43,6 +43,19 @@ def doc_index_upsert(spark: SparkSession, sf: str) -> DataFrame:
     return ops.upsert(index(docs.where("doc_id % 3 <> 1"), 0), index(docs.where("doc_id % 3 <> 0"), 1_000_000), ["document_id", "domain"], "seq")
 
 
+@query(SQL["doc_index_upsert"])
+def doc_index_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """The same through a table of versions: two commits, the second one an upsert."""
+    from lodestone.sources.folders import shared_path
+    from lodestone.sources.versioned import VersionedTable, save_document_index
+
+    docs, root = table(spark, sf, "documents"), shared_path(spark, "index")
+    index = lambda df, add: df.groupBy(F.col("source").alias("document_id"), F.col("lang").alias("domain")).agg((F.min("doc_id") + add).alias("seq"), F.count("*").alias("chunk_count"))
+    save_document_index(index(docs.where("doc_id % 3 <> 1"), 0), root)
+    save_document_index(index(docs.where("doc_id % 3 <> 0"), 1_000_000), root)
+    return VersionedTable(spark, root).read()
+
+
 @query("SELECT source, arg_min(lang, doc_id) AS lang, min(doc_id) AS doc_id FROM documents GROUP BY source")
 def first_seen_meta(spark: SparkSession, sf: str) -> DataFrame:
     return ops.first_wins(table(spark, sf, "documents").select("source", "lang", "doc_id").withColumn("seq", F.col("doc_id")), ["source"], "seq").drop("seq")

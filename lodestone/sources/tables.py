@@ -9,8 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.operators.tables import upsert
-
 _S, _L, _I = T.StringType(), T.LongType(), T.IntegerType()
 
 
@@ -84,11 +82,6 @@ def unique_chunks(chunks: DataFrame, keys: Sequence[str], pos: str = "pos") -> D
     return chunks.groupBy(*keys).agg(F.max_by(F.struct(*rest), pos).alias("_row"), F.min(pos).alias(pos)).select(*keys, pos, "_row.*")
 
 
-def save_document_index(old: DataFrame, new: DataFrame, path: str) -> None:
-    """Upserts (document_id, domain) entries with seq into the index at path, which must not be what old is read from."""
-    upsert(old, new, ["document_id", "domain"], "seq").write.mode("overwrite").parquet(path)
-
-
 def save_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     """Nodes and edges with nested attributes as JSON without the outer brackets."""
     for name, df in (("nodes", nodes), ("edges", edges)):
