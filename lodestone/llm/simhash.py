@@ -318,6 +318,9 @@ def common_shingles(keyed_docs: DataFrame, size: int) -> np.ndarray:
 def similar_groups(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:
     """(t1, t2, root) of each distinct text: texts linked by chains of at least that similarity share root.
 
+    A text's number is its own within the run, given when its prefix is written, and links are between numbers: two texts
+    of one 64-bit name stay two.
+
     Two such texts share a shingle of their prefixes (prefix_of), at places and with sizes that leave room for the
     overlap. All pairs that share one are verified on all shingles, but for those of crowded shingles that are in one
     group already: texts of a crowded shingle are first linked through the two whose prefixes are most shared (an
@@ -344,53 +347,53 @@ def similar_groups(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFr
 
     def paired(left: DataFrame, right: DataFrame, on: list[str], also=None) -> DataFrame:
         """Pairs (u, v) of rows with one token whose sizes and places leave room for the overlap."""
-        fields = ["t1", "n", "pos", "root"]
+        fields = ["id", "n", "pos", "root"]
         a = left.select(*on, *(F.col(c).alias(f"{c}_u") for c in fields if c in left.columns))
         b = right.select(*on, *(F.col(c).alias(f"{c}_v") for c in fields if c in right.columns))
         need = F.ceil(F.lit(least / (1 + least)) * (F.col("n_u") + F.col("n_v")) - 1e-6)
         room = F.least(F.col("n_u") - F.col("pos_u"), F.col("n_v") - F.col("pos_v"))
         fits = (F.least("n_u", "n_v") >= F.lit(least) * F.greatest("n_u", "n_v") - 1e-6) & (room >= need)
-        made = a.join(b, on).where(fits & (F.col("t1_u") != F.col("t1_v")))
+        made = a.join(b, on).where(fits & (F.col("id_u") != F.col("id_v")))
         made = made if also is None else made.where(also)
-        return made.select(F.least("t1_u", "t1_v").alias("u"), F.greatest("t1_u", "t1_v").alias("v"))
+        return made.select(F.least("id_u", "id_v").alias("u"), F.greatest("id_u", "id_v").alias("v"))
 
     def verified(pairs: DataFrame, label: str) -> DataFrame:
-        ids, path = prints.select("t1", "t2"), shared_path(spark, "pairs")
-        named = stored(pairs.distinct().join(ids.toDF("u", "u2"), "u").join(ids.toDF("v", "v2"), "v").select("u", "u2", "v", "v2"), "pairs", path)
+        ids, path = prints.select("id", *KEY), shared_path(spark, "pairs")
+        named = stored(pairs.distinct().join(ids.toDF("u", "u1", "u2"), "u").join(ids.toDF("v", "v1", "v2"), "v").select("u", "u1", "u2", "v", "v1", "v2"), "pairs", path)
         release(spark)
-        both = named.join(whole.toDF("u", "u2", "text_u"), ["u", "u2"]).join(whole.toDF("v", "v2", "text_v"), ["v", "v2"])
+        both = named.join(whole.toDF("u1", "u2", "text_u"), ["u1", "u2"]).join(whole.toDF("v1", "v2", "text_v"), ["v1", "v2"])
         links = stored(both.select("u", "v", "text_u", "text_v").mapInArrow(verify, "u long, v long"), label)
         release(spark, path)
         return links
 
     # prefixes are shuffled, not texts
     prints = texts.select("text", *KEY).mapInArrow(run, "t1 long, t2 long, n int, tokens array<long>")
-    prints = stored(prints.groupBy(*KEY).agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")), "prefixes")
-    rows = prints.select("t1", "n", F.size("tokens").alias("size"), F.posexplode("tokens").alias("pos", "token"))
+    prints = stored(prints.groupBy(*KEY).agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")).withColumn("id", F.monotonically_increasing_id()), "prefixes")
+    rows = prints.select("id", "n", F.size("tokens").alias("size"), F.posexplode("tokens").alias("pos", "token"))
     counts = rows.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
     release(spark)
     places = [shared_path(spark, label) for label in ("shared", "open")]
     shared = stored(rows.join(counts, "token"), "shared", places[0])
     release(spark)
     few, crowd = shared.where(F.col("m") <= PAIRED), shared.where(F.col("m") > PAIRED)
-    pairs = paired(few, few, ["token"], F.col("t1_u") < F.col("t1_v"))
+    pairs = paired(few, few, ["token"], F.col("id_u") < F.col("id_v"))
     if crowd.isEmpty():
         rooted = components(verified(pairs, "links"))
     else:
-        own = shared.groupBy("t1").agg((F.first("size") - F.count("*")).alias("alone"))
-        ranked = crowd.join(own, "t1")
-        best = [F.min(F.struct("alone", F.xxhash64(F.lit(k), "t1", "token").alias("tie"), "t1", "n", "pos")).alias(f"hub{k}") for k in range(2)]
-        hubs = ranked.groupBy("token").agg(*best).select("token", F.explode(F.array("hub0", "hub1")).alias("hub")).select("token", "hub.t1", "hub.n", "hub.pos").distinct()
+        own = shared.groupBy("id").agg((F.first("size") - F.count("*")).alias("alone"))
+        ranked = crowd.join(own, "id")
+        best = [F.min(F.struct("alone", F.xxhash64(F.lit(k), "id", "token").alias("tie"), "id", "n", "pos")).alias(f"hub{k}") for k in range(2)]
+        hubs = ranked.groupBy("token").agg(*best).select("token", F.explode(F.array("hub0", "hub1")).alias("hub")).select("token", "hub.id", "hub.n", "hub.pos").distinct()
         near = stored(components(verified(pairs.unionByName(paired(crowd, hubs, ["token"])), "links")), "near")
-        named = crowd.join(near, crowd["t1"] == near["node"], "left").select("token", "t1", "n", "pos", "m", F.coalesce("root", "t1").alias("root"))
+        named = crowd.join(near, crowd["id"] == near["node"], "left").select("token", "id", "n", "pos", "m", F.coalesce("root", "id").alias("root"))
         split = named.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
-        open_ = named.join(split, "token").withColumn("g", F.ceil(F.col("m") / SIDE).cast("int")).withColumn("mine", F.expr("cast(pmod(xxhash64(t1), g) as int)"))
+        open_ = named.join(split, "token").withColumn("g", F.ceil(F.col("m") / SIDE).cast("int")).withColumn("mine", F.expr("cast(pmod(xxhash64(id), g) as int)"))
         open_ = stored(open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1))), "open", places[1])
         left, right = (open_.withColumnsRenamed({"mine": x, "other": y}) for x, y in (("a", "b"), ("b", "a")))
-        rest = paired(left, right, ["token", "a", "b"], (F.col("t1_u") < F.col("t1_v")) & (F.col("root_u") != F.col("root_v")))
+        rest = paired(left, right, ["token", "a", "b"], (F.col("id_u") < F.col("id_v")) & (F.col("root_u") != F.col("root_v")))
         rooted = components(near.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(verified(rest, "rest")))
     release(spark, *places)
-    return prints.select(*KEY).join(rooted, prints["t1"] == rooted["node"], "left").select(*KEY, F.coalesce("root", "t1").alias("root"))
+    return prints.select("id", *KEY).join(rooted, F.col("id") == rooted["node"], "left").select(*KEY, F.coalesce("root", "id").alias("root"))
 
 
 def one_of_each(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:

@@ -88,6 +88,18 @@ def edited(words, rng, edits):
     return out
 
 
+def test_texts_of_one_name_stay_apart(spark, monkeypatch):
+    """The first half of the texts' names is one of two values."""
+    from lodestone.llm import repeats
+
+    plain = repeats.with_key
+    monkeypatch.setattr(repeats, "with_key", lambda docs: plain(docs).withColumn("t1", F.pmod("t1", F.lit(2))))
+    rng = random.Random(3)
+    base = [[f"{k}w{i}" for i in range(70)] for k in range(6)]
+    texts = [" ".join(edited(b, rng, n)) for b in base for n in (0, 1, 1, 0)] + ["", " ", "alone"]
+    assert found_groups(spark, texts) == groups(texts)
+
+
 def test_large_families_match_brute_force(spark):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
