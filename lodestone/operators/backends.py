@@ -8,7 +8,9 @@ result that is read twice should be written first.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -25,24 +27,54 @@ TRIPLETS = "struct<triplets:array<struct<entity_1:string,relation:string,entity_
 SINGLE_HOP, MULTI_HOP = ("clarity", "answerability"), ("clarity", "answerability", "reasoning")
 
 
-def asked(df: DataFrame, prompt: str, make: Callable[[], Backend], out: str = "reply", kind: T.DataType | None = None, batch: int = 100) -> DataFrame:
-    """df with the backend's reply to the column prompt; a null prompt isn't asked and has a null reply."""
+# The metadata that facts keep by domain.
+ECONOMICS = ("domain", "file_name", "file_type", "file_country", "file_year")
+POLICY = ("domain", "file_name", "file_type", "file_grantee", "file_state", "file_year")
+
+
+def replies_to(backend: Backend, prompts: list[str], retries: int, wait: float) -> list:
+    """The backend's replies; a call that fails is repeated, and so are the prompts without a reply, each at most retries times."""
+    out: list = [None] * len(prompts)
+    open_, left = list(range(len(prompts))), retries
+    while open_:
+        try:
+            found = list(backend([prompts[i] for i in open_]))
+        except Exception:
+            if not left:
+                raise
+            found = [None] * len(open_)
+        if len(found) != len(open_):
+            raise ValueError(f"{len(found)} replies to {len(open_)} prompts")
+        for i, reply in zip(open_, found, strict=True):
+            out[i] = reply
+        open_ = [i for i in open_ if out[i] is None]
+        if not left:
+            break
+        left -= 1
+        if open_ and wait:
+            time.sleep(wait)
+    return out
+
+
+def asked(df: DataFrame, prompt: str, make: Callable[[], Backend], out: str = "reply", kind: T.DataType | None = None, batch: int = 100, retries: int = 3, wait: float = 0.0, at_once: int = 1) -> DataFrame:
+    """df with the backend's reply to the column prompt; a null prompt isn't asked and has a null reply.
+
+    A task has at most at_once batches with the backend at one time. What fails is asked again, wait seconds later, up to
+    retries times: then a missing reply is null, and an error fails the task, which Spark repeats.
+    """
     kind = kind or T.StringType()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         backend = make()
-        for pdf in batches:
-            replies: list = [None] * len(pdf)
-            open_ = [i for i, p in enumerate(pdf[prompt].tolist()) if isinstance(p, str)]
-            texts = pdf[prompt].tolist()
-            for low in range(0, len(open_), batch):
-                own = open_[low : low + batch]
-                found = list(backend([texts[i] for i in own]))
-                if len(found) != len(own):
-                    raise ValueError(f"{len(found)} replies to {len(own)} prompts")
-                for i, reply in zip(own, found, strict=True):
-                    replies[i] = reply
-            yield pdf.assign(**{out: pd.Series(replies, index=pdf.index, dtype=object)})
+        with ThreadPoolExecutor(at_once) as pool:
+            for pdf in batches:
+                texts, replies = pdf[prompt].tolist(), [None] * len(pdf)
+                open_ = [i for i, p in enumerate(texts) if isinstance(p, str)]
+                parts = [open_[low : low + batch] for low in range(0, len(open_), batch)]
+                for own, found in zip(parts, pool.map(lambda own: replies_to(backend, [texts[i] for i in own], retries, wait), parts), strict=True):
+                    for i, reply in zip(own, found, strict=True):
+                        replies[i] = reply
+                yield pdf.assign(**{out: pd.Series(replies, index=pdf.index, dtype=object)})
 
     return df.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField(out, kind)]))
 
@@ -59,12 +91,12 @@ def similarity(df: DataFrame, query: str, other: str, make: Callable[[], Backend
     return both.withColumn(out, dot(F.col("_a"), F.col("_b"))).drop("_a", "_b")
 
 
-def raw_triplets(chunks: DataFrame, make: Callable[[], Backend], size: int = 5, target: int = 150) -> DataFrame:
+def raw_triplets(chunks: DataFrame, make: Callable[[], Backend], size: int = 5, target: int = 150, keys: Sequence[str] | None = None) -> DataFrame:
     """(doc_id, seq, entity_1, relation, entity_2, source_sentence, metadata) of chunks (doc_id, pos, chunk_id, text, metadata).
 
     A prompt holds size chunks and the first one's metadata, and asks for target / size facts. A document's groups
     count until it has target triplets, the group that crosses that stays whole. A document with a reply that can't
-    be read has none.
+    be read has none. keys: the metadata that facts keep, empty where the chunk doesn't have it (ECONOMICS, POLICY); None keeps all.
     """
     listed = chunks.withColumn("part", F.struct(F.concat(F.lit("Chunk ID: "), "chunk_id", F.lit("\n"), "text").alias("text"), F.to_json("metadata").alias("about")))
     groups = groups_of(listed, ["doc_id"], "pos", size, "part")
@@ -76,6 +108,8 @@ def raw_triplets(chunks: DataFrame, make: Callable[[], Backend], size: int = 5,
     own = Window.partitionBy("doc_id")
     read = read.withColumn("broken", F.max(F.col("found").isNull()).over(own)).withColumn("before", F.coalesce(F.sum(F.size("found")).over(own.orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     kept = read.where(~F.col("broken") & (F.col("before") < target))
+    if keys is not None:
+        kept = kept.withColumn("metadata", F.map_from_arrays(F.array(*map(F.lit, keys)), F.array(*(F.coalesce(F.col("metadata")[k], F.lit("")) for k in keys))))
     return kept.select("doc_id", (F.col("before")).alias("_b"), "metadata", F.posexplode("found").alias("_p", "t")).select("doc_id", (F.col("_b") + F.col("_p")).alias("seq"), "t.*", "metadata")
 
 
@@ -94,9 +128,10 @@ def graded(qa: DataFrame, make: Callable[[], Backend], dimensions: Sequence[str]
     return out.drop("_prompt", "_reply")
 
 
-def rewritten(qa: DataFrame, make: Callable[[], Backend], way: str, attempts: int = 5) -> DataFrame:
-    """qa (question) with attempts rows each: attempt and candidate, the question rewritten in that way."""
-    rows = qa.withColumn("attempt", F.explode(F.sequence(F.lit(1), F.lit(attempts)))).withColumn("_prompt", filled("rewrite", way=F.lit(way), question=F.col("question")))
+def rewritten(qa: DataFrame, make: Callable[[], Backend], way: str | Callable[[Column], Column], attempts: int = 3) -> DataFrame:
+    """qa (question) with attempts rows each: attempt and candidate, the question rewritten in that way, which may depend on the attempt."""
+    told = F.lit(way) if isinstance(way, str) else way(F.col("attempt"))
+    rows = qa.withColumn("attempt", F.explode(F.sequence(F.lit(1), F.lit(attempts)))).withColumn("_prompt", filled("rewrite", way=told, question=F.col("question")))
     return asked(rows, "_prompt", make, "candidate").drop("_prompt")
 
 

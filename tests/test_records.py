@@ -105,3 +105,44 @@ def test_backends(spark):
     sim = backends.similarity(spark.createDataFrame([("ab", "abc")], "a string, b string"), "a", "b", vec, "as query: ").first()
     assert sim["similarity"] == 12 * 3 + 1
     assert [r["question"] for r in backends.questions(qa.withColumn("prompt", F.col("question")).drop("question", "answer"), lambda: lambda t: ['{"question": "Q", "answer": "A"}' if x == "why" else "?" for x in t]).orderBy("id").collect()] == ["Q", None]
+
+
+def test_failed_prompts_are_asked_again(spark):
+    calls = []
+
+    def shaky(prompts):
+        calls.append(list(prompts))
+        if len(calls) == 1:
+            raise OSError("busy")
+        return [None if len(calls) == 2 and "b" in p or "never" in p else p.upper() for p in prompts]
+
+    assert backends.replies_to(shaky, ["a", "b", "never"], 3, 0.0) == ["A", "B", None]
+    assert calls == [["a", "b", "never"], ["a", "b", "never"], ["b", "never"], ["never"]]
+    with pytest.raises(OSError):
+        backends.replies_to(lambda _: (_ for _ in ()).throw(OSError("gone")), ["a"], 2, 0.0)
+    df = spark.createDataFrame([(i, f"p{i}") for i in range(40)], "id int, prompt string").coalesce(1)
+
+    def make():
+        import threading
+        import time
+
+        held, most = [], [0]
+
+        def reply(prompts):
+            held.append(threading.get_ident())
+            most[0] = max(most[0], len(held))
+            time.sleep(0.02)
+            held.pop()
+            return [str(most[0]) for _ in prompts]
+
+        return reply
+
+    assert max(int(r["reply"]) for r in backends.asked(df, "prompt", make, batch=4, at_once=3).collect()) <= 3
+    assert {r["reply"] for r in backends.asked(df, "prompt", make, batch=4).collect()} == {"1"}
+
+
+def test_facts_keep_the_metadata_of_their_domain(spark):
+    chunks = spark.createDataFrame([(1, 0, "c", "t", {"domain": "policy", "file_state": "x", "secret": "y"})], "doc_id int, pos int, chunk_id string, text string, metadata map<string,string>")
+    make = lambda: lambda prompts: [json.dumps({"triplets": [{"entity_1": "a", "relation": "r", "entity_2": "b", "source_sentence": "s"}]}) for _ in prompts]
+    assert backends.raw_triplets(chunks, make, keys=backends.POLICY).first()["metadata"] == {"domain": "policy", "file_name": "", "file_type": "", "file_grantee": "", "file_state": "x", "file_year": ""}
+    assert backends.raw_triplets(chunks, make).first()["metadata"]["secret"] == "y"
