@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import strip
+
 
 def last_wins(df: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
     """One row a key, the one with the largest seq. Aggregated before the shuffle."""
@@ -109,5 +111,29 @@ def rename_columns(df: DataFrame, names: dict[str, Sequence[str]]) -> DataFrame:
     return df.select(*out)
 
 
+# A company table's columns, and what the names of others for them hold, in the order in which they are tried.
+COMPANY_COLUMNS = ("Symbol", "Security", "GICS_Sector", "GICS_SubIndustry", "CIK")
+COMPANY_NAMES = {"Symbol": ("ticker", "symbol"), "Security": ("company", "security", "name"), "GICS_Sector": ("sector",), "GICS_SubIndustry": ("industry",), "CIK": ("cik",)}
+
+
+def company_table(df: DataFrame) -> DataFrame:
+    """COMPANY_COLUMNS of a table with these columns, or with such as their names tell: each column is for the first that fits, and of several for one the last counts.
+
+    Values are trimmed texts, numbers of a CIK have ten digits at least; without such a column it is empty. A missing other column is an error.
+    """
+    found = {c: c.replace("_", " ") for c in COMPANY_COLUMNS if c.replace("_", " ") in df.columns}
+    found |= {"GICS_SubIndustry": "GICS Sub-Industry"} if "GICS Sub-Industry" in df.columns else {}
+    if len(found) < len(COMPANY_COLUMNS):
+        kinds = {c: next((k for k, parts in COMPANY_NAMES.items() if any(p in c.lower() for p in parts)), None) for c in df.columns}
+        found = {k: c for c, k in kinds.items() if k}
+    missing = set(COMPANY_COLUMNS) - set(found) - {"CIK"}
+    if missing:
+        raise ValueError(f"no column for {sorted(missing)} among {df.columns}")
+    text = {k: strip(F.col(f"`{c}`").cast("string")) for k, c in found.items()}
+    cik = text.get("CIK", F.lit(""))
+    text["CIK"] = F.when(F.rlike(cik, F.lit(r"^[0-9]{1,9}$")), F.lpad(cik, 10, "0")).otherwise(cik)
+    return df.select(*(text[c].alias(c) for c in COMPANY_COLUMNS))
+
+
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)

@@ -123,9 +123,17 @@ def fill_if_missing(spark: SparkSession, sf: str) -> DataFrame:
 @query("""SELECT CAST(o_orderkey AS BIGINT) AS key, 'order' AS form, 'https://x/' || o_orderkey AS link FROM orders WHERE o_orderstatus IN ('F', 'P')
 UNION ALL SELECT l_orderkey, 'line', 'https://x/' || l_orderkey FROM lineitem WHERE l_returnflag IN ('R')""")
 def index_scan_union(spark: SparkSession, sf: str) -> DataFrame:
-    orders = table(spark, sf, "orders").where(F.col("o_orderstatus").isin("F", "P")).select(F.col("o_orderkey").alias("key"), F.lit("order").alias("form"))
-    lines = table(spark, sf, "lineitem").where(F.col("l_returnflag").isin("R")).select(F.col("l_orderkey").alias("key"), F.lit("line").alias("form"))
-    return ops.union_all([orders, lines]).withColumn("link", F.concat(F.lit("https://x/"), "key"))
+    """Index files of two sources, written with padded numbers and read by form."""
+    from lodestone.sources.folders import shared_path
+    from lodestone.sources.tables import FILING_INDEX, read_filing_index
+
+    root, found = shared_path(spark, "index"), []
+    for name, source, key, kind, forms in (("order", "orders", "o_orderkey", "o_orderstatus", ["F", "P"]), ("line", "lineitem", "l_orderkey", "l_returnflag", ["R"])):
+        own = {"CIK": F.lpad(F.col(key).cast("string"), 10, "0"), "Type": F.col(kind), "html_index": F.col(key).cast("string")}
+        table(spark, sf, source).select(*(own.get(c, F.lit(None).cast("string")).alias(c) for c in FILING_INDEX.names)).write.csv(f"{root}/{name}", sep="|")
+        read = read_filing_index(spark, [f"{root}/{name}"], forms, prefix="https://x/")
+        found.append(read.select(F.expr("try_cast(CIK as bigint)").alias("key"), F.lit(name).alias("form"), F.col("html_index").alias("link")))
+    return ops.union_all(found)
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 24 WHEN o_orderkey % 3 = 1 THEN 12 WHEN CAST(o_orderdate AS DATE) > DATE '2004-08-23' THEN 33 ELSE 13 END AS n_items,
@@ -166,11 +174,11 @@ def refusal_flag(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", t.is_refusal(text).alias("refusal"))
 
 
-_COLLAPSED = "regexp_replace(regexp_replace(x, '(( )*\\n( )*){2,}', '#NEWLINE', 'g'), '\\n', ' ', 'g')"
+# Paragraphs are what stands between blank lines; inside of them lines are joined by spaces.
+_COLLAPSED = "array_to_string(list_transform(string_split_regex(array_to_string(list_transform(string_split(x, chr(10)), lambda l: trim(l)), chr(10)), '\\n{2,}'), lambda p: replace(p, chr(10), ' ')), chr(10))"
 
 
-@query(f"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace({_COLLAPSED}, '(#NEWLINE)+', chr(10), 'g'), '^\\s+|\\s+$', '', 'g'), '[ ]{{2,}}', ' ', 'g') AS collapsed
-FROM (SELECT page_id, replace(html, '<br>', chr(10) || ' ' || chr(10)) AS x FROM pages)""")
+@query(f"""SELECT page_id, regexp_replace({_COLLAPSED}, ' +', ' ', 'g') AS collapsed FROM (SELECT page_id, regexp_replace(replace(html, '<br>', chr(10) || ' ' || chr(10)), '^\\s+|\\s+$', '', 'g') AS x FROM pages)""")
 def collapse_lines(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", t.collapse_lines(F.replace("html", F.lit("<br>"), F.lit("\n \n"))).alias("collapsed"))
 
@@ -186,7 +194,10 @@ def clean_chars(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", t.clean_punctuation(odd).alias("bare"))
 
 
-@query(r"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(<\s*/\s*(div|tr|p|li|)\s*>)', '\1' || chr(10) || chr(10), 'g'), '(<br\s*>|<br\s*/>)', '\1' || chr(10) || chr(10), 'g'), '(<\s*/\s*(th|td)\s*>)', ' \1 ', 'g'), '<[^>]*>', '', 'g') AS text FROM pages""")
+_BROKEN = r"regexp_replace(regexp_replace(html, '</?\s*br\s*/?>', chr(10) || chr(10), 'g'), '<\s*/\s*(div|tr|p|li)?\s*>', chr(10) || chr(10), 'g')"
+
+
+@query(rf"""SELECT page_id, regexp_replace(regexp_replace({_BROKEN}, '<\s*/\s*t[hd]\s*>', '  ', 'g'), '<[^>]*>', '', 'g') AS text FROM pages""")
 def strip_tags(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", t.strip_tags(F.col("html")).alias("text"))
 
@@ -195,7 +206,7 @@ def strip_tags(spark: SparkSession, sf: str) -> DataFrame:
 def strip_html_parser(spark: SparkSession, sf: str) -> DataFrame:
     from lodestone.functions.html import strip_html_udf
 
-    return table(spark, sf, "pages").select("page_id", F.length(strip_html_udf()("html")).alias("n_chars"))
+    return table(spark, sf, "pages").select("page_id", strip_html_udf()("html").alias("text"))
 
 
 @query(f"""WITH {CHUNKS_SQL} SELECT chunk_id, len({WORDS.format(x='text')}) <= 10 AND regexp_matches({TRIMMED.format(x='text')}, '^(ITEM\\s+\\d+[A-Z]?\\.|[A-Z][A-Za-z\\s]+$|\\d+\\.\\s+[A-Z][A-Za-z\\s]+$|[A-Z][A-Za-z\\s]+:[A-Za-z\\s]+$)') AS heading FROM chunks""")
@@ -407,7 +418,10 @@ def segmenter(spark: SparkSession, sf: str) -> DataFrame:
     return chunked(table(spark, sf, "documents"), "doc_id", "text", lambda x: [(p, table_marks(p)) for p in segments(x)])
 
 
-@query()
+@query(f"""WITH RECURSIVE {CHUNKS_SQL}, placed AS (SELECT doc_id, text, len({WORDS.format(x='text')}) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM chunks),
+walk AS (SELECT doc_id, i, text, n AS held, 0 AS chunk FROM placed WHERE i = 1
+UNION ALL SELECT p.doc_id, p.i, p.text, CASE WHEN held + n >= 600 THEN n ELSE held + n END, CASE WHEN held + n >= 600 THEN chunk + 1 ELSE chunk END FROM walk w JOIN placed p ON p.doc_id = w.doc_id AND p.i = w.i + 1)
+SELECT doc_id, CAST(chunk AS INTEGER) AS chunk_pos, string_agg(text, chr(10) ORDER BY i) AS chunk_text FROM walk GROUP BY doc_id, chunk""")
 def block_chunker(spark: SparkSession, sf: str) -> DataFrame:
     from lodestone.operators.chunking import greedy_blocks
 
@@ -479,6 +493,42 @@ def quarterly_repairs(spark: SparkSession, sf: str) -> DataFrame:
     return parts.select("doc_id", F.length("part_1").alias("n_1"), F.sha1("part_1").alias("h_1"), F.length("part_2").alias("n_2"), F.sha1("part_2").alias("h_2"))
 
 
+_SITE = "regexp_extract(url, '^[a-z]+://[^/?#]+', 0)"
+_PATH = "regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1)"
+
+
+@query(f"""SELECT page_id, CASE page_id % 4 WHEN 0 THEN {_SITE} || CASE WHEN contains({_PATH}, '/') THEN regexp_replace({_PATH}, '[^/]*$', '') ELSE '/' END || 'files/p' || page_id || '.pdf' WHEN 1 THEN {_SITE} || '/root/p.PDF' WHEN 2 THEN 'https://other.org/x.pdf' END AS link FROM pages""")
+def pdf_urls(spark: SparkSession, sf: str) -> DataFrame:
+    """Links on pages, relative ones joined to the page's address."""
+    k, plain = F.col("page_id") % 4, F.regexp_replace("html", r"(?i)\.pdf", "")
+    tag = F.when(k == 0, F.concat(F.lit("<a href='files/p"), F.col("page_id"), F.lit(".pdf'>x</a>"))).when(k == 1, F.lit('<a HREF="/root/p.PDF">y</a>')).when(k == 2, F.lit("<a href='https://other.org/x.pdf'>z</a>")).otherwise(F.lit("<a href='p.html'>"))
+    return table(spark, sf, "pages").select("page_id", t.joined_url(F.col("url"), t.pdf_link(F.concat(tag, plain))).alias("link"))
+
+
+@query("""SELECT 'S' || c_custkey AS "Symbol", c_name AS "Security", c_mktsegment AS "GICS_Sector", 'sub ' || c_nationkey AS "GICS_SubIndustry", CASE WHEN c_custkey % 7 = 0 THEN 'n/a ' || c_custkey ELSE lpad(CAST(c_custkey AS VARCHAR), CAST(greatest(10, length(CAST(c_custkey AS VARCHAR))) AS INTEGER), '0') END AS "CIK" FROM customer""")
+def company_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """A company table under other column names, with blanks around its values."""
+    from lodestone.operators.tables import company_table
+
+    key = F.col("c_custkey").cast("string")
+    odd = table(spark, sf, "customer").select(
+        F.concat(F.lit(" S"), key).alias("Ticker symbol"), F.concat("c_name", F.lit("  ")).alias("The company's name"), F.col("c_mktsegment").alias("GICS sector (2020)"),
+        F.concat(F.lit("sub "), "c_nationkey").alias("Industry"), F.col("c_acctbal").alias("Headquarters"), F.when(F.col("c_custkey") % 7 == 0, F.concat(F.lit("n/a "), key)).otherwise(F.concat(F.lit(" "), key)).alias("CIK number"))
+    return company_table(odd)
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS "CIK", 'Company é ' || o_custkey AS "Company", '10-K' AS "Type", 'edgar/' || o_orderkey || '.txt' AS complete_text_file_link, 'edgar/' || o_orderkey || '-index.html' AS html_index FROM orders""")
+def master_archives(spark: SparkSession, sf: str) -> DataFrame:
+    """Index archives, each of about a thousand lines behind eleven header lines, unpacked and parsed."""
+    from lodestone.sources.tables import archive_lines, parse_master_index, zipped_lines
+
+    line = F.concat_ws("|", F.col("o_orderkey"), F.concat(F.lit("Company é "), "o_custkey"), F.lit("10-K"), F.lit("2020-01-01"), F.concat(F.lit("edgar/"), "o_orderkey", F.lit(".txt")))
+    part = F.expr("o_orderkey div 4000")
+    archives = table(spark, sf, "orders").groupBy(part.alias("part")).agg(F.collect_list(line).alias("lines"))  # at most 4,000 lines
+    packed = archives.select(zipped_lines("master.idx", 11)("lines").alias("content"))
+    return parse_master_index(archive_lines(packed, "master.idx", 11)).select("CIK", "Company", "Type", "complete_text_file_link", "html_index")
+
+
 @query()
 def item_sections(spark: SparkSession, sf: str) -> DataFrame:
     from lodestone.operators.filings import extracted

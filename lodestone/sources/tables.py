@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import io
+import itertools
+import zipfile
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +40,41 @@ def read_filing_index(spark: SparkSession, paths: Sequence[str], forms: Sequence
     return df.where(F.expr("try_cast(CIK as bigint)").isin([int(c) for c in ciks])) if ciks else df
 
 
+def archive_lines(archives: DataFrame, name: str = "master.idx", header: int = 11) -> DataFrame:
+    """(value): the lines of the file name in zip archives (content), as Latin-1, without each file's first header lines.
+
+    archives: as Spark's binaryFile source reads them. A task holds one archive; one without the file has no lines.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for content in (x for b in batches for i in range(b.num_rows) for x in b.column(0).slice(i, 1).to_pylist() if x is not None):
+            with zipfile.ZipFile(io.BytesIO(content)) as z:
+                if name not in z.namelist():
+                    continue
+                with z.open(name) as f:
+                    lines = itertools.islice(io.TextIOWrapper(f, "latin-1", newline="\n"), header, None)
+                    while part := [x.strip() for x in itertools.islice(lines, 10_000)]:
+                        yield pa.RecordBatch.from_arrays([pa.array(part, pa.string())], ["value"])
+
+    return archives.select("content").mapInArrow(run, "value string")
+
+
+def zipped_lines(name: str, header: int):
+    """A function of a column of lists of lines: a zip archive with them in one file, behind header lines."""
+
+    @F.pandas_udf(T.BinaryType())
+    def run(lists: pd.Series) -> pd.Series:
+        out = []
+        for lines in lists:
+            held = io.BytesIO()
+            with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+                z.writestr(name, "".join(f"{x}\n" for x in [*(f"header {k}" for k in range(header)), *lines]).encode("latin-1", "replace"))
+            out.append(held.getvalue())
+        return pd.Series(out)
+
+    return run
+
+
 def parse_master_index(lines: DataFrame) -> DataFrame:
     """Rows of a master index given as lines (value): those with five fields and a numeric CIK, with the -index.html link."""
     part = F.split("value", r"\|")
