@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-import hashlib
-import random
-import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Keyboard rows, look-alike letters and words that stay.
 KEYBOARD = ("qwertyuiop", "asdfghjkl", "zxcvbnm")
@@ -29,61 +24,82 @@ def neighbours(letter: str) -> str:
     return ""
 
 
-def _seeded(*parts: object) -> random.Random:
-    return random.Random(hashlib.sha1("|".join(map(str, parts)).encode()).digest())
+#: Each letter's neighbours.
+NEAR = {c: neighbours(c) for row in KEYBOARD for c in row}
 
 
-def _edit(word: str, rng: random.Random) -> str:
-    places = [i for i, c in enumerate(word) if c.isalpha()]
-    i = rng.choice(places)
-    lower = word[i].lower()
-    ways = ["delete", "swap"] + ["keyboard"] * bool(neighbours(lower)) + ["homoglyph"] * (lower in HOMOGLYPHS)
-    way = rng.choice(ways)
-    if way == "delete":
-        return word[:i] + word[i + 1 :]
-    if way == "swap":
-        j = i + 1 if i + 1 < len(word) else i - 1
-        letters = list(word)
-        letters[i], letters[j] = letters[j], letters[i]
-        return "".join(letters)
-    return word[:i] + (rng.choice(neighbours(lower)) if way == "keyboard" else HOMOGLYPHS[lower]) + word[i + 1 :]
+def _hash(*parts: Column | str) -> Column:
+    """32 bits that stand for a seeded draw, the same wherever they are drawn."""
+    text = F.concat_ws("|", *(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    return F.conv(F.substring(F.sha1(text), 1, 8), 16, 10).cast("long")
 
 
-def perturb_words(text: str, change, share: float, rng: random.Random) -> str:
-    """text with a share of its words changed, at least one; stopwords and one-letter words stay, no word is changed twice."""
-    spans = [m.span() for m in re.finditer(r"\S+", text)]
-    able = [s for s in spans if len(text[slice(*s)]) > 1 and text[slice(*s)].lower().strip(".,;:?!") not in STOPWORDS and any(c.isalpha() for c in text[slice(*s)])]
-    chosen = sorted(rng.sample(able, min(len(able), max(1, round(share * len(spans)))))) if able else []
-    out, low = [], 0
-    for a, b in chosen:
-        out += [text[low:a], change(text[a:b], rng)]
-        low = b
-    return "".join([*out, text[low:]])
+def _letter(c: Column) -> Column:
+    return F.rlike(c, F.lit(r"\p{L}"))
 
 
-def character_level(seed: int = 42, share: float = 0.1):
-    """A pandas UDF of (key, text, attempt): keyboard slips, deletions, swaps and look-alikes."""
+def core(word: Column) -> Column:
+    """The word in lower case without marks at its ends."""
+    return F.lower(F.regexp_replace(word, r"^[.,;:?!]+|[.,;:?!]+$", ""))
 
-    @F.pandas_udf(T.StringType())
-    def run(key: pd.Series, text: pd.Series, attempt: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else perturb_words(t, _edit, share, _seeded(seed, "char", k, a)) for k, t, a in zip(key, text, attempt, strict=True)])
 
-    return run
+def _drawn(runs: Column, draw: Column | str, share: float) -> Column:
+    """The places of the words that change, a share of all, at least one: stopwords, one-letter words and words without letters stay."""
+    word = lambda w: F.rlike(w, F.lit(r"^\S"))
+    able = F.filter(F.transform(runs, lambda w, i: F.struct(_hash(draw, i).alias("h"), i.alias("i"), (word(w) & (F.length(w) > 1) & ~core(w).isin(sorted(STOPWORDS)) & _letter(w)).alias("ok"))), lambda x: x["ok"])
+    count = F.greatest(F.lit(1), F.floor(F.size(F.filter(runs, word)) * share + 0.5)).cast("int")
+    return F.transform(F.slice(F.array_sort(able), F.lit(1), count), lambda x: x["i"])
 
 
-def word_level(synonyms: dict[str, Sequence[str]], seed: int = 42, share: float = 0.1):
-    """A pandas UDF of (key, text, attempt): words replaced from a given table of near words."""
+def _within(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then of a value that is worked out once."""
+    return F.transform(F.array(value), then)[0]
 
-    def swap(word: str, rng: random.Random) -> str:
-        core = word.strip(".,;:?!")
-        found = synonyms.get(core.lower())
-        return word.replace(core, rng.choice(list(found)), 1) if found else word
 
-    @F.pandas_udf(T.StringType())
-    def run(key: pd.Series, text: pd.Series, attempt: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else perturb_words(t, swap, share, _seeded(seed, "word", k, a)) for k, t, a in zip(key, text, attempt, strict=True)])
+def _edited(w: Column, h: Column) -> Column:
+    """A word with one slip at one of its letters: the letter left out, changed with the next, hit beside it, or like it."""
+    near = F.map_from_arrays(F.lit(list(NEAR)), F.lit(list(NEAR.values())))
+    alike = F.map_from_arrays(F.lit(list(HOMOGLYPHS)), F.lit(list(HOMOGLYPHS.values())))
+    places = F.filter(F.sequence(F.lit(1), F.length(w)), lambda i: _letter(F.substr(w, i, F.lit(1))))
 
-    return run
+    def slip(x: Column) -> Column:
+        at, letter = x["at"], F.lower(F.substr(w, x["at"], F.lit(1)))
+        before, after = F.substr(w, F.lit(1), at - 1), F.substr(w, at + 1)
+        ways = F.concat(F.lit(["delete", "swap"]), F.when(F.map_contains_key(near, letter), F.lit(["keyboard"])).otherwise(F.lit([]).cast("array<string>")), F.when(F.map_contains_key(alike, letter), F.lit(["homoglyph"])).otherwise(F.lit([]).cast("array<string>")))
+        way, keys = F.get(ways, (F.floor(h / 64) % F.size(ways)).cast("int")), F.element_at(near, letter)
+        first = F.when(at < F.length(w), at).otherwise(at - 1)  # of the two letters that change places
+        swapped = F.concat(F.substr(w, F.lit(1), first - 1), F.substr(w, first + 1, F.lit(1)), F.substr(w, first, F.lit(1)), F.substr(w, first + 2))
+        hit = F.substr(keys, (F.floor(h / 4096) % F.length(keys)).cast("int") + 1, F.lit(1))
+        return F.when(way == "delete", F.concat(before, after)).when(way == "swap", swapped).when(way == "keyboard", F.concat(before, hit, after)).otherwise(F.concat(before, F.element_at(alike, letter), after))
+
+    return _within(F.struct(F.get(places, (h % F.size(places)).cast("int")).alias("at")), slip)
+
+
+RUNS = r"(\s+|\S+)"
+
+
+def character_level(key: Column, text: Column, attempt: Column | None = None, seed: int = 42, share: float = 0.1) -> Column:
+    """The text with slips in a share of its words, drawn by hashes of seed, key and attempt. Blanks stay as they are; a null text is null."""
+    draw = F.concat_ws("|", F.lit(f"{seed}|char"), key.cast("string"), (F.lit(0) if attempt is None else attempt).cast("string"))
+    whole = lambda x: F.array_join(F.transform(x["runs"], lambda w, i: F.when(F.array_contains(x["drawn"], i), _edited(w, _hash(x["draw"], i, "slip"))).otherwise(w)), "")
+    bound = lambda x: _within(F.struct(x["runs"].alias("runs"), x["draw"].alias("draw"), _drawn(x["runs"], x["draw"], share).alias("drawn")), whole)
+    return F.when(text.isNotNull(), _within(F.struct(F.regexp_extract_all(text, F.lit(RUNS), 1).alias("runs"), draw.alias("draw")), bound))
+
+
+def word_level(df: DataFrame, key: str, text: str, near: DataFrame, attempt: int = 0, seed: int = 42, share: float = 0.1, out: str = "perturbed") -> DataFrame:
+    """df with a share of the text's words replaced by near ones. near: word, options (a list); words that it doesn't have stay.
+
+    The drawn words are looked up by a join, so the table of near words may be of any size. key tells rows apart.
+    """
+    draw = F.concat_ws("|", F.lit(f"{seed}|word"), F.col(key).cast("string"), F.lit(attempt))
+    rows = df.withColumns({"_runs": F.regexp_extract_all(F.col(text), F.lit(RUNS), 1), "_draw": draw})
+    places = rows.select(key, "_draw", F.explode(_within(F.struct("_runs", "_draw"), lambda x: F.transform(_drawn(x["_runs"], x["_draw"], share), lambda i: F.struct(i.alias("i"), F.get(x["_runs"], i).alias("w"))))).alias("x"))
+    found = places.select(key, "_draw", "x.*").withColumn("_core", core(F.col("w"))).join(near.select(F.col("word").alias("_core"), "options"), "_core").where("size(options) > 0")
+    pick = F.get("options", (_hash(F.col("_draw"), F.col("i"), "near") % F.size("options")).cast("int"))
+    marks = F.concat(F.regexp_extract("w", r"^[.,;:?!]*", 0), pick, F.regexp_extract("w", r"[.,;:?!]*$", 0))
+    told = found.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("i", marks.alias("w")))).alias("_told"))  # a share of one text's words
+    changed = F.transform("_runs", lambda w, i: F.coalesce(F.try_element_at("_told", i), w))
+    return rows.join(told, key, "left").withColumn(out, F.when(F.col("_told").isNull(), F.col(text)).otherwise(F.array_join(changed, ""))).select(*df.columns, out)
 
 
 def best_candidates(candidates: DataFrame, keys: Sequence[str], accept: float | None = 0.85) -> DataFrame:

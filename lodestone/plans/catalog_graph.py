@@ -156,12 +156,12 @@ UNION ALL SELECT scope, relation, CASE WHEN near > 0.3 THEN held[list_position(s
 FROM (SELECT *, list_max(scores) AS near FROM (SELECT f.scope, p.relation, p.x, p.i, f.held, list_transform(f.held, lambda h: round(list_inner_product(h.x, p.x), 9)) AS scores FROM fold f JOIN placed p ON p.scope = f.scope AND p.i = f.i + 1)))
 SELECT scope, relation, leader FROM fold""")
 def relation_canonical(spark: SparkSession, sf: str) -> DataFrame:
-    """Names of eleven scopes, one of which has half of them, in rounds of 128."""
+    """Names of eleven scopes, one of which has half of them."""
     from lodestone.operators.relations import canonical
 
     scope = F.when(F.col("vec_id") % 2 == 0, "large").otherwise(F.concat(F.lit("label"), "label"))
     rows = table(spark, sf, "embeddings").select(scope.alias("scope"), F.concat(F.lit("r"), "vec_id").alias("relation"), F.col("embedding").alias("vector"), F.col("vec_id").alias("seq"))
-    return canonical(rows, 0.3, 128)
+    return canonical(rows, 0.3, 1024)
 
 
 def _score(kind: str) -> str:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as t
 from lodestone.operators import ranking
 from lodestone.operators import tables as ops
+from lodestone.operators.perturb import HOMOGLYPHS, NEAR, STOPWORDS
 from lodestone.plans.views import chunks, qa, table
 
 CHUNKS_SQL = """lines AS (SELECT doc_id, lang, source, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
@@ -382,19 +383,49 @@ def early_accept(spark: SparkSession, sf: str) -> DataFrame:
     return best_candidates(_candidates(qa(spark, sf)), ["record_id"])
 
 
-@query()
+_NEAR = "MAP {" + ", ".join(f"'{c}': '{n}'" for c, n in NEAR.items()) + "}"
+_ALIKE = "MAP {" + ", ".join(f"'{c}': '{n}'" for c, n in HOMOGLYPHS.items()) + "}"
+_STAY = ", ".join(f"'{w}'" for w in sorted(STOPWORDS))
+_CORE = "lower(regexp_replace(w, '^[.,;:?!]+|[.,;:?!]+$', '', 'g'))"
+_DRAWN = """runs AS (SELECT record_id, question, regexp_extract_all(question, '\\s+|\\S+') AS r FROM qa WHERE question <> ''),
+each AS (SELECT record_id, unnest(r) AS w, unnest(range(0, len(r))) AS i FROM runs),
+words AS (SELECT *, regexp_matches(w, '^\\S') AS word FROM each),
+able AS (SELECT record_id, i, w, CAST('0x' || substr(sha1('42|{way}|' || record_id || '|0|' || i), 1, 8) AS BIGINT) AS h FROM words WHERE word AND length(w) > 1 AND {core} NOT IN ({stay}) AND regexp_matches(w, '\\p{{L}}')),
+drawn AS (SELECT a.* FROM able a JOIN (SELECT record_id, greatest(1, floor(count(*) FILTER (word) * 0.1 + 0.5)) AS k FROM words GROUP BY 1) USING (record_id) QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY h, i) <= k)"""
+
+
+@query(f"""WITH {QA_SQL}, {_DRAWN.format(way='char', core=_CORE, stay=_STAY)},
+hit AS (SELECT record_id, i, w, CAST('0x' || substr(sha1('42|char|' || record_id || '|0|' || i || '|slip'), 1, 8) AS BIGINT) AS h, list_filter(range(1, length(w) + 1), lambda p: regexp_matches(substr(w, p, 1), '\\p{{L}}')) AS places FROM drawn),
+spot AS (SELECT *, CAST(places[1 + h % len(places)] AS INTEGER) AS p, lower(substr(w, CAST(places[1 + h % len(places)] AS BIGINT), 1)) AS l FROM hit),
+way AS (SELECT *, list_concat(['delete', 'swap'], CASE WHEN map_contains({_NEAR}, l) THEN ['keyboard'] ELSE [] END, CASE WHEN map_contains({_ALIKE}, l) THEN ['homoglyph'] ELSE [] END) AS ways, {_NEAR}[l] AS near, {_ALIKE}[l] AS alike, CASE WHEN p < length(w) THEN p ELSE p - 1 END AS f FROM spot),
+slips AS (SELECT record_id, i, CASE ways[1 + (h // 64) % len(ways)] WHEN 'delete' THEN left(w, p - 1) || substr(w, p + 1) WHEN 'swap' THEN left(w, f - 1) || substr(w, f + 1, 1) || substr(w, f, 1) || substr(w, f + 2)
+WHEN 'keyboard' THEN left(w, p - 1) || substr(near, 1 + (h // 4096) % length(near), 1) || substr(w, p + 1) ELSE left(w, p - 1) || alike || substr(w, p + 1) END AS s FROM way),
+made AS (SELECT record_id, string_agg(coalesce(s, w), '' ORDER BY i) AS perturbed FROM each LEFT JOIN slips USING (record_id, i) GROUP BY 1)
+SELECT record_id, question, coalesce(perturbed, question) AS perturbed FROM qa LEFT JOIN made USING (record_id)""")
 def char_perturb(spark: SparkSession, sf: str) -> DataFrame:
     from lodestone.operators.perturb import character_level
 
-    return qa(spark, sf).select("record_id", "question", character_level()("record_id", "question", F.lit(0)).alias("perturbed"))
+    return qa(spark, sf).select("record_id", "question", character_level(F.col("record_id"), F.col("question")).alias("perturbed"))
 
 
-@query()
+@query(f"""WITH {QA_SQL}, {_DRAWN.format(way='word', core=_CORE, stay=_STAY)},
+vocabulary AS (SELECT DISTINCT {_CORE} AS word FROM (SELECT unnest(regexp_extract_all(question, '\\S+')) AS w FROM qa)),
+near AS (SELECT word, list_filter([lag(word) OVER v, lead(word) OVER v], lambda o: o IS NOT NULL) AS options FROM vocabulary WHERE word <> '' WINDOW v AS (PARTITION BY left(word, 1), length(word) ORDER BY word)),
+told AS (SELECT record_id, i, regexp_extract(w, '^[.,;:?!]*') || options[1 + CAST('0x' || substr(sha1('42|word|' || record_id || '|0|' || i || '|near'), 1, 8) AS BIGINT) % len(options)] || regexp_extract(w, '[.,;:?!]*$') AS s
+FROM drawn JOIN near ON {_CORE} = word WHERE len(options) > 0),
+made AS (SELECT record_id, string_agg(coalesce(s, w), '' ORDER BY i) AS perturbed FROM each LEFT JOIN told USING (record_id, i) GROUP BY 1)
+SELECT record_id, question, coalesce(perturbed, question) AS perturbed FROM qa LEFT JOIN made USING (record_id)""")
 def word_perturb(spark: SparkSession, sf: str) -> DataFrame:
-    from lodestone.operators.perturb import word_level
+    """Near words are those next to a word in the questions' vocabulary, of one length and first letter."""
+    from pyspark.sql import Window
+
+    from lodestone.operators.perturb import core, word_level
 
-    near = {"the": ["that", "this"], "thing": ["matter"], "ther": ["there"], "and": ["plus"]}
-    return qa(spark, sf).select("record_id", "question", word_level(near)("record_id", "question", F.lit(0)).alias("perturbed"))
+    rows = qa(spark, sf).select("record_id", "question")
+    vocabulary = rows.select(F.explode(F.regexp_extract_all("question", F.lit(r"(\S+)"), 1)).alias("w")).select(core(F.col("w")).alias("word")).where("word <> ''").distinct()
+    own = Window.partitionBy(F.left("word", F.lit(1)), F.length("word")).orderBy("word")
+    near = vocabulary.withColumn("options", F.array(F.lag("word").over(own), F.lead("word").over(own))).withColumn("options", F.filter("options", lambda o: o.isNotNull()))
+    return word_level(rows, "record_id", "question", near).select("record_id", "question", "perturbed")
 
 
 @query()

@@ -60,15 +60,47 @@ def test_candidates_first_accepted_else_first_best(spark):
 
 
 def test_perturbations_are_seeded_and_small(spark):
-    text = "which company reported the largest increase in operating income during the fiscal year"
-    df = spark.createDataFrame([("q1", text), ("q2", None)], "k string, t string")
-    run = perturb.character_level()
-    a, b = ({r["k"]: r["p"] for r in df.select("k", run("k", "t", F.lit(n)).alias("p")).collect()} for n in (0, 0))
-    assert a == b and a["q2"] is None and a["q1"] != text
+    text = "which company  reported the largest increase\nin operating income during the fiscal year."
+    rows = [("q1", text), ("q2", None), ("q3", ""), ("q4", "the of a 12 ?!"), ("q5", "Ünïcode, x"), ("q6", " only ")]
+    df = spark.createDataFrame(rows, "k string, t string")
+    run = lambda seed=42, share=0.1: {r["k"]: r["p"] for r in df.select("k", perturb.character_level(F.col("k"), F.col("t"), seed=seed, share=share).alias("p")).collect()}
+    a = run()
+    assert a == run() and a["q2"] is None and a["q3"] == "" and a["q4"] == "the of a 12 ?!" and a["q1"] != text and a["q6"] not in (" only ", "")
     changed = [x for x, y in zip(text.split(), a["q1"].split(), strict=True) if x != y]
-    assert len(changed) == 1 and changed[0] not in perturb.STOPWORDS
-    near = perturb.word_level({"company": ["firm"]}, share=1.0)
-    assert "firm" in df.where("k = 'q1'").select(near("k", "t", F.lit(0)).alias("p")).first()["p"]
+    assert len(changed) == 1 and changed[0] not in perturb.STOPWORDS and a["q1"].count("  ") == 1 and "\n" in a["q1"]
+    assert len({run(seed)["q1"] for seed in range(6)}) > 3
+    every = run(share=1.0)["q1"].split()
+    assert sum(x != y for x, y in zip(text.split(), every, strict=True)) >= 8 and every[text.split().index("the")] == "the"
+
+
+def test_slips_are_of_four_kinds(spark):
+    letters = {c: set(perturb.neighbours(c)) for c in "abcdefghijklmnopqrstuvwxyz"}
+    assert perturb.neighbours("a") == "sqz" and perturb.neighbours("1") == ""
+    rows = [(k, "abstract") for k in range(400)]
+    got = [r["p"] for r in spark.createDataFrame(rows, "k int, t string").select(perturb.character_level(F.col("k"), F.col("t")).alias("p")).collect()]
+    kinds = set()
+    for p in got:
+        if len(p) == 7:
+            assert any("abstract"[:i] + "abstract"[i + 1 :] == p for i in range(8))
+            kinds.add("delete")
+            continue
+        odd = [i for i in range(8) if p[i] != "abstract"[i]]
+        if len(odd) == 2:
+            assert odd[1] == odd[0] + 1 and sorted(p) == sorted("abstract")
+            kinds.add("swap")
+        else:
+            (i,) = odd
+            assert p[i] in letters["abstract"[i]] or p[i] == perturb.HOMOGLYPHS["abstract"[i]]
+            kinds.add("keyboard" if p[i] in letters["abstract"[i]] else "homoglyph")
+    assert kinds == {"delete", "swap", "keyboard", "homoglyph"}
+
+
+def test_words_give_way_to_near_ones(spark):
+    df = spark.createDataFrame([("q1", 'which  "Company," company? the firm.'), ("q2", None), ("q3", "nothing known here")], "k string, t string")
+    near = spark.createDataFrame([("company", ["firm"]), ("firm", ["house", "company"]), ("the", ["that"]), ("known", [])], "word string, options array<string>")
+    got = {r["k"]: r["perturbed"] for r in perturb.word_level(df, "k", "t", near, share=1.0).collect()}
+    assert got["q1"] in (f'which  "Company," firm? the {w}.' for w in ("house", "company")) and got["q2"] is None and got["q3"] == "nothing known here"
+    assert perturb.word_level(df.limit(0), "k", "t", near).count() == 0
 
 
 def test_items_of_one_record(spark):
@@ -119,9 +151,9 @@ def test_sentence_deletion_by_pair(spark):
     assert sorted((r["pos"], r["text"]) for r in perturb.without_sentences(pairs, chunks).collect()) == [(0, "Two. "), (1, "")]
 
 
-def test_word_budget():
+def test_word_budget(spark):
     rng = random.Random(1)
-    for _ in range(50):
-        text = " ".join(rng.choice(["the", "income", "x", "statement", "of"]) for _ in range(rng.randint(0, 40)))
-        out = perturb.perturb_words(text, lambda w, _: w.upper(), 0.1, rng)
-        assert sum(a != b for a, b in zip(text.split(), out.split(), strict=True)) <= max(1, round(0.1 * len(text.split())))
+    rows = [(k, " ".join(rng.choice(["the", "income", "x", "statement", "of"]) for _ in range(rng.randint(0, 40)))) for k in range(50)]
+    got = spark.createDataFrame(rows, "k int, t string").select("t", perturb.character_level(F.col("k"), F.col("t")).alias("p")).collect()
+    for r in got:
+        assert sum(a != b for a, b in zip(r["t"].split(), r["p"].split(), strict=True)) <= max(1, int(0.1 * len(r["t"].split()) + 0.5))
