@@ -148,18 +148,20 @@ def first_holders(texts: list[str], sentences: list[str]) -> list[int | None]:
 
 
 def located(sentences: DataFrame, chunks: DataFrame) -> DataFrame:
-    """sentences (sentence_id, doc_id, sentence) with chunk_id, the document's first chunk (by pos, a whole number) that holds the sentence.
+    """sentences (doc_id, sentence, and what tells them apart) without their text but with chunk_id, the document's first chunk (by pos, a whole number) that holds the sentence.
 
     Both are normalised. A document's chunks, in packs of CHUNK_PACK, and its sentences meet in one sorted stream of a task: the
     pack is held, then automata of a bounded number of sentences each read it once, so the work grows with the length of the texts
-    and not with sentences times chunks. Sentences without a character but blanks, and those that no chunk holds, go.
+    and not with sentences times chunks. Texts are shuffled once; only the sentences of documents of several packs are copied to each. Sentences without a character but blanks, and those that no chunk holds, go.
     """
     from lodestone.functions.text import normalize_text
 
-    names = sentences.columns
+    names = [c for c in sentences.columns if c != "sentence"]
     own = sentences.where(F.col("doc_id").isNotNull() & (F.length(F.trim("sentence")) > 0)).select(F.col("doc_id").alias("_doc"), F.struct(*names).alias("_row"), normalize_text(F.col("sentence")).alias("_text"))
     texts = chunks.where("doc_id is not null and text is not null").select(F.col("doc_id").alias("_doc"), F.floor(F.coalesce("pos", F.lit(0)) / CHUNK_PACK).alias("_pack"), F.col("pos").cast("long").alias("_pos"), "chunk_id", normalize_text(F.col("text")).alias("_text"))
-    asked = own.join(texts.select("_doc", "_pack").distinct(), "_doc")  # a document of one pack has one row here
+    asked, more = own.withColumn("_pack", F.lit(0).cast("long")), texts.where("_pack <> 0").select("_doc", "_pack").distinct()
+    if not more.isEmpty():
+        asked = asked.unionByName(own.join(more, "_doc"))
     both = texts.withColumn("_side", F.lit(0)).unionByName(asked.withColumn("_side", F.lit(1)), allowMissingColumns=True)
     dealt = both.repartition("_doc", "_pack").sortWithinPartitions("_doc", "_pack", "_side", "_pos").select("_doc", "_pack", "_side", "_pos", "chunk_id", "_text", "_row")
     ids, row = chunks.schema["chunk_id"].dataType, dealt.schema["_row"].dataType
