@@ -325,18 +325,22 @@ def similar_groups(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFr
     overlap. All pairs that share one are verified on all shingles, but for those of crowded shingles that are in one
     group already: texts of a crowded shingle are first linked through the two whose prefixes are most shared (an
     original has no edits of its own), and then only pairs across groups are open, made in squares of SIDE texts.
+
+    With a column part, the same for equal texts, only texts of one part are compared.
     """
     from lodestone.llm.repeats import KEY, distinct_texts, with_key
 
     spark = docs.sparkSession
-    texts = with_key(docs.select("text"))
+    parted = ["part"] if "part" in docs.columns else []
+    texts = with_key(docs.select("text", *parted))
     common = spark.sparkContext.broadcast(common_shingles(texts, size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow_blocks(batches, trim=True):
             sets = [shingle_set(t, size) for t in text_column(batch).to_pylist()]
             n = pa.array([len(x) for x in sets], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), n, pa.array([prefix_of(x, common.value, least) for x in sets], pa.list_(pa.int64()))], [*KEY, "n", "tokens"])
+            tokens = pa.array([prefix_of(x, common.value, least) for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], n, tokens], [*KEY, *parted, "n", "tokens"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in arrow_blocks(batches, "text_u", trim=True):
@@ -367,9 +371,12 @@ def similar_groups(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFr
         return links
 
     # prefixes are shuffled, not texts
-    prints = texts.select("text", *KEY).mapInArrow(run, "t1 long, t2 long, n int, tokens array<long>")
-    prints = stored(prints.groupBy(*KEY).agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")).withColumn("id", F.monotonically_increasing_id()), "prefixes")
-    rows = prints.select("id", "n", F.size("tokens").alias("size"), F.posexplode("tokens").alias("pos", "token"))
+    prints = texts.select("text", *KEY, *parted).mapInArrow(run, f"t1 long, t2 long, {'part long, ' if parted else ''}n int, tokens array<long>")
+    once = [F.first(c).alias(c) for c in (*parted, "n", "tokens")]
+    prints = stored(prints.groupBy(*KEY).agg(*once).withColumn("id", F.monotonically_increasing_id()), "prefixes")
+    rows = prints.select("id", "n", *parted, F.size("tokens").alias("size"), F.posexplode("tokens").alias("pos", "token"))
+    if parted:
+        rows = rows.withColumn("token", F.xxhash64("token", "part")).drop("part")
     counts = rows.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
     release(spark)
     places = [shared_path(spark, label) for label in ("shared", "open")]
@@ -396,17 +403,51 @@ def similar_groups(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFr
     return prints.select("id", *KEY).join(rooted, F.col("id") == rooted["node"], "left").select(*KEY, F.coalesce("root", "id").alias("root"))
 
 
-def one_of_each(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:
-    """One row of each group of similar texts: the one with the smallest doc_id, nulls last; of equal rows one."""
+def near_groups(docs: DataFrame, size: int = 5, least: float = 0.8, tau: int = 2) -> DataFrame:
+    """(t1, t2, root) of each distinct text: SimHash components, as ``grouped`` makes them, and an exact check in each.
+
+    Texts share root if chains of at least that similarity link them within a component, so no text is taken for
+    another by its fingerprint alone: those of few shingles have few bits set and meet by chance. Only texts whose
+    component has another text are read again.
+    """
+    from lodestone.llm.repeats import KEY, with_key
+
+    spark = docs.sparkSession
+    texts = with_key(docs.select("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in arrow_blocks(batches, trim=True):
+            fp = fingerprints_of(text_column(batch).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(fp.view(np.int64))], [*KEY, "fp"])
+
+    prints = stored(texts.select("text", *KEY).mapInArrow(run, "t1 long, t2 long, fp long").distinct(), "fingerprints")
+    rooted = components(links(stored(prints.select("fp").distinct(), "distinct"), tau))
+    named = prints.join(rooted, prints["fp"] == rooted["node"], "left")
+    parts = stored(named.select(*KEY, F.coalesce("root", "fp").alias("part")), "parts")
+    several = parts.groupBy("part").agg(F.count("*").alias("m")).where("m > 1").select("part")
+    path = shared_path(spark, "compared")
+    compared = stored(texts.join(parts.join(several, "part"), KEY).select("text", "part"), "compared", path)
+    release(spark)
+    same = similar_groups(compared, size, least)
+    release(spark, path)
+    return parts.join(same, KEY, "left").select(*KEY, F.struct("part", F.coalesce("root", F.lit(-1)).alias("root")).alias("root"))
+
+
+def one_of_each(docs: DataFrame, size: int = 5, least: float = 0.8, tau: int | None = None) -> DataFrame:
+    """One row of each group of similar texts: the one with the smallest doc_id, nulls last; of equal rows one.
+
+    With tau only texts of one SimHash component, linked by fingerprints at most tau bits apart, are compared.
+    """
     from lodestone.llm.repeats import KEY, with_key
 
+    groups = similar_groups(docs, size, least) if tau is None else near_groups(docs, size, least, tau)
     row = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
     own = with_key(docs.select("doc_id", "text", row.alias("row"))).select("doc_id", *KEY, "row")
     # the least row of each text, then of each group; n: equal rows
     rows = own.groupBy("doc_id", *KEY, "row").agg(F.count("*").alias("n"))
     order = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", *KEY, "row", "n")
     first = rows.groupBy(*KEY).agg(F.min(order).alias("first"))
-    best = similar_groups(docs, size, least).join(first, KEY).groupBy("root").agg(F.min("first").alias("best"))
+    best = groups.join(first, KEY).groupBy("root").agg(F.min("first").alias("best"))
     keepers = best.select(F.col("best.t1").alias("k1"), F.col("best.t2").alias("k2"), F.col("best.row").alias("row"), F.col("best.n").alias("n"))
     # keyed under names that documents don't have
     names = {c: f"_{i}" for i, c in enumerate(docs.columns)}

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestone.llm.simhash import one_of_each, shingle_hashes, similar_groups
+from lodestone.llm.simhash import fingerprints_of, one_of_each, shingle_hashes, similar_groups
 
 
 def similar(a, b):
@@ -133,6 +133,45 @@ def test_repeats_do_not_part_similar_texts(spark):
     assert found_groups(spark, texts) == groups(texts) == [[i, i + 1] for i in range(0, 180, 2)]
 
 
+def test_near_dedup_goes_by_simhash_components(spark, tmp_path):
+    """Against brute force: components of fingerprints at two bits, then similar texts in each."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    texts = ["", " ", *corpus()]
+    for _ in range(12):
+        words = [word() for _ in range(400)]
+        texts += [" ".join(words), *(" ".join(edited(words, rng, n)) for n in (1, 1, 2, 12))]
+    # texts of two shingles whose fingerprints are nearly zero, as that of a text without words
+    tail = min((f"x{i} y z" for i in range(2000)), key=lambda t: shingle_hashes(t, 3)[0].bit_count())
+    low = [t for t in (f"{k} {tail}" for k in range(20000)) if int(fingerprints_of([t])[0]).bit_count() <= 2]
+    assert len(low) > 1
+    texts += low
+    fps = list(map(int, fingerprints_of(texts)))
+    sets = [set(shingle_hashes(t, 5)) for t in texts]
+
+    def linked(members, test):
+        left, out = set(members), []
+        while left:
+            group, todo = set(), [left.pop()]
+            while todo:
+                a = todo.pop()
+                group.add(a)
+                near = {b for b in left if test(a, b)}
+                left -= near
+                todo += near
+            out.append(group)
+        return out
+
+    alike = lambda a, b: (len(sets[a] & sets[b]) / len(sets[a] | sets[b]) if sets[a] or sets[b] else 1.0) >= 0.8
+    by_bits = linked(range(len(texts)), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 2)
+    want = sorted(min(g) for part in by_bits for g in linked(part, alike))
+    every = [min(g) for g in linked(range(len(texts)), alike)]
+    assert len(by_bits) < len(want) and len(every) < len(want) < len(texts)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_dedup(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns and sorted(r["doc_id"] for r in got.collect()) == want
+
+
 @pytest.fixture
 def tables(spark, tmp_path):
     rng = random.Random(4)
