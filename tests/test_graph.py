@@ -57,6 +57,35 @@ def test_inverted_star_sizes(spark):
         assert g.inverted_stars(valid).count() == want
 
 
+def test_pairs_of_hops_are_not_shuffled(spark, monkeypatch):
+    rows = [(f"n{i}", "r", f"tail{i % 2}") for i in range(23)] + [(f"n{i}", "r", "tail0") for i in range(1, 9, 2)]
+    valid, _ = mined(spark, rows)
+    own = {}
+    for k, (_, _, tail) in enumerate(rows):
+        own.setdefault(tail, []).append(k)
+    heads = {k: int(rows[k][0][1:]) for k in range(len(rows))}
+    want = sorted(",".join(f"t{k}" for k in sorted(pair, key=lambda k: (heads[k], k))) for ks in own.values() for pair in itertools.combinations(ks, 2))
+    for side in (2048, 3):  # one square a tail; several
+        monkeypatch.setattr(g, "SIDE", side)
+        paths = g.inverted_stars(valid)
+        assert ids(paths) == want
+        assert not any("path_sha1" in line for line in paths._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in line)
+
+
+def test_equal_pairs_of_a_graph_count_once(spark, monkeypatch):
+    """Ids that repeat, lack or hold a comma make paths of one name; a graph beside them has none."""
+    names = {0: "a", 1: "b", 2: "a", 3: "b", 4: None, 5: "a,b", 6: "c"}
+    odd = facts(spark, [(f"n{i}", "r", f"tail{i // 2}") for i in range(8)], "odd")
+    named = F.create_map(*(F.lit(x) for i, n in names.items() if n for x in (f"t{i}", n)))
+    odd = odd.withColumn("triplet_id", F.when(F.col("triplet_id") == "t4", F.lit(None)).otherwise(F.coalesce(named[F.col("triplet_id")], "triplet_id")))
+    t = odd.unionByName(facts(spark, [(f"n{i}", "r", "tail") for i in range(4)], "plain"))
+    for side in (2048, 2):
+        monkeypatch.setattr(g, "SIDE", side)
+        got = [(r["graph_id"], ",".join(h["triplet_id"] for h in r["path"] if h["triplet_id"])) for r in g.inverted_stars(g.valid_edges(t)).collect()]
+        plain = [("plain", f"t{i},t{j}") for i, j in itertools.combinations(range(4), 2)]
+        assert sorted(got) == sorted([("odd", "a,b"), ("odd", "c,t7"), *plain])
+
+
 def test_cycles_of_any_length(spark):
     valid, _ = mined(spark, [*((f"n{i}", "r", f"n{(i + 1) % 8}") for i in range(8)), ("n3", "r", "n0"), ("n7", "r", "leaf")])
     assert ids(g.cycles(valid)) == ["t0,t1,t2,t3,t4,t5,t6,t7", "t0,t1,t2,t8"]
