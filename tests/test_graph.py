@@ -72,6 +72,13 @@ def test_pairs_of_hops_are_not_shuffled(spark, monkeypatch):
         assert not any("path_sha1" in line for line in paths._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in line)
 
 
+def test_pivots_shuffle_chains_and_stars_only(spark):
+    from lodestone.plans.catalog_graph import QUERIES
+
+    plan = QUERIES["pivots"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert sum("Exchange hashpartitioning(" in line and "path_sha1" in line for line in plan.splitlines()) == 2
+
+
 def test_equal_pairs_of_a_graph_count_once(spark, monkeypatch):
     """Ids that repeat, lack or hold a comma make paths of one name; a graph beside them has none."""
     names = {0: "a", 1: "b", 2: "a", 3: "b", 4: None, 5: "a,b", 6: "c"}
