@@ -338,8 +338,9 @@ def stream_eval(spark: SparkSession, sf: str) -> DataFrame:
 
     root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     work = items(spark, sf)
-    responses(work).repartition(4).write.parquet(f"{root}/in")
-    evaluate_stream(read_responses(spark, f"{root}/in", 2), work, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    responses(work).write.parquet(f"{root}/in")
+    half = -(-len(spark.read.parquet(f"{root}/in").inputFiles()) // 2)  # two batches
+    evaluate_stream(read_responses(spark, f"{root}/in", half), work, f"{root}/out", f"{root}/checkpoint").awaitTermination()
     return metrics_so_far(spark, work, f"{root}/out")
 
 

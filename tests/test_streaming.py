@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import judge
 from lodestone.operators.evaluation import response_details, robustness
-from lodestone.streaming.evaluate import metrics_tracked, read_responses, track_metrics
+from lodestone.streaming.evaluate import answered, evaluate_stream, metrics_so_far, metrics_tracked, read_responses, track_metrics
 
 ITEM = "item_id string, record_id string, query string, docs array<string>, answer string, query_variant string, doc_variant_type string, retriever string, for_metric boolean"
 
@@ -46,3 +46,20 @@ def test_each_batch_touches_its_own_state_and_gives_the_batch_query(spark, tmp_p
         got, want = values(metrics_tracked(spark, str(tmp_path / "out"))), values(robustness(response_details(items, seen.where("response is not null").select("item_id", "model", "response"))))
         assert got == want and len(got) == 15 * (1 + (k > 0))
     assert touched[0] == 4 and touched[1] == 20 and touched[2] == 1 and touched[4] == 0, touched
+
+
+def test_verdicts_are_kept_without_texts(spark, tmp_path):
+    """Answers that differ in one record, lack it or are null; an item answered twice counts as it came first."""
+    items = work(spark, 6).withColumn("answer", F.when(F.endswith("item_id", F.lit("/empty")), F.lit("other truth")).when(F.startswith("item_id", F.lit("3/")), F.lit(None).cast("string")).otherwise(F.col("answer")))
+    items = items.withColumn("record_id", F.when(F.startswith("item_id", F.lit("4/")), F.lit(None).cast("string")).when(F.startswith("item_id", F.lit("5/")), F.lit("")).otherwise(F.col("record_id"))).cache()
+    said = F.when(F.pmod(F.xxhash64("item_id"), F.lit(3)) == 0, F.col("answer")).when(F.pmod(F.xxhash64("item_id"), F.lit(3)) == 1, "no such info").otherwise("something else")
+    every = items.select("item_id", F.lit("m").alias("model"), said.alias("response")).cache()
+    every.coalesce(1).write.parquet(str(tmp_path / "in0"))
+    got = answered(every, items.withColumn("answer", F.coalesce("answer", F.lit(""))))
+    assert got.count() == every.count() == got.select("item_id").distinct().count()
+    for k in range(2):
+        evaluate_stream(read_responses(spark, str(tmp_path / "in*")), items, str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination()
+        assert values(metrics_so_far(spark, items, str(tmp_path / "out"))) == values(robustness(response_details(items, every)))
+        assert "response" not in spark.read.parquet(str(tmp_path / "out")).columns
+        if not k:
+            every.withColumn("response", F.lit("a second answer")).coalesce(1).write.parquet(str(tmp_path / "in1"))
