@@ -356,8 +356,9 @@ def stream_metrics(spark: SparkSession, sf: str) -> DataFrame:
     work = items(spark, sf)
     late = F.contains("item_id", F.lit("/empty/"))
     for k, part in enumerate((~late, late)):
-        responses(work).where(part).repartition(2).write.parquet(f"{root}/in{k}")
-        track_metrics(read_responses(spark, f"{root}/in*", 2), work, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+        responses(work).where(part).write.parquet(f"{root}/in{k}")
+        files = len(spark.read.parquet(f"{root}/in{k}").inputFiles())  # one batch
+        track_metrics(read_responses(spark, f"{root}/in*", files), work, f"{root}/out", f"{root}/checkpoint").awaitTermination()
     return metrics_tracked(spark, f"{root}/out")
 
 

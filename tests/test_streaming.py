@@ -63,3 +63,27 @@ def test_verdicts_are_kept_without_texts(spark, tmp_path):
         assert "response" not in spark.read.parquet(str(tmp_path / "out")).columns
         if not k:
             every.withColumn("response", F.lit("a second answer")).coalesce(1).write.parquet(str(tmp_path / "in1"))
+
+
+def test_state_is_small(spark, tmp_path):
+    """Long ids of one record are packed, and no metric is named for each item."""
+    import zlib
+
+    import pandas as pd
+
+    from lodestone.streaming.evaluate import CELL, changed_cells
+
+    class State:
+        exists, get = False, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+    state, size = State(), 31
+    rows = [(f"conv_{'9' * 60}/{i}", True, f"v{i % 5}", "ground-truth-docs", None, i % 2 == 0, True, i == 30) for i in range(size)]
+    pdf = pd.DataFrame(rows, columns=["item_id", "for_metric", *CELL, "robust", "robust_known", "knows"])
+    first = pd.concat(changed_cells(("m", "r"), iter([pdf[:20]]), state))
+    later = pd.concat(changed_cells(("m", "r"), iter([pdf]), state))
+    assert len(state.get[0]) < 500 and b"conv" in zlib.decompress(state.get[0])
+    assert (first["n"].sum(), first["robust"].sum()) == (20, 10) and (later["n"].sum(), later["robust"].sum()) == (11, 21)
+    assert pd.concat(changed_cells(("m", "r"), iter([pdf]), state)).empty
