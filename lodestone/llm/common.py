@@ -9,12 +9,15 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestone.sources.folders import shared_folder
 
 #: Bytes of text that the numpy operators hold at once, besides a single longer text.
 BLOCK_BYTES = 1 << 20
+#: Words of 64 bits in a sieve: at most so many rows are broadcast, however many keys there are.
+SIEVE = 1 << 19
 #: glibc's call that gives freed memory back to the system, where there is one: idle Python workers then hold little.
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
@@ -56,6 +59,25 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def _spot(key: Column) -> tuple[Column, Column]:
+    """The word of a sieve that a 64-bit hash falls to, and its bit there."""
+    at = F.pmod(key, F.lit(64 * SIEVE))
+    return F.shiftright(at, 6), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63).cast("int"))
+
+
+def sieve(keys: DataFrame, key: Column, **marks: Column) -> DataFrame:
+    """(word, a column of bits for each mark): a table of bounded size that holds the hashes of the keys with that mark."""
+    word, bit = _spot(key)
+    return keys.groupBy(word.alias("word")).agg(*(F.bit_or(F.when(on, bit).otherwise(F.lit(0).cast("long"))).alias(name) for name, on in marks.items()))
+
+
+def sifted(df: DataFrame, table: DataFrame, key: Column) -> DataFrame:
+    """df with a flag for each mark of the sieve: false where surely no key of that mark is the row's, so no join is needed; true may err."""
+    word, bit = _spot(key)
+    flags = [F.coalesce(F.col(c).bitwiseAND(bit) != 0, F.lit(False)).alias(c) for c in table.columns if c != "word"]
+    return df.withColumn("word", word).join(F.broadcast(table), "word", "left").select(*df.columns, *flags)
+
+
 def free_name(name: str, taken: list[str]) -> str:
     """name, with underscores until no column has it; Spark's names don't tell cases apart."""
     held = {c.lower() for c in taken}

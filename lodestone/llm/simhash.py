@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import arrow_blocks, release, shared_path, stored, text_column
+from lodestone.llm.common import arrow_blocks, release, shared_path, sieve, sifted, stored, text_column
 from lodestone.llm.components import components
 from lodestone.llm.rolling import mix
 
@@ -408,7 +408,7 @@ def near_groups(docs: DataFrame, size: int = 5, least: float = 0.8, tau: int = 2
 
     Texts share root if chains of at least that similarity link them within a component, so no text is taken for
     another by its fingerprint alone: those of few shingles have few bits set and meet by chance. Only texts whose
-    component has another text are read again.
+    component has another text are read again; a sieve of their names keeps the others out of the shuffle.
     """
     from lodestone.llm.repeats import KEY, with_key
 
@@ -426,7 +426,9 @@ def near_groups(docs: DataFrame, size: int = 5, least: float = 0.8, tau: int = 2
     parts = stored(named.select(*KEY, F.coalesce("root", "fp").alias("part")), "parts")
     several = parts.groupBy("part").agg(F.count("*").alias("m")).where("m > 1").select("part")
     path = shared_path(spark, "compared")
-    compared = stored(texts.join(parts.join(several, "part"), KEY).select("text", "part"), "compared", path)
+    asked = stored(parts.join(several, "part"), "asked")
+    likely = sifted(texts, stored(sieve(asked, F.col("t1"), asked=F.lit(True)), "sieve"), F.col("t1")).where("asked")
+    compared = stored(likely.select("text", *KEY).join(asked, KEY).select("text", "part"), "compared", path)
     release(spark)
     same = similar_groups(compared, size, least)
     release(spark, path)
@@ -437,6 +439,9 @@ def one_of_each(docs: DataFrame, size: int = 5, least: float = 0.8, tau: int | N
     """One row of each group of similar texts: the one with the smallest doc_id, nulls last; of equal rows one.
 
     With tau only texts of one SimHash component, linked by fingerprints at most tau bits apart, are compared.
+
+    Rows are judged by their hashes, and a sieve tells which stay and which go, so that texts aren't shuffled but for those
+    of equal rows and those that it can't tell, which are looked up.
     """
     from lodestone.llm.repeats import KEY, with_key
 
@@ -448,11 +453,18 @@ def one_of_each(docs: DataFrame, size: int = 5, least: float = 0.8, tau: int | N
     order = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", *KEY, "row", "n")
     first = rows.groupBy(*KEY).agg(F.min(order).alias("first"))
     best = groups.join(first, KEY).groupBy("root").agg(F.min("first").alias("best"))
-    keepers = best.select(F.col("best.t1").alias("k1"), F.col("best.t2").alias("k2"), F.col("best.row").alias("row"), F.col("best.n").alias("n"))
+    keepers = stored(best.select(F.col("best.t1").alias("k1"), F.col("best.t2").alias("k2"), F.col("best.row").alias("row"), F.col("best.n").alias("n")), "keepers")
+    key = F.xxhash64("k1", "k2", "row")
+    every = rows.select(F.col("t1").alias("k1"), F.col("t2").alias("k2"), "row").join(keepers, ["k1", "k2", "row"], "left")
+    marks = stored(sieve(every, key, stays=F.col("n").isNotNull(), goes=F.coalesce(F.col("n") > 1, F.lit(True))), "sieve")
+    release(docs.sparkSession)
     # keyed under names that documents don't have
     names = {c: f"_{i}" for i, c in enumerate(docs.columns)}
     text = F.coalesce(F.col("text"), F.lit(""))
-    every = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("second"), text).alias("k2"), row.alias("row"))
-    kept = every.join(keepers, ["k1", "k2", "row"])
-    alone, equal = kept.where("n = 1"), kept.where("n > 1").dropDuplicates(["k1", "k2", "row"])
-    return alone.unionByName(equal).select(*(F.col(n).alias(c) for c, n in names.items()))
+    named = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("second"), text).alias("k2"), row.alias("row"))
+    told = sifted(named, marks, key)
+    untold = lambda df: df.where("stays and goes").drop("stays", "goes")
+    kept = untold(told).join(untold(sifted(keepers, marks, key)), ["k1", "k2", "row"])
+    sure, alone, equal = told.where("stays and not goes"), kept.where("n = 1"), kept.where("n > 1").dropDuplicates(["k1", "k2", "row"])
+    out = [df.select(*(F.col(n).alias(c) for c, n in names.items())) for df in (sure, alone, equal)]
+    return out[0].unionByName(out[1]).unionByName(out[2])

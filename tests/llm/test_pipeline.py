@@ -172,6 +172,43 @@ def test_near_dedup_goes_by_simhash_components(spark, tmp_path):
     assert got.columns == docs.columns and sorted(r["doc_id"] for r in got.collect()) == want
 
 
+def test_near_dedup_shuffles_no_text_that_the_sieves_tell(spark, tmp_path, monkeypatch):
+    """Texts were shuffled whole, twice; a sieve of one word tells none apart and gives the same rows."""
+    from lodestone.llm import common
+
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(1000)) for _ in range(150)]
+    for i in range(4):
+        words = texts[i].split()
+        texts += [texts[i], " ".join(edited(words, rng, 1))]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    rows += [rows[20], rows[20], (None, texts[30], "en", "s", 0), (400, None, None, None, None), (401, "", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    docs.write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+
+    def shuffled():
+        sc = spark.sparkContext._jsc.sc()
+        sc.listenerBus().waitUntilEmpty(30_000)
+        return sc.statusStore().executorList(True).head().totalShuffleWrite()
+
+    want = sorted([*(i for i, t in enumerate(texts[:150])), 400])
+    fps = list(map(int, fingerprints_of(texts)))
+    linked = {i for i in range(150, len(texts)) if any((fps[i] ^ fps[j]).bit_count() <= 2 for j in range(4))}
+    want = sorted([*want, *(i for i in range(150, len(texts)) if i not in linked)])
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables too large to be broadcast
+    try:
+        before = shuffled()
+        got = sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).collect())
+        assert got == want and len(linked) > 4
+        assert shuffled() - before < sum(map(len, texts)) / 2
+        monkeypatch.setattr(common, "SIEVE", 1)
+        assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).collect()) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 @pytest.fixture
 def tables(spark, tmp_path):
     rng = random.Random(4)
