@@ -75,6 +75,11 @@ def valid_edges(triplets: DataFrame, edge: DataFrame | None = None) -> DataFrame
     return hops.select("graph_id", "u", "v", "u_seq", "edge_seq", F.struct(*HOP).alias("hop"))
 
 
+def slim(valid: DataFrame, *fields: str) -> DataFrame:
+    """valid with hops of these fields only: patterns shuffle whole hops."""
+    return valid.withColumn("hop", F.struct(*(F.col("hop")[c].alias(c) for c in fields)))
+
+
 def _paths(df: DataFrame, pattern: str, hops: Sequence[Column]) -> DataFrame:
     path = F.array(*hops)
     return df.select("graph_id", F.lit(pattern).alias("pattern"), path.alias("path"), F.sha1(F.array_join(F.transform(path, lambda h: h["triplet_id"]), ",")).alias("path_sha1"))

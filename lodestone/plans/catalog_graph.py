@@ -139,7 +139,7 @@ def distinct_chunk_filter(spark: SparkSession, sf: str) -> DataFrame:
 UNION ALL SELECT a.tid || ',' || b.tid, a.v FROM valid a JOIN valid b ON a.v = b.v AND (a.u_seq, a.edge_seq) < (b.u_seq, b.edge_seq)
 UNION ALL SELECT * FROM ({_STARS.replace(" FROM arms a", ", a.u FROM arms a")})""")
 def pivots(spark: SparkSession, sf: str) -> DataFrame:
-    valid = _edges(spark, sf)[0]
+    valid = g.slim(_edges(spark, sf)[0], "entity_1", "entity_2", "triplet_id")
     paths = g.chains(valid, 2).unionByName(g.inverted_stars(valid)).unionByName(g.stars(valid))
     return paths.select(F.array_join(F.transform("path", lambda h: h["triplet_id"]), ",").alias("ids"), F.array_join(g.pivots(F.col("path"), F.col("pattern")), "|").alias("pivot"))
 

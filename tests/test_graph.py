@@ -79,6 +79,19 @@ def test_pivots_shuffle_chains_and_stars_only(spark):
     assert sum("Exchange hashpartitioning(" in line and "path_sha1" in line for line in plan.splitlines()) == 2
 
 
+def test_pivots_shuffle_only_fields_of_the_result(spark):
+    from lodestone.plans.catalog_graph import QUERIES
+
+    todo, kinds = [QUERIES["pivots"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().initialPlan()], []
+    while todo:
+        node = todo.pop()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "Exchange":
+            kinds += [node.output().apply(i).dataType().catalogString() for i in range(node.output().size())]
+    hops = [k for k in kinds if "triplet_id" in k]
+    assert hops and not [k for k in hops if "source_sentence" in k or "relation" in k or "answer_chunk_id" in k]
+
+
 def test_equal_pairs_of_a_graph_count_once(spark, monkeypatch):
     """Ids that repeat, lack or hold a comma make paths of one name; a graph beside them has none."""
     names = {0: "a", 1: "b", 2: "a", 3: "b", 4: None, 5: "a,b", 6: "c"}
