@@ -92,6 +92,28 @@ def test_pivots_shuffle_only_fields_of_the_result(spark):
     assert hops and not [k for k in hops if "source_sentence" in k or "relation" in k or "answer_chunk_id" in k]
 
 
+def test_inverted_star_shuffles_only_ids_of_hops(spark, monkeypatch):
+    from lodestone.plans.catalog_graph import QUERIES
+
+    monkeypatch.setattr(g, "SIDE", 4)  # several squares
+    todo, kinds = [QUERIES["inverted_star"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().initialPlan()], []
+    while todo:
+        node = todo.pop()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "Exchange":
+            kinds += [node.output().apply(i).dataType().catalogString() for i in range(node.output().size())]
+    assert {k for k in kinds if "triplet_id" in k} == {"struct<triplet_id:string>"}
+
+
+def test_edges_of_the_triplets_are_valid_without_a_lookup(spark):
+    rows = [("a", "x", "b"), ("a", "y", "b"), ("a", "x", "b"), ("b", "x", "c"), ("b", None, "c"), ("c", None, "d"), ("c", "x", "d"), ("e", "x", None), (None, "x", "e"), ("d", "x", "d"), ("d", "y", "a")]
+    t = facts(spark, rows).unionByName(facts(spark, [("a", "x", "b"), ("a", "x", "b")], "h"))
+    looked_up = sorted(map(str, g.valid_edges(t, g.ordered_edges(t)).collect()))
+    assert sorted(map(str, g.valid_edges(t).collect())) == looked_up and len(looked_up) == 5
+    slim = g.valid_edges(t, fields=["triplet_id"])
+    assert sorted(map(str, slim.collect())) == sorted(map(str, g.slim(g.valid_edges(t, g.ordered_edges(t)), "triplet_id").collect()))
+
+
 def test_equal_pairs_of_a_graph_count_once(spark, monkeypatch):
     """Ids that repeat, lack or hold a comma make paths of one name; a graph beside them has none."""
     names = {0: "a", 1: "b", 2: "a", 3: "b", 4: None, 5: "a,b", 6: "c"}
